@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from entiform import fixed
-from entiform.functions.text import BLANKS, alnum, collapse, drop_words, fold, strip_accents, trim, word
+from entiform.functions.text import BLANKS, alnum, collapse, drop_words, fold, let, strip_accents, trim, word
 
 
 def literal_map(pairs: dict[str, str]) -> Column:
@@ -75,19 +75,21 @@ def slug_hash(name: Column, city: Column) -> Column:
 
 
 def lead_id(source: Column, name: Column, city: Column) -> Column:
-    basis = F.concat_ws("|", source, F.lower(trim(name)), city_key(city))
+    """Stable id; `city` is already normalised."""
+    basis = F.concat_ws("|", source, F.lower(trim(name)), alnum(fold(city)))
     return F.concat(source, F.lit("_"), F.substring(F.sha1(F.when(source.isNotNull(), basis)), 1, 16))
 
 
 def infer_role(title: Column) -> Column:
     """First role whose pattern occurs in the accent-free or the raw title."""
-    plain = strip_accents(title)
-    role = None
-    for name, anywhere, alone in fixed.ROLE_PATTERNS:
-        pattern = "(?iu)" + anywhere + (f"|{word(alone)}" if alone else "")
-        hit = F.rlike(plain, F.lit(pattern)) | F.rlike(title, F.lit(pattern))
-        role = F.when(hit, F.lit(name)) if role is None else role.when(hit, F.lit(name))
-    return role.otherwise(F.lit(fixed.DEFAULT_ROLE))
+    def role_in(both: Column) -> Column:
+        role = None
+        for name, anywhere, alone in fixed.ROLE_PATTERNS:
+            hit = F.rlike(both, F.lit("(?iu)" + anywhere + (f"|{word(alone)}" if alone else "")))
+            role = F.when(hit, F.lit(name)) if role is None else role.when(hit, F.lit(name))
+        return role.otherwise(F.lit(fixed.DEFAULT_ROLE))
+
+    return let(F.concat_ws("\n", strip_accents(title), title), role_in)
 
 
 def known_brand(name: Column, brands=fixed.KNOWN_BRANDS) -> Column:

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from entiform.functions.names import literal_map
 from entiform.functions.text import BLANK, let, trim
 
 
@@ -37,7 +38,7 @@ PLANS = (
     Plan("US", "1", "011", "1", "[2-9][0-9]{2}[2-9][0-9]{6}"),
 )
 
-_SEPARATORS = "[  ­​⁠　‐-―−()\\[\\]./~-]"
+_SEPARATORS = "[ \u00a0\u00ad\u200b\u2060\u3000\u2010-\u2015\u2212()\\[\\]./~-]"
 _MAX_CHUNK = 250
 
 
@@ -54,89 +55,100 @@ def candidate(chunk: Column) -> Column:
     return F.when(shaped & (F.length(chunk) <= _MAX_CHUNK), F.regexp_replace(span, "[^+0-9]", ""))
 
 
+def _keyed(iso: Column, number: Column) -> Column:
+    """`ISO:number`, so that one pattern covers the rule of every plan."""
+    return F.concat(iso, F.lit(":"), number)
+
+
+def _per_plan(plans, rule) -> str:
+    return "^(?:" + "|".join(f"{p.iso2}:{rule(p)}" for p in plans) + ")"
+
+
 def international(number: Column, iso: Column, plans=PLANS) -> Column:
     """The international prefix of the caller's country becomes a +."""
-    out = F.when(number.startswith("+"), number)
-    for idd in sorted({p.idd for p in plans}):
-        homes = [p.iso2 for p in plans if p.idd == idd]
-        out = out.when(iso.isin(*homes) & F.rlike(number, F.lit(f"^{idd}[1-9]")),
-                       F.concat(F.lit("+"), F.substring(number, len(idd) + 1, _MAX_CHUNK)))
-    return out.otherwise(number)
+    dialled = F.regexp_extract(_keyed(iso, number), _per_plan(plans, lambda p: p.idd) + "([1-9][0-9]*)$", 1)
+    return F.when(F.length(dialled) > 0, F.concat(F.lit("+"), dialled)).otherwise(number)
 
 
-def _case(iso: Column, plans, value) -> Column:
-    """CASE iso WHEN plan THEN value(plan)."""
-    out = None
+def _by_code(plans) -> dict[str, str]:
+    codes: dict[str, str] = {}
     for p in plans:
-        out = F.when(iso == p.iso2, value(p)) if out is None else out.when(iso == p.iso2, value(p))
-    return out
+        codes.setdefault(p.calling_code, p.iso2)
+    return codes
 
 
 def located(number: Column, iso: Column, plans=PLANS) -> Column:
-    """struct<plan, nsn>: the plan by calling code (longest first), else the caller's; digits after it."""
-    by_code: dict[str, str] = {}
-    for p in plans:
-        by_code.setdefault(p.calling_code, p.iso2)
-    codes = sorted(by_code, key=len, reverse=True)
+    """struct<plan, nsn, abroad, number>: the plan by calling code (longest first), else the caller's."""
+    codes = sorted(_by_code(plans), key=len, reverse=True)
+    code = F.regexp_extract(number, "^[+](" + "|".join(codes) + ")", 1)
     abroad = number.startswith("+")
-    plan, nsn = F.lit(None).cast("string"), F.lit(None).cast("string")
-    if codes:
-        plan = F.when(F.lit(False), F.lit(""))
-        nsn = F.when(F.lit(False), F.lit(""))
-        for code in codes:
-            hit = number.startswith(f"+{code}")
-            plan = plan.when(hit, F.lit(by_code[code]))
-            nsn = nsn.when(hit, F.substring(number, len(code) + 2, _MAX_CHUNK))
-        known = iso.isin(*[p.iso2 for p in plans])
-        plan = plan.when(~abroad & known, iso)
-        nsn = nsn.when(~abroad, number)
-    return F.struct(plan.alias("plan"), nsn.alias("nsn"), abroad.alias("abroad"), number.alias("number"))
-
-
-def resolved(at: Column, plans=PLANS) -> Column:
-    """struct<e164, valid, country> of a located number."""
-    plan, nsn = at["plan"], at["nsn"]
-
-    def valid(p: Plan, n: Column) -> Column:
-        return F.rlike(n, F.lit(f"^(?:{p.nsn})$"))
-
-    def national(p: Plan) -> Column:
-        out = F.when(valid(p, nsn) & F.lit(not p.trunk), nsn)
-        if p.trunk:
-            rest = F.substring(nsn, len(p.trunk) + 1, _MAX_CHUNK)
-            out = out.when(nsn.startswith(p.trunk) & (valid(p, rest) | ~valid(p, nsn)), rest)
-        rest = F.substring(nsn, len(p.calling_code) + 1, _MAX_CHUNK)
-        out = out.when(~at["abroad"] & nsn.startswith(p.calling_code) & ~valid(p, nsn) & valid(p, rest), rest)
-        return out.otherwise(nsn)
-
-    def finish(p: Plan) -> Column:
-        body = national(p)
-        e164 = F.concat(F.lit("+" + p.calling_code), body)
-        return F.when(F.length(body).between(2, 17), F.struct(
-            e164.alias("e164"), valid(p, body).alias("valid"), F.lit(p.iso2).alias("country")))
-
-    foreign = F.when(at["abroad"] & F.length(at["number"]).between(4, 18), F.struct(
-        at["number"].alias("e164"), F.lit(False).alias("valid"), F.lit(None).cast("string").alias("country")))
-    nothing = F.struct(
-        F.lit(None).cast("string").alias("e164"), F.lit(False).alias("valid"),
-        F.lit(None).cast("string").alias("country"))
-    return F.coalesce(_case(plan, plans, finish), F.when(plan.isNull(), foreign), nothing)
+    home = F.when(iso.isin(*[p.iso2 for p in plans]), iso)
+    return F.struct(
+        F.when(abroad, F.try_element_at(literal_map(_by_code(plans)), code)).otherwise(home).alias("plan"),
+        F.when(abroad, F.substr(number, F.length(code) + 2)).otherwise(number).alias("nsn"),
+        abroad.alias("abroad"), number.alias("number"))
+
+
+def options(at: Column, plans=PLANS) -> Column:
+    """The located number with its two shorter readings: without national prefix, without calling code."""
+    whole = _keyed(at["plan"], at["nsn"])
+    trunked = [p for p in plans if p.trunk]
+    short = F.regexp_extract(whole, _per_plan(trunked, lambda p: p.trunk) + "(.+)$", 1) if trunked else F.lit("")
+    bare = F.regexp_extract(whole, _per_plan(plans, lambda p: p.calling_code) + "(.+)$", 1)
+    return F.struct(
+        at["plan"].alias("plan"), at["nsn"].alias("nsn"), at["abroad"].alias("abroad"), at["number"].alias("number"),
+        F.nullif(short, F.lit("")).alias("short"),
+        F.when(~at["abroad"], F.nullif(bare, F.lit(""))).alias("bare"))
+
+
+def judged(o: Column, plans=PLANS) -> Column:
+    """Adds which readings are valid national numbers."""
+    pattern = _per_plan(plans, lambda p: f"(?:{p.nsn})") + "$"
+
+    def ok(field: str) -> Column:
+        return F.coalesce(F.rlike(_keyed(o["plan"], o[field]), F.lit(pattern)), F.lit(False)).alias(f"{field}_ok")
+
+    return F.struct(*[o[n].alias(n) for n in ("plan", "nsn", "abroad", "number", "short", "bare")],
+                    ok("nsn"), ok("short"), ok("bare"))
+
+
+def chosen(o: Column) -> Column:
+    """struct<plan, abroad, number, body, ok>: the reading that counts.
+
+    A national prefix goes unless that would make a valid number invalid; a calling code written without +
+    goes only when that makes the number valid.
+    """
+    drop_trunk = o["short"].isNotNull() & (o["short_ok"] | ~o["nsn_ok"])
+    drop_code = ~o["nsn_ok"] & o["bare_ok"]
+    return F.struct(
+        o["plan"].alias("plan"), o["abroad"].alias("abroad"), o["number"].alias("number"),
+        F.when(drop_code, o["bare"]).when(drop_trunk, o["short"]).otherwise(o["nsn"]).alias("body"),
+        F.when(drop_code, F.lit(True)).when(drop_trunk, o["short_ok"]).otherwise(o["nsn_ok"]).alias("ok"))
+
+
+def resolved(c: Column, plans=PLANS) -> Column:
+    """struct<e164, valid, country> of a chosen reading."""
+    code = F.try_element_at(literal_map({p.iso2: p.calling_code for p in plans}), c["plan"])
+    home = F.when(F.length(c["body"]).between(2, 17), F.concat(F.lit("+"), code, c["body"]))
+    foreign = F.when(c["plan"].isNull() & c["abroad"] & F.length(c["number"]).between(4, 18), c["number"])
+    e164 = F.coalesce(home, foreign)
+    return F.struct(
+        e164.alias("e164"), F.coalesce(home.isNotNull() & c["ok"], F.lit(False)).alias("valid"),
+        F.when(home.isNotNull(), c["plan"]).alias("country"))
+
+
+def _steps(iso: Column, plans):
+    return (
+        lambda c: international(c, iso, plans), lambda c: located(c, iso, plans), lambda c: options(c, plans),
+        lambda c: judged(c, plans), chosen, lambda c: resolved(c, plans))
 
 
 def standardize_phone(raw: Column, iso: Column, plans=PLANS) -> Column:
-    """struct<e164, valid, country>; each step is evaluated once, also inside arrays."""
-    return let(candidate(first_chunk(raw)), lambda c: let(
-        international(c, iso, plans), lambda n: let(
-            located(n, iso, plans), lambda at: resolved(at, plans))))
+    """struct<e164, valid, country>.
 
+    Every step is bound once: as plain projections the steps would be inlined into each other again.
+    """
+    def run(value: Column, steps) -> Column:
+        return steps[0](value) if len(steps) == 1 else let(steps[0](value), lambda v: run(v, steps[1:]))
 
-def with_phone(df: DataFrame, raw: Column, iso: Column, name: str = "phone", plans=PLANS) -> DataFrame:
-    """Adds struct<e164, valid, country> by plain projections, which stay inside generated code."""
-    step = f"_{name}"
-    return (
-        df.withColumn(step, candidate(first_chunk(raw)))
-        .withColumn(step, international(F.col(step), iso, plans))
-        .withColumn(step, located(F.col(step), iso, plans))
-        .withColumn(name, resolved(F.col(step), plans))
-        .drop(step)
-    )
+    return let(candidate(first_chunk(raw)), lambda c: run(c, _steps(iso, plans)))

@@ -9,49 +9,53 @@ from pyspark.sql import functions as F
 
 from entiform import fixed
 from entiform.functions.names import literal_map
-from entiform.functions.text import BLANK, EDGE, clean, collapse, fold, trim
+from entiform.functions.text import BLANK, EDGE, clean, collapse, fold, let, trim
 
 # scheme, user info, host, port, path, query; the fragment is dropped
 _URL = r"(?is)^(https?)://([^/?#@\\]*@)?([^/?#:@\\]*)(?::([0-9]*))?([/\\][^?#]*)?(\?[^#]*)?(?:#.*)?$"
 _HOST = r"^[^\x00-\x20#%/:<>?@\[\\\]^|\x7F]+$"
 _NUMERIC_HOST = r"(?:^|\.)[0-9]+\.?$"
 _IPV4 = r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"
-# ASCII punctuation that stays as it is in a path / a query
-_PATH_KEEP = "!$&'()+,/:;=@[]\\^|~"
-_QUERY_KEEP = "!$&()+,/:;=?@[]\\^|~`{}"
-
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 _EMAIL_SHAPE = r"^[A-Za-z0-9_'+.-]*[A-Za-z0-9_+-]@(?:[A-Za-z0-9][A-Za-z0-9-]*\.)+[A-Za-z]{2,}$"
 
 
-def _escape(c: Column, keep: str) -> Column:
-    """Percent-encode blanks, quotes, brackets and non-ASCII; everything in `keep` stays."""
-    out = F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
-    for char in keep:
-        out = F.replace(out, F.lit(f"%{ord(char):02X}"), F.lit(char))
-    out = F.replace(out, F.lit("%25"), F.lit("%"))
-    needs = F.rlike(c, F.lit(r"[^\x21-\x7E]|[\"<>`{}']"))
-    return F.when(needs, out).otherwise(c)
+# characters that are percent-encoded in a path, a query and a fragment
+_PATH_UNSAFE = "[^\\x21-\\x7E]|[\"<>`{}]"
+_QUERY_UNSAFE = "[^\\x21-\\x7E]|[\"<>']"
+
+
+def _escape(c: Column, unsafe: str) -> Column:
+    """Percent-encode the unsafe characters; texts without one pass unchanged."""
+    one = lambda ch: F.when(F.rlike(ch, F.lit(unsafe)), F.replace(F.url_encode(ch), F.lit("+"), F.lit("%20"))).otherwise(ch)
+    return F.when(F.rlike(c, F.lit(unsafe)), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c)
 
 
 def escape_path(c: Column) -> Column:
-    return _escape(F.replace(c, F.lit("\\"), F.lit("/")), _PATH_KEEP)
+    return _escape(F.replace(c, F.lit("\\"), F.lit("/")), _PATH_UNSAFE)
 
 
 def canonical_url(url: Column) -> Column:
     """Canonical form of an absolute http(s) URL without fragment; NULL when it is not one."""
+    parts = F.split(F.regexp_replace(url, _URL, "$1\u0001$2\u0001$3\u0001$4\u0001$5\u0001$6"), "\u0001")
+    return let(parts, _rebuild)
+
+
+def _rebuild(parts: Column) -> Column:
+    """URL from scheme, user info, host, port, path and query."""
     def part(i: int) -> Column:
-        return F.regexp_extract(url, _URL, i)
+        return F.get(parts, F.lit(i))
 
-    scheme, host, port = F.lower(part(1)), F.lower(part(3)), part(4)
+    scheme, host, port = F.lower(part(0)), F.lower(part(2)), part(3)
     default_port = F.when(scheme == "https", F.lit("443")).otherwise(F.lit("80"))
     shown_port = F.when((port == "") | (port == default_port), F.lit("")).otherwise(F.concat(F.lit(":"), port))
-    path = F.when(part(5) == "", F.lit("/")).otherwise(escape_path(part(5)))
-    host_ok = F.rlike(host, F.lit(_HOST)) & (
-        ~F.rlike(host, F.lit(_NUMERIC_HOST)) | F.rlike(host, F.lit(_IPV4)))
-    port_ok = (port == "") | (F.try_to_number(port, F.lit("99999")) <= 65535)
-    whole = F.concat(scheme, F.lit("://"), part(2), host, shown_port, path, _escape(part(6), _QUERY_KEEP))
-    return F.when(host_ok & F.coalesce(port_ok, F.lit(False)), whole)
+    path = F.when(part(4) == "", F.lit("/")).otherwise(escape_path(part(4)))
+    good = (
+        F.rlike(host, F.lit(_HOST))
+        & (~F.rlike(host, F.lit(_NUMERIC_HOST)) | F.rlike(host, F.lit(_IPV4)))
+        & ((port == "") | F.coalesce(port.try_cast("int") <= 65535, F.lit(False))))
+    return F.when(good, F.concat(
+        scheme, F.lit("://"), part(1), host, shown_port, path, _escape(part(5), _QUERY_UNSAFE)))
 
 
 def clean_url(raw: Column) -> Column:
@@ -98,7 +102,7 @@ def resolve_url(href: Column, base: Column) -> Column:
     parent = F.when(up, F.regexp_replace(folder, "[^/]+/$", "")).otherwise(folder)
     relative = F.concat(parent, F.regexp_replace(below, r"^(?:\.\.?/)+", ""))
     other_scheme = F.rlike(href, F.lit("(?i)^[a-z][a-z0-9+.-]*:")) & ~F.rlike(href, F.lit("(?i)^https?:"))
-    safe_tail = _escape(tail, _QUERY_KEEP + "#")
+    safe_tail = _escape(tail, _QUERY_UNSAFE)
     target = (
         F.when(F.rlike(href, F.lit("(?i)^https?://")), _with_fragment(href))
         .when(href.startswith("//"), _with_fragment(F.concat(F.regexp_extract(base, "^([^:]*:)", 1), href)))
@@ -111,7 +115,7 @@ def resolve_url(href: Column, base: Column) -> Column:
 
 
 def _with_fragment(url: Column) -> Column:
-    return F.concat(canonical_url(url), _escape(F.regexp_extract(url, "(?s)(#.*)$", 1), _QUERY_KEEP + "#"))
+    return F.concat(canonical_url(url), _escape(F.regexp_extract(url, "(?s)(#.*)$", 1), _QUERY_UNSAFE))
 
 
 def clean_email(raw: Column) -> Column:
@@ -243,6 +247,10 @@ def people_in(text: Column) -> Column:
     return F.filter(trimmed, lambda p: F.size(F.split(p["full_name"], " ")) <= 4)
 
 
+def _matches(pattern: str):
+    return lambda text: F.rlike(text, F.lit(pattern))
+
+
 def social_links(links: Column, strict_hosts: bool = False) -> Column:
     """First link per network out of an array of links (struct of the seven networks)."""
     web = F.filter(links, lambda h: F.rlike(h, F.lit("(?i)^https?://")))
@@ -250,7 +258,7 @@ def social_links(links: Column, strict_hosts: bool = False) -> Column:
     fields = []
     for name, pattern, unwanted in fixed.SOCIAL_NETWORKS:
         full = host + pattern + (f"(?!{unwanted})" if unwanted else "")
-        first = F.get(F.filter(web, lambda h, p=full: F.rlike(h, F.lit(p))), F.lit(0))
+        first = F.get(F.filter(web, _matches(full)), F.lit(0))
         fields.append(F.regexp_replace(F.split(first, "[?]", 2)[0], "/$", "").alias(name))
     numbers = F.filter(
         F.transform(web, lambda h: F.regexp_extract(h, "(?i)" + fixed.WHATSAPP_LINK, 1)), lambda n: n != "")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from entiform.functions import names, web
 from entiform.functions.storage import Scratch
-from entiform.operators.lookups import HOT_KEYS, lookup_join
+from entiform.operators.lookups import HOT_KEYS, broadcast_limit, lookup_join, planned_bytes
 
 SIGNALS = ("name+city", "phone", "website")
 _KEYS = ("k1", "k2", "k3")
@@ -48,8 +48,11 @@ def _key_count() -> Column:
 
 def _without(rows: DataFrame, owned: DataFrame, hot_keys: int) -> DataFrame:
     """Rows that hold none of the owned keys (signal, key, n). The widest-spread keys go by broadcast first."""
-    hot = owned.filter("n > 1").orderBy(F.desc("n"), "signal", "key").limit(hot_keys)
-    for source, wrap in ((hot, F.broadcast), (owned, lambda d: d)):
+    passes = [(owned, lambda d: d)]
+    if planned_bytes(owned) > broadcast_limit(owned):
+        hot = owned.filter("n > 1").orderBy(F.desc("n"), "signal", "key").limit(hot_keys)
+        passes.insert(0, (hot, F.broadcast))
+    for source, wrap in passes:
         for i, k in enumerate(_KEYS, 1):
             # A NULL key must match nothing and must not gather all its rows in one task.
             own = wrap(source.filter(F.col("signal") == i).select(F.concat(F.lit("="), "key").alias("_probe")))
@@ -101,7 +104,7 @@ def decide(keys: DataFrame, owners: DataFrame) -> DataFrame:
     for i, k in enumerate(_KEYS, 1):
         facts = owners.filter(F.col("signal") == i).select(
             F.col("key").alias(k), F.col("owner_ord").alias(f"o{i}"), F.col("owner_id").alias(f"i{i}"))
-        judged = lookup_join(judged, facts, [k])
+        judged = lookup_join(judged, facts, [k], keys.select(k))
     earlier = [F.col(f"o{i}") < F.col("ord") for i in (1, 2, 3)]
     reason = F.coalesce(*[F.when(e, F.lit(s)) for e, s in zip(earlier, SIGNALS)])
     matched = F.coalesce(*[F.when(e, F.col(f"i{i}")) for i, e in enumerate(earlier, 1)])
@@ -118,4 +121,5 @@ def dedup_decisions(leads: DataFrame, ord: str = "ord") -> DataFrame:
     """Decision per lead with the first signal that hit and the id of the accepted lead it matched."""
     scratch = Scratch(leads.sparkSession, "decisions")
     keys = scratch.write(entity_keys(leads, ord), "keys")
-    return decide(keys, with_owner_ids(resolve_owners(keys, scratch), keys))
+    owners = scratch.write(with_owner_ids(resolve_owners(keys, scratch), keys), "owner_ids")
+    return decide(keys, owners)

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from entiform import fixed, schemas
 from entiform.functions import names, web
-from entiform.functions.phone import (
-    PLANS, candidate, first_chunk, international, located, resolved, standardize_phone,
-)
+from entiform.functions.phone import PLANS, standardize_phone
 from entiform.functions.text import BLANK, ordered_union
 from entiform.operators.lookups import lookup_join
 from entiform.operators.merge import fill_socials, merge_contacts
@@ -29,18 +27,6 @@ def relevant_emails(found: DataFrame, host: str = "host", email: str = "email")
     return found.filter((domain == own) | F.rlike(domain, F.lit(fixed.FREE_MAIL)))
 
 
-def _number_rows(chunks: DataFrame, country: Column, plans) -> DataFrame:
-    """Adds `e164` to rows with a `chunk`; only valid numbers stay."""
-    step = F.col("_n")
-    return (
-        chunks.withColumn("_n", candidate(first_chunk(F.col("chunk")))).filter("_n IS NOT NULL")
-        .withColumn("_n", international(step, country, plans))
-        .withColumn("_n", located(step, country, plans))
-        .withColumn("_n", resolved(step, plans))
-        .filter("_n.valid").withColumn("e164", F.col("_n.e164")).drop("_n", "chunk")
-    )
-
-
 def _chunks(text: Column) -> Column:
     """Pieces of a text that hold enough digits to be a number."""
     pieces = F.split(text, f"[,;/]|{BLANK}{{2,}}")
@@ -64,11 +50,10 @@ def phones_in(texts: Column, country: Column, plans=PLANS) -> Column:
 def extract_phones(pages: DataFrame, country: str = fixed.DEFAULT_COUNTRY, text: str = "text", key: str = "page_id",
                    links: str | None = None, plans=PLANS) -> DataFrame:
     """(key, pos, e164): valid numbers, `tel:` links first, then the text; distinct, in order."""
-    pieces = _chunks(F.col(text))
+    texts = F.array(F.col(text))
     if links:
-        pieces = F.concat(F.flatten(F.transform(_dialled(F.col(links)), _chunks)), pieces)
-    rows = pages.select(key, F.posexplode(pieces).alias("pos", "chunk"))
-    return _number_rows(rows, F.lit(country), plans).groupBy(key, "e164").agg(F.min("pos").alias("pos"))
+        texts = F.concat(_dialled(F.col(links)), texts)
+    return pages.select(key, F.posexplode(phones_in(texts, F.lit(country), plans)).alias("pos", "e164"))
 
 
 def page_links(pages: DataFrame, base: str | None = None, key: str = "page_id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from entiform import fixed, schemas
 from entiform.functions import names, places, text, web
-from entiform.functions.phone import PLANS, standardize_phone, with_phone
+from entiform.functions.phone import PLANS, standardize_phone
 
 
 def _col(df: DataFrame, name: str, type_: str) -> Column:
@@ -101,8 +101,8 @@ def normalize_leads(raw: DataFrame, default_country: str = fixed.DEFAULT_COUNTRY
         "_city": F.when(own_city != "", own_city).otherwise(names.normalize_city(fallback)),
         "_name": text.collapse(of("company_name")),
     })
-    staged = with_phone(
-        staged, F.coalesce(of("phone_raw"), of("phone_normalized")), F.col("_country"), "_phone", plans)
+    staged = staged.withColumn("_phone", standardize_phone(
+        F.coalesce(of("phone_raw"), of("phone_normalized")), F.col("_country"), plans))
     contacts = (
         F.transform(F.col("contacts").cast(f"array<{schemas.CONTACT}>"),
                     lambda c: _clean_contact(c, F.col("_country"), plans))
@@ -144,8 +144,13 @@ def with_reject_reasons(leads: DataFrame) -> DataFrame:
     def url_bad(c: Column) -> Column:
         return c.isNotNull() & web.canonical_url(c).isNull()
 
-    def any_contact(test) -> Column:
-        return F.exists("contacts", test)
+    def contact_reasons(c: Column) -> Column:
+        return F.array_compact(F.array(
+            _bad(F.coalesce(c["full_name"] == "", F.lit(True)), "contact_name"),
+            _bad(~c["role"].isin(*fixed.ROLES), "contact_role"),
+            _bad(~c["confidence"].between(0, 1), "contact_confidence"),
+            _bad(~web.email_ok(c["email_direct"]), "contact_email"),
+            _bad(url_bad(c["linkedin_url"]), "contact_url")))
 
     reasons = F.array_compact(F.array(
         _bad(F.coalesce(F.col("company_name") == "", F.lit(True)), "company_name"),
@@ -156,13 +161,9 @@ def with_reject_reasons(leads: DataFrame) -> DataFrame:
         _bad(url_bad(F.col("source_url")), "source_url"),
         _bad(url_bad(F.col("website_url")), "website_url"),
         _bad(F.exists("emails", lambda e: ~web.email_ok(e)), "emails"),
-        _bad(any_contact(lambda c: F.coalesce(c["full_name"] == "", F.lit(True))), "contact_name"),
-        _bad(any_contact(lambda c: ~c["role"].isin(*fixed.ROLES)), "contact_role"),
-        _bad(any_contact(lambda c: ~c["confidence"].between(0, 1)), "contact_confidence"),
-        _bad(any_contact(lambda c: c["email_direct"].isNotNull() & ~web.email_ok(c["email_direct"])), "contact_email"),
-        _bad(any_contact(lambda c: url_bad(c["linkedin_url"])), "contact_url"),
     ))
-    return leads.withColumn("reject_reasons", reasons)
+    of_contacts = F.array_distinct(F.flatten(F.transform("contacts", contact_reasons)))
+    return leads.withColumn("reject_reasons", F.concat(reasons, of_contacts))
 
 
 def validate_leads(leads: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -14,32 +14,48 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def _broadcast_limit(df: DataFrame) -> int:
+def broadcast_limit(df: DataFrame) -> int:
     size = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     return int(size)
 
 
-def lookup_join(rows: DataFrame, facts: DataFrame, on: list[str], hot_keys: int = HOT_KEYS) -> DataFrame:
+def _has_map(df: DataFrame, column: str) -> bool:
+    return "map<" in df.schema[column].dataType.simpleString()
+
+
+def lookup_join(rows: DataFrame, facts: DataFrame, on: list[str], keys: DataFrame | None = None,
+                hot_keys: int = HOT_KEYS) -> DataFrame:
     """Left join of `rows` to `facts`, which holds at most one row per key.
 
     Small facts: a plain join, which Spark turns into a broadcast below its own threshold. Otherwise the
-    heaviest keys of `rows` meet a broadcast slice of the facts, so their rows are never shuffled to one
-    task, and the remaining rows are shuffled by key.
+    heaviest keys of the rows meet a broadcast slice of the facts; only the remaining rows are matched after
+    a shuffle. Rows that are already matched, or have no key, are spread evenly over that shuffle.
+    `keys` is a cheaper table to count the keys in, when `rows` is costly.
     """
-    if planned_bytes(facts) <= _broadcast_limit(facts):
+    if planned_bytes(facts) <= broadcast_limit(facts):
         return rows.join(facts, on, "left")
-    keyed = rows.dropna(subset=on)
+    added = [c for c in facts.columns if c not in on]
     heavy = (
-        keyed.groupBy(*on).agg(F.count("*").alias("_n"))
+        (rows if keys is None else keys).dropna(subset=on).groupBy(*on).agg(F.count("*").alias("_n"))
         .orderBy(F.desc("_n"), *on).limit(hot_keys).select(*on)
     )
-    hot_facts = facts.join(F.broadcast(heavy), on, "left_semi")
-    hot = keyed.join(F.broadcast(heavy), on, "left_semi").join(F.broadcast(hot_facts), on, "left")
-    cold = keyed.join(F.broadcast(heavy), on, "left_anti").join(facts, on, "left")
-    empty = rows.filter(" OR ".join(f"`{c}` IS NULL" for c in on))
-    missing = [c for c in facts.columns if c not in on]
-    empty = empty.select("*", *[F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in missing])
-    return hot.unionByName(cold).unionByName(empty)
+    hot = facts.join(F.broadcast(heavy), on, "left_semi").select(
+        *on, F.struct(F.lit(True).alias("_hit"), *added).alias("_hot"))
+    cold = facts.select(
+        *[F.col(c).alias(f"_key_{c}") for c in on], F.struct(F.lit(True).alias("_hit"), *added).alias("_cold"),
+        F.lit(0).cast("bigint").alias("_key_spread"))
+    settled = F.col("_hot").isNotNull()
+    for c in on:
+        settled = settled | F.col(c).isNull()
+    spread = F.xxhash64(*[c for c in rows.columns if not _has_map(rows, c)])
+    marked = rows.join(F.broadcast(hot), on, "left").withColumn(
+        "_spread", F.when(settled, F.when(spread == 0, F.lit(1).cast("bigint")).otherwise(spread))
+        .otherwise(F.lit(0).cast("bigint")))
+    match = F.col("_spread") == F.col("_key_spread")
+    for c in on:
+        match = match & (F.col(c) == F.col(f"_key_{c}"))
+    found = F.coalesce("_hot", "_cold")
+    return marked.join(cold, match, "left").select(*rows.columns, *[found[c].alias(c) for c in added])
 
 
 def skip_done(todo: DataFrame, done: DataFrame, key: str = "id", force: bool = False) -> DataFrame:

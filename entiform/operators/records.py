@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from entiform import fixed, schemas
 from entiform.functions import names, web
-from entiform.functions.phone import PLANS, with_phone
+from entiform.functions.phone import PLANS, standardize_phone
 from entiform.functions.text import clean
 from entiform.operators.leads import number_text
 
@@ -40,7 +40,8 @@ def to_records(answered: DataFrame, model: str, threshold: float = fixed.REVIEW_
                      F.when(named, F.lit(fixed.CONFIDENCE_WITHOUT_SOURCES)).otherwise(F.lit(0.0)))
     confidence = F.when(searched, own).otherwise(F.least(own, F.lit(fixed.CONFIDENCE_WITHOUT_SOURCES)))
     staged = answered.withColumns({"_phone_raw": clean(answer["phone"]), "_confidence": confidence})
-    staged = with_phone(staged, F.col("_phone_raw"), names.country_iso(F.col("country")), "_phone", plans)
+    staged = staged.withColumn(
+        "_phone", standardize_phone(F.col("_phone_raw"), names.country_iso(F.col("country")), plans))
     review = ~searched | ~named | (F.col("_confidence") < threshold)
     values = {
         "slug": names.slug(F.col("input_name"), F.col("city")),

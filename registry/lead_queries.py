@@ -249,11 +249,9 @@ def clean_place_fields(spark, d):
 
 
 def standardize_phone(spark, d):
-    from entiform.functions.phone import with_phone
+    from entiform.functions.phone import standardize_phone as op
 
-    rows = with_phone(_places(spark, d), F.col("phone"), F.lit("CM"))
-    return rows.select("ord", "phone", "phone.e164", "phone.valid", "phone.country") if False else rows.select(
-        "ord", F.col("phone.e164").alias("e164"), F.col("phone.valid").alias("valid"), F.col("phone.country").alias("country"))
+    return _places(spark, d).select("ord", op(F.col("phone"), F.lit("CM")).alias("p")).select("ord", "p.*")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -340,8 +338,8 @@ ORACLES = {
     "limit_per_search": with_(views=_P) + "SELECT search_id, ord FROM places_v QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY ord) <= 20",
     "saturated_searches": with_(views=_P) + "SELECT search_id, count(*) AS rows_found FROM places_v GROUP BY search_id HAVING count(*) >= 300",
     "first_n": with_(RAW, views=_P) + "SELECT ord, company_name FROM raw ORDER BY ord LIMIT 25",
-    "distinct_first_seen": with_(RAW, views=_P) + "SELECT search_id, website_url, min(ord) AS first_ord FROM raw GROUP BY ALL "
-    "QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY min(ord)) <= 8",
+    "distinct_first_seen": with_(RAW, views=_P) + "SELECT * FROM (SELECT search_id, website_url, min(ord) AS first_ord FROM raw GROUP BY ALL) "
+    "QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY first_ord) <= 8",
     "apply_patch": with_(RAW, _FULL, _FULL_LEADS, _REASONS, _VALID, views=_P) +
     "SELECT ord, coalesce(email, CASE WHEN ord % 2 = 0 THEN 'new' || ord || '@x.cm' END) AS email, CASE WHEN ord % 2 = 0 THEN 'risky' END AS email_status, "
     "CASE WHEN ord % 2 = 0 THEN 'a' || ord || '@x.cm' ELSE '' END AS emails, CASE WHEN ord % 2 = 0 THEN 'https://facebook.com/' || ord END AS facebook, "

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 PLACES = """
@@ -69,11 +71,11 @@ SELECT c_custkey * 4 + i AS page_id, concat('https://site', CAST(c_custkey AS VA
    '<a href="https://www.facebook.com/site', CAST(c_custkey AS VARCHAR(20)), '">f</a>',
    '<a href=''https://www.linkedin.com/company/site', CAST(c_custkey AS VARCHAR(20)), '/''>l</a><p>Welcome</p></body></html>')
  WHEN i = 1 THEN concat('<html><body><a href="mailto:Contact@Site', CAST(c_custkey AS VARCHAR(20)), '.CM">write</a> ',
-   'reservation@site', CAST(c_custkey AS VARCHAR(20)), '.cm logo@2x.png press@elsewhere.org awa.ntsama@gmail.com ',
+   'reservation@site', CAST(c_custkey AS VARCHAR(20)), '.cm logo@2x.png press@elsewhere.org awa.ntsama@gmail.com, ',
    '<a href="tel:+237%20699%20', lpad(CAST(c_custkey % 1000000 AS VARCHAR(20)), 6, '0'), '">call</a>',
    '<a href="https://wa.me/237699', lpad(CAST(c_custkey % 1000000 AS VARCHAR(20)), 6, '0'), '">wa</a>',
    '<p>Tel: 2 33 42 00 01 / 6 99 00 00 00</p></body></html>')
- WHEN i = 2 THEN '<html><body><p>Our team: Jean-Pierre Mbarga, Directeur Général. Responsable Ventes: Awa Ntsama</p></body></html>'
+ WHEN i = 2 THEN '<html><body><p>Our team: Jean-Pierre Mbarga, Directeur Général. Responsable ventes: Awa Ntsama</p></body></html>'
  ELSE concat('<html><body><p>(c) 2024 SITE ', CAST(c_custkey AS VARCHAR(20)), ' S.A.R.L., all rights reserved</p></body></html>') END AS html
 FROM customer CROSS JOIN (SELECT 0 AS i, '' AS path UNION ALL SELECT 1, '/contact' UNION ALL SELECT 2, '/equipe'
  UNION ALL SELECT 3, '/mentions-legales') AS p
@@ -135,4 +137,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The derived view over the tables of this folder."""
     source = _TABLES[name]
-    return spark.sql(VIEWS[name].replace(f"FROM {source}", "FROM {source}"), source=table(spark, folder, source))
+    alias = f"{source}_{zlib.crc32(folder.encode())}"
+    table(spark, folder, source).createOrReplaceTempView(alias)
+    return spark.sql(VIEWS[name].replace(f"FROM {source}", f"FROM {alias}"))
