@@ -46,7 +46,7 @@ def _key_count() -> Column:
     return sum((F.col(k).isNotNull().cast("bigint") for k in _KEYS), F.lit(0).cast("bigint"))
 
 
-def _without(rows: DataFrame, owned: DataFrame, hot_keys: int) -> DataFrame:
+def without_owned(rows: DataFrame, owned: DataFrame, hot_keys: int = HOT_KEYS) -> DataFrame:
     """Rows that hold none of the owned keys (signal, key, n). The widest-spread keys go by broadcast first."""
     passes = [(owned, lambda d: d)]
     if planned_bytes(owned) > broadcast_limit(owned):
@@ -79,7 +79,7 @@ def resolve_owners(keys: DataFrame, scratch: Scratch, hot_keys: int = HOT_KEYS)
             .select("signal", "key", F.expr("shiftright(packed, 2)").alias("ord"), "n"),
             f"owners-{turn}")
         tables.append(f"owners-{turn}")
-        still_open = scratch.write(_without(still_open, owned, hot_keys), f"open-{turn + 1}")
+        still_open = scratch.write(without_owned(still_open, owned, hot_keys), f"open-{turn + 1}")
     if not tables:
         return _long(keys, "ord").select("signal", "key", "ord", F.lit(0).cast("bigint").alias("n"))
     return scratch.read(*tables)

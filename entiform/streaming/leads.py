@@ -15,7 +15,7 @@ from pyspark.sql.utils import AnalysisException
 
 from entiform import fixed
 from entiform.functions.storage import Scratch
-from entiform.operators.dedup import decide, entity_keys, resolve_owners, with_owner_ids
+from entiform.operators.dedup import decide, entity_keys, resolve_owners, with_owner_ids, without_owned
 from entiform.operators.leads import normalize_leads, parse_places, with_reject_reasons
 from entiform.operators.lookups import skip_done
 from entiform.plans.stages import Stage, run_stages
@@ -61,16 +61,15 @@ class LeadIntake:
             "judged")
         leads = judged.filter(F.size("reject_reasons") == 0).drop("reject_reasons")
         keys = scratch.write(entity_keys(leads), "keys")
-        stored = _parts_before(spark, self.path("owners"), batch_id, OWNER_SCHEMA).drop("batch_id")
+        stored = _parts_before(spark, self.path("owners"), batch_id, OWNER_SCHEMA)
         # rows that hit an owner of an earlier batch are decided; the rest compete among themselves
-        against_stored = scratch.write(decide(keys, stored), "against_stored")
-        fresh = keys.join(against_stored.filter("duplicate").select("ord"), "ord", "left_anti")
-        new_owners = scratch.write(with_owner_ids(resolve_owners(fresh, scratch), keys).drop("n"), "new_owners")
-        decisions = scratch.write(decide(keys, stored.unionByName(new_owners)), "decisions")
-        accepted = leads.join(decisions.filter("NOT duplicate").select("ord"), "ord", "left_semi")
-        _store(new_owners, self.path("owners"), batch_id)
-        _store(accepted, self.path("leads"), batch_id)
-        _store(decisions, self.path("decisions"), batch_id)
+        fresh = without_owned(keys, stored.select("signal", "key", F.lit(2).alias("n")))
+        _store(with_owner_ids(resolve_owners(fresh, scratch), keys).drop("n"), self.path("owners"), batch_id)
+        owners = _parts_before(spark, self.path("owners"), batch_id + 1, OWNER_SCHEMA).drop("batch_id")
+        _store(decide(keys, owners), self.path("decisions"), batch_id)
+        decisions = spark.read.parquet(f"{self.path('decisions')}/batch_id={batch_id}")
+        _store(leads.join(decisions.filter("NOT duplicate").select("ord"), "ord", "left_semi"),
+               self.path("leads"), batch_id)
         _store(judged.filter(F.size("reject_reasons") > 0), self.path("rejects"), batch_id)
         counts = decisions.agg(
             F.count_if("duplicate").alias("duplicates"), F.count_if(~F.col("duplicate")).alias("accepted"))

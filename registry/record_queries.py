@@ -171,8 +171,8 @@ scored AS (SELECT *, CASE WHEN i = sa OR i = sb THEN 0.95 ELSE i / (sa + sb - i)
  ELSE 1 - levenshtein(form_a, form_b) / length(form_b) END AS similarity FROM pairs WHERE (length(form_a), form_a) <= (length(form_b), form_b))""", views=("tasks_v",)) +
     "SELECT city_key, form_a, form_b, n_a, n_b, first_a, first_b, CAST(similarity AS DOUBLE) AS similarity FROM scored WHERE similarity >= 0.82 - 1e-9",
     "discovered_names": with_("""listed AS (SELECT city, ord, 'Hotel ' || (ord % 7) AS name, 0 AS p FROM discovered_v UNION ALL SELECT city, ord, 'Inn ' || (ord % 5), 1 FROM discovered_v),
-firsts AS (SELECT city, name, min(ord * 10 + p) AS at FROM listed GROUP BY 1, 2)""".replace("discovered_v", "(SELECT d.city, d.ord FROM discovered_v d)"), views=("discovered_v",)) +
-    "SELECT city, name, at // 10 AS first_ord, at % 10 AS first_pos FROM firsts",
+firsts AS (SELECT city, name, min(ord * 10 + p) AS seen FROM listed GROUP BY 1, 2)""".replace("discovered_v", "(SELECT d.city, d.ord FROM discovered_v d)"), views=("discovered_v",)) +
+    "SELECT city, name, seen // 10 AS first_ord, seen % 10 AS first_pos FROM firsts",
     "stream_dedup": with_(RAW, LEADS, KEYS, *rounds(), views=("places_v",)) + "SELECT ord, id, company_name, city FROM leads SEMI JOIN accepted USING (ord)",
     "stream_stats": with_(RAW, LEADS, KEYS, *rounds(), views=("places_v",)) +
     "SELECT (SELECT count(*) FROM leads) AS received, CAST(0 AS BIGINT) AS invalid, (SELECT count(*) FROM leads) - (SELECT count(*) FROM accepted) AS duplicates, (SELECT count(*) FROM accepted) AS accepted",
