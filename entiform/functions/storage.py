@@ -46,3 +46,8 @@ class Scratch:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Store a result that several later steps read, so that it is computed once."""
+    return Scratch(df.sparkSession, name).write(df, "rows")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from entiform import fixed
 from entiform.functions.phone import PLANS
+from entiform.functions.storage import settle
 from entiform.operators.chains import detect_chains
 from entiform.operators.dedup import dedup_entities
 from entiform.operators.leads import flatten_leads, normalize_leads, parse_places, validate_leads
@@ -38,15 +39,16 @@ def finish_leads(leads: DataFrame, stages: Iterable[Stage] = (), tables: Mapping
     if restored is not None:
         leads = union_restored(restored, leads).drop("export_rank")
     if stages:
+        leads = settle(leads, "collected")
         attempted = F.coalesce("enrich_attempted", F.lit(False))
         done = leads.filter(attempted)
         leads = done.unionByName(run_stages(leads.filter(~attempted), stages, tables or {}))
-    return detect_chains(leads)
+    return detect_chains(settle(leads, "enriched"))
 
 
 def lead_delivery(places: DataFrame, country: str = fixed.DEFAULT_COUNTRY) -> DataFrame:
     """Listings to the delivery table: parse, normalise, validate, deduplicate, find chains, flatten."""
-    return flatten_leads(detect_chains(collect_leads(places, country)))
+    return flatten_leads(detect_chains(settle(collect_leads(places, country), "accepted")))
 
 
 __all__ = ["collect_leads", "finish_leads", "lead_delivery", "places_to_leads", "skip_done"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from entiform import fixed
 from entiform.functions.phone import PLANS
+from entiform.functions.storage import settle
 from entiform.operators.emails import email_verdicts
 from entiform.operators.extract import enrich_from_pages
 from entiform.operators.leads import eligible
@@ -81,7 +82,11 @@ def make_stages(spec: str | None) -> list[Stage]:
 
 
 def run_stages(leads: DataFrame, stages: Iterable[Stage], tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Leads after all stages, each marked as attempted."""
+    """Leads after all stages, each marked as attempted.
+
+    A stage reads its leads several times (for the patch and for the merge), so they are stored before it.
+    """
     for stage in stages:
+        leads = settle(leads, f"before-{stage.name}")
         leads = apply_patch(leads, stage.patch(stage.eligible(leads), tables), stage.name)
     return leads.withColumn("enrich_attempted", F.lit(True))
