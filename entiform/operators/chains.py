@@ -32,9 +32,11 @@ def detect_chains(leads: DataFrame, ord: str = "ord", brands=fixed.KNOWN_BRANDS)
                      trim(F.col("company_name")).alias("label"))
         .filter(F.col("_brand").isNotNull())
         .groupBy("_brand")
-        .agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("label", ord).alias("_label"))
-        .filter("lo <> hi").select("_brand", "_label")
+        .agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("label", ord).alias("_label"),
+             F.count("*").alias("_rows"))
+        .filter("lo <> hi").select("_brand", "_label", "_rows")
     )
     label = F.coalesce(F.col("_known"), F.col("_label"))
     chain = F.struct(label.isNotNull().alias("is_chain"), label.alias("name")).cast(schemas.CHAIN)
-    return lookup_join(keyed, spread, ["_brand"]).withColumn("chain", chain).drop("_brand", "_known", "_label")
+    joined = lookup_join(keyed, spread, ["_brand"], weight="_rows")
+    return joined.withColumn("chain", chain).drop("_brand", "_known", "_label", "_rows")

@@ -58,10 +58,11 @@ def _known_catch_all() -> Column:
 
 def address_statuses(addresses: DataFrame, domain_facts: DataFrame, address_facts: DataFrame | None = None
                      ) -> DataFrame:
-    """(email, status, known_catch_all): one row per distinct address."""
-    distinct = addresses.select("email").distinct()
+    """(email, status, known_catch_all, uses): one row per distinct address with the rows that hold it."""
+    distinct = addresses.groupBy("email").agg(F.count("*").alias("uses"))
     facts = attach_email_facts(distinct, domain_facts, address_facts)
-    return facts.select("email", email_status().alias("status"), _known_catch_all().alias("known_catch_all"))
+    return facts.select(
+        "email", email_status().alias("status"), _known_catch_all().alias("known_catch_all"), "uses")
 
 
 def email_verdicts(leads: DataFrame, domain_facts: DataFrame, address_facts: DataFrame | None = None) -> DataFrame:
@@ -70,7 +71,8 @@ def email_verdicts(leads: DataFrame, domain_facts: DataFrame, address_facts: Dat
     The status is that of the lead's own address, else the best of all. Leads without an address have no row.
     """
     addresses = lead_addresses(leads)
-    judged = lookup_join(addresses, address_statuses(addresses, domain_facts, address_facts), ["email"])
+    statuses = address_statuses(addresses, domain_facts, address_facts)
+    judged = lookup_join(addresses, statuses, ["email"], weight="uses")
     rank = F.array_position(F.array(*[F.lit(s) for s in fixed.EMAIL_STATUSES]), F.col("status")).cast("int")
     per_lead = judged.groupBy("id").agg(
         F.min(rank).alias("best"),

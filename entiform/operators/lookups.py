@@ -24,22 +24,25 @@ def _has_map(df: DataFrame, column: str) -> bool:
 
 
 def lookup_join(rows: DataFrame, facts: DataFrame, on: list[str], keys: DataFrame | None = None,
-                hot_keys: int = HOT_KEYS) -> DataFrame:
+                weight: str | None = None, hot_keys: int = HOT_KEYS) -> DataFrame:
     """Left join of `rows` to `facts`, which holds at most one row per key.
 
     Small facts: a plain join, which Spark turns into a broadcast below its own threshold. Otherwise the
     heaviest keys of the rows meet a broadcast slice of the facts; only the remaining rows are matched after
     a shuffle. Rows that are already matched, or have no key, are spread evenly over that shuffle.
-    `keys` is a cheaper table to count the keys in, when `rows` is costly.
+    `weight` names a column of the facts that tells how many rows hold the key; without it the keys are
+    counted in `keys`, or in the rows themselves.
     """
     if planned_bytes(facts) <= broadcast_limit(facts):
         return rows.join(facts, on, "left")
     added = [c for c in facts.columns if c not in on]
-    heavy = (
-        (rows if keys is None else keys).dropna(subset=on).groupBy(*on).agg(F.count("*").alias("_n"))
-        .orderBy(F.desc("_n"), *on).limit(hot_keys).select(*on)
-    )
-    hot = facts.join(F.broadcast(heavy), on, "left_semi").select(
+    if weight:
+        top = facts.orderBy(F.desc(weight), *on).limit(hot_keys)
+    else:
+        counted = (rows if keys is None else keys).dropna(subset=on).groupBy(*on).agg(F.count("*").alias("_n"))
+        top = facts.join(F.broadcast(
+            counted.orderBy(F.desc("_n"), *on).limit(hot_keys).select(*on)), on, "left_semi")
+    hot = top.select(
         *on, F.struct(F.lit(True).alias("_hit"), *added).alias("_hot"))
     cold = facts.select(
         *[F.col(c).alias(f"_key_{c}") for c in on], F.struct(F.lit(True).alias("_hit"), *added).alias("_cold"),

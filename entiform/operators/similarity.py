@@ -77,7 +77,7 @@ def similar_names(records: DataFrame, threshold: float = 0.6, name: str = "input
     forms = _counted(name_forms(records, token_form(F.col(name)), city, ord).filter("form <> ''"))
     words = forms.select("*", F.explode(F.split("form", " ")).alias("part"))
     frequency = words.groupBy("city_key", "part").agg(F.count("*").alias("df"))
-    ranked = lookup_join(words, frequency, ["city_key", "part"])
+    ranked = lookup_join(words, frequency, ["city_key", "part"], weight="df")
     # words of a form, rarest first: one order for all forms of a city
     ordered = (
         ranked.groupBy("city_key", "form", "n", "first_ord")
@@ -142,7 +142,7 @@ def fuzzy_name_pairs(records: DataFrame, threshold: float = 0.82, name: str = "i
     all_grams = F.array_distinct(F.flatten(F.array_compact(F.array(*[grams(F.lit(q)) for q in gram_sizes]))))
     held = filled.select("city_key", *cols, F.explode(all_grams).alias("part"))
     frequency = held.groupBy("city_key", "part").agg(F.count("*").alias("df"))
-    counted = lookup_join(held, frequency, ["city_key", "part"])
+    counted = lookup_join(held, frequency, ["city_key", "part"], weight="df")
     rarest = (
         counted.withColumn("own", own).filter(F.length("part") == F.col("own"))
         .groupBy("city_key", *cols).agg(F.min(F.struct("df", "part")).alias("best"))
@@ -185,8 +185,8 @@ def fuzzy_name_pairs(records: DataFrame, threshold: float = 0.82, name: str = "i
             F.substr("form", (F.col("at") + 1).cast("int"), F.col("stop") - F.col("start"))))
     )
     weights = probes.groupBy("city_key", "part").agg(F.count("*").alias("df"))
-    segments = lookup_join(segments, weights, ["city_key", "part"]).filter(F.col("df").isNotNull())
-    probes = lookup_join(probes, weights, ["city_key", "part"])
+    segments = lookup_join(segments, weights, ["city_key", "part"], weight="df").filter(F.col("df").isNotNull())
+    probes = lookup_join(probes, weights, ["city_key", "part"], weight="df")
     close = (
         _pairs(segments, probes, *cols)
         .filter(F.struct("size_a", "form_a") < F.struct("size_b", "form_b"))

@@ -46,7 +46,7 @@ def attach_email_facts(spark, d):
 
 def email_status(spark, d):
     found = _document_emails(spark, d)
-    return emails.address_statuses(found, _domain_facts(spark, d), _address_facts(spark, d))
+    return emails.address_statuses(found, _domain_facts(spark, d), _address_facts(spark, d)).drop("uses")
 
 
 def email_verdicts(spark, d):

@@ -90,9 +90,8 @@ def _stream(spark, d):
     scratch = Scratch(spark, "stream")
     places = view(spark, d, "places_v")
     # growing order: each file holds a later range of the order column
-    edges = places.agg(F.max("ord").alias("hi")).select((F.col("hi") / 4).alias("step"))
-    ranged = places.join(F.broadcast(edges)).withColumn(
-        "part", F.least(F.lit(3), F.floor(F.col("ord") / F.col("step")).cast("int"))).drop("step")
+    step = places.agg(F.max("ord")).first()[0] / 4
+    ranged = places.withColumn("part", F.least(F.lit(3), F.floor(F.col("ord") / F.lit(step)).cast("int")))
     for i in range(4):
         ranged.filter(F.col("part") == i).drop("part").write.mode("append").parquet(f"{scratch.path}/in")
     source = spark.readStream.schema(places.schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch.path}/in")
