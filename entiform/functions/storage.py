@@ -12,17 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 _DIR_SETTING = "spark.checkpoint.dir"
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder named by the cluster; a temporary folder only in local mode without that setting."""
-    named = spark.conf.get(_DIR_SETTING, None)
+    context = spark.sparkContext
+    named = spark.conf.get(_DIR_SETTING, None) or context.getConf().get(_DIR_SETTING)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"set {_DIR_SETTING} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="entiform-")
-    atexit.register(shutil.rmtree, folder, True)
-    spark.conf.set(_DIR_SETTING, folder)
-    return folder
+    if context.applicationId not in _local_dirs:
+        folder = tempfile.mkdtemp(prefix="entiform-")
+        atexit.register(shutil.rmtree, folder, True)
+        _local_dirs[context.applicationId] = folder
+    return _local_dirs[context.applicationId]
 
 
 class Scratch:

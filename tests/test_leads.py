@@ -162,3 +162,18 @@ def test_empty_options(spark):
         L.search_grid([" "], spark.createDataFrame([("x",)], "location string"))
     with pytest.raises(Exception, match="no city in"):
         L.city_refs(spark.createDataFrame([(" :Gabon",)], "spec string")).collect()
+
+
+def test_work_folder_comes_from_the_session(spark, tmp_path):
+    from entiform.functions.storage import Scratch, work_dir
+
+    named = str(tmp_path / "shared")
+
+    class Conf:
+        def get(self, key, default=None):
+            return named if key == "spark.checkpoint.dir" else default
+
+    class Session:
+        conf, sparkContext = Conf(), spark.sparkContext
+
+    assert work_dir(Session()) == named and Scratch(Session(), "x").path.startswith(named)
