@@ -177,3 +177,15 @@ def test_work_folder_comes_from_the_session(spark, tmp_path):
         conf, sparkContext = Conf(), spark.sparkContext
 
     assert work_dir(Session()) == named and Scratch(Session(), "x").path.startswith(named)
+
+
+def test_lookups_with_large_facts(spark):
+    """Chains and email verdicts through the path for facts too large to broadcast."""
+    import test_extract
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        test_chains(spark)
+        test_extract.test_email_verdicts(spark)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
