@@ -15,9 +15,12 @@ def sql():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not n.startswith("stream_")))
+QUERIES = {n: q for module in entry.LIBRARY for n, q in module.QUERIES.items()}
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("stream_")))
 def test_query_equals_sql(spark, sql, name):
-    df = entry.queries()[name](spark, FOLDER)
+    df = QUERIES[name](spark, FOLDER)
     plan = df._jdf.queryExecution().toString()
     assert "PythonUDF" not in plan and "CartesianProduct" not in plan and "ArrowEval" not in plan
     cur = sql.execute(entry.oracle_sql()[name])
@@ -31,4 +34,5 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == {n for module in entry.LIBRARY for n in module.ORACLES}
+    assert set(QUERIES) <= set(entry.queries())
