@@ -18,6 +18,7 @@ import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -26,10 +27,14 @@ from pyspark.sql import types as T
 from entiform.llm.common import by_value
 
 #: Distinct words that a worker remembers; the memory is emptied when it is full.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 250_000
 #: White space as the tokenizer's normaliser sees it.
 _SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
+#: Same alternatives, the commonest first; none of them can begin where another does.
+_REORDERED = {
+    r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+": r"\p{L}+|'(?:s|t|re|ve|m|ll|d)|\p{N}|[^\s\p{L}\p{N}]+"}
 _NEVER = 1 << 60
+_ROWS = 512
 
 
 def byte_letters() -> dict[int, str]:
@@ -48,15 +53,18 @@ class MergeAutomaton:
         if model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges"):
             raise ValueError("a plain BPE model is needed")
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.label = {i: t for t, i in model["vocab"].items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
+        labels = {i: t for t, i in model["vocab"].items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
+        self.label = [labels.get(i, "") for i in range(max(labels) + 1)]
         self.arc = model["vocab"]
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.pattern = regex.compile(next(
-            p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
+        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.pattern = regex.compile(_REORDERED.get(pattern, pattern))
         self.letters = byte_letters()
-        self.longest = max(len(t) for t in self.arc)
-        size = max(self.label) + 1
+        self.reach: dict[str, int] = {}  # longest arc that begins with these letters
+        for t in self.arc:
+            self.reach[t[:3]] = max(len(t), self.reach.get(t[:3], 0))
+        size = len(self.label)
         self.made = [0] * size  # when the arc was added; 0: a base symbol
         self.first, self.last = list(range(size)), list(range(size))
         self.gadget: dict[tuple[int, int], int] = {}
@@ -99,29 +107,45 @@ class MergeAutomaton:
                 return True
 
     def walk(self, word: str) -> tuple[int, ...]:
-        """Token ids of one pre-split word: the automaton's only path that spells it."""
+        """Token ids of one pre-split word: the automaton's only path that spells it.
+
+        The longest arc that leaves the state is tried first. A position from which nothing leads on is given up for good,
+        since only one path leads to it.
+        """
         spelled = "".join(map(self.letters.__getitem__, word.encode()))
-        n, arc, follows, longest = len(spelled), self.arc, self.follows, self.longest
-        state, start = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            tail = self.suffix if end == n else ""
-            for s in range(max(0, end - longest), end):
-                t = arc.get(spelled[s:end] + tail)
-                if t is not None and (s == 0 or state[s] >= 0 and follows(state[s], t)):
-                    state[end], start[end] = t, s
-                    break
-        out, end = [], n
-        while end:
-            out.append(state[end])
-            end = start[end]
-        return tuple(reversed(out))
+        n, arc, reach, suffix, size, table = len(spelled), self.arc, self.reach, self.suffix, self.size, self.table
+        path, starts, ends, dead = [], [], [], set()
+        at, state, end = 0, -1, n
+        while at < n:
+            end = min(end, at + reach.get(spelled[at:at + 3], 3), n)
+            while end > at:
+                if end not in dead:
+                    t = arc.get(spelled[at:end] + suffix if end == n else spelled[at:end])
+                    if t is not None:
+                        if state < 0:
+                            break
+                        ok = table.get(state * size + t)
+                        if ok or ok is None and self.follows(state, t):
+                            break
+                end -= 1
+            if end > at:
+                path.append(t)
+                starts.append(at)
+                ends.append(end)
+                at, state, end = end, t, n
+            else:
+                dead.add(at)
+                path.pop()
+                at, end = starts.pop(), ends.pop() - 1
+                state = path[-1] if path else -1
+        return tuple(path)
 
     def spelled(self, word: str) -> tuple[int, ...]:
         got = self.memo.get(word)
         if got is None:
             if len(self.memo) >= MEMO_WORDS:
                 self.memo.clear()
-            if len(self.table) >= 20 * MEMO_WORDS:
+            if len(self.table) >= 2 * MEMO_WORDS:
                 self.table.clear()
             got = self.memo[word] = self.walk(word)
         return got
@@ -155,27 +179,30 @@ def compile_file(path: str) -> MergeAutomaton:
         return MergeAutomaton(json.load(f))
 
 
-def _with(df: DataFrame, field: T.StructField) -> T.StructType:
-    if field.name in df.columns:
-        raise ValueError(f"the input has a column {field.name} already")
-    return T.StructType([*df.schema.fields, field])
+def _with(df: DataFrame, *fields: T.StructField) -> T.StructType:
+    clash = {f.name for f in fields} & set(df.columns)
+    if clash:
+        raise ValueError(f"the input has columns {sorted(clash)} already")
+    return T.StructType([*df.schema.fields, *fields])
 
 
-def encode(df: DataFrame, path: str, text: str = "text", into: str = "token_ids") -> DataFrame:
-    """Add the token ids of each whole text."""
+def encode(df: DataFrame, path: str, text: str = "text", into: str = "token_ids", decoded: str | None = None) -> DataFrame:
+    """Add the token ids of each whole text; `decoded` also adds the text that these ids stand for."""
     model = df.sparkSession.sparkContext.broadcast(compile_file(path))
+    fields = [T.StructField(into, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.value
-        for batch in batches:
+        for batch in _slices(batches):
             ids = [automaton.encode(t) for t in batch.column(text).to_pylist()]
-            offsets = [0]
-            for x in ids:
-                offsets.append(offsets[-1] + len(x))
-            column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(list(chain.from_iterable(ids)), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, into])
+            offsets = np.cumsum([0, *map(len, ids)])
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
+            columns = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))]
+            if decoded:
+                columns.append(pa.array([automaton.decode(x) for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *(f.name for f in fields)])
 
-    return df.mapInArrow(run, _with(df, T.StructField(into, T.ArrayType(T.IntegerType()))))
+    return df.mapInArrow(run, _with(df, *fields))
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
@@ -184,11 +211,18 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", into: str = "decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.value
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [automaton.decode(x or ()) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
 
     return df.mapInArrow(run, _with(df, T.StructField(into, T.StringType())))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that their tokens stay small in memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(at, _ROWS)
+
+
 by_value(__name__)
