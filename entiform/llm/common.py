@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,19 @@ def by_value(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+def share(spark: SparkSession, thing) -> Callable[[], object]:
+    """Broadcast `thing` together with its code; a worker unpacks it once and keeps it for later tasks."""
+    packed = spark.sparkContext.broadcast({"packed": cloudpickle.dumps(thing)})
+
+    def get():
+        held = packed.value
+        if "thing" not in held:
+            held["thing"] = cloudpickle.loads(held.pop("packed"))
+        return held["thing"]
+
+    return get
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -6,20 +6,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entiform.llm import bpe
-from entiform.llm.common import table
+from entiform.llm import bpe, langid, toxicity
+from entiform.llm.common import checksum, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(checksum("doc_id") % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted", F.size("hits").cast("long").alias("n_hits"))
+
+
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    return langid.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(checksum("doc_id") % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    done = bpe.decode(bpe.encode(docs, TOKENIZER).select("doc_id", "token_ids"), TOKENIZER)
-    return done.select(
+    return bpe.encode(docs, TOKENIZER, decoded="decoded").select(
         "doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op10_bpe": op10_bpe}
+QUERIES = {"op1_toxicity": op1_toxicity, "op6_language": op6_language, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {}
