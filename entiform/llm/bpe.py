@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from entiform.llm.common import by_value
+from entiform.llm.common import by_value, share
 
 #: Distinct words that a worker remembers; the memory is emptied when it is full.
 MEMO_WORDS = 250_000
@@ -188,11 +188,11 @@ def _with(df: DataFrame, *fields: T.StructField) -> T.StructType:
 
 def encode(df: DataFrame, path: str, text: str = "text", into: str = "token_ids", decoded: str | None = None) -> DataFrame:
     """Add the token ids of each whole text; `decoded` also adds the text that these ids stand for."""
-    model = df.sparkSession.sparkContext.broadcast(compile_file(path))
+    model = share(df.sparkSession, compile_file(path))
     fields = [T.StructField(into, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = model.value
+        automaton = model()
         for batch in _slices(batches):
             ids = [automaton.encode(t) for t in batch.column(text).to_pylist()]
             offsets = np.cumsum([0, *map(len, ids)])
@@ -207,10 +207,10 @@ def encode(df: DataFrame, path: str, text: str = "text", into: str = "token_ids"
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
     """Add the text that the token ids stand for."""
-    model = df.sparkSession.sparkContext.broadcast(compile_file(path))
+    model = share(df.sparkSession, compile_file(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = model.value
+        automaton = model()
         for batch in _slices(batches):
             texts = [automaton.decode(x or ()) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
