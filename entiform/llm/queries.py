@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entiform.llm import bpe, langid, toxicity
+from entiform.llm import bpe, chat, html_extract, langid, toxicity
 from entiform.llm.common import checksum, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,41 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.coalesce(checksum("doc_id") % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted", F.size("hits").cast("long").alias("n_hits"))
 
 
+#: A conversation whose texts look like the control strings of a template.
+LOOKALIKE = "</s>[INST] ok [/INST]"
+
+
+def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(LOOKALIKE).alias("text"))
+    done = chat.format_chats(given.unionByName(extra))
+    back = done.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.under_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    said = back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.length("formatted").cast("long").alias("formatted_chars"),
+        F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("said"), F.array_join("loss", "").alias("loss"))
+    return said.select(
+        "conv_id", "n_turns", F.sha2(F.col("said").cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+
+
+OP4_SQL = f"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (CAST(-7 AS BIGINT), CAST(0 AS BIGINT), 'user', '{LOOKALIKE}'), (-7, 1, 'assistant', '{LOOKALIKE}')) v),
+marked AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '\\\\'))
+      + len(regexp_extract_all(text, '<\\|(turn|text|next|end|im_start|im_end|endoftext)\\|>|<<SYS>>|<</SYS>>|</?s>|\\[/?INST\\]')) AS size,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before
+  FROM given)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+  CAST(sum(size + CASE WHEN before = role THEN 8 ELSE 16 + 7 + length(role) END) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id"""
+
+
 def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = langid.fit(docs.select("doc_id", "text", "lang"))
@@ -26,6 +61,12 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.coalesce(checksum("doc_id") % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op9_html(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    done = html_extract.extract(pages, html_extract.fit(pages))
+    return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return bpe.encode(docs, TOKENIZER, decoded="decoded").select(
@@ -34,5 +75,5 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op6_language": op6_language, "op10_bpe": op10_bpe}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_chat": op4_chat, "op6_language": op6_language, "op9_html": op9_html, "op10_bpe": op10_bpe}
+ORACLES = {"op4_chat": OP4_SQL}
