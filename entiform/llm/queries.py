@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entiform.llm import bpe, chat, html_extract, langid, toxicity
+from entiform.llm import bpe, chat, decontaminate, html_extract, langid, line_dedup, secrets, toxicity
 from entiform.llm.common import checksum, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,41 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.coalesce(checksum("doc_id") % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted", F.size("hits").cast("long").alias("n_hits"))
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return line_dedup.drop_boilerplate(docs).select("doc_id", "text", "lines_dropped")
+
+
+OP2_SQL = """
+WITH lines AS (SELECT DISTINCT source, rid, trim(line) AS line FROM (
+    SELECT source, rowid AS rid, unnest(string_split(text, chr(10))) AS line FROM (SELECT *, row_number() OVER () AS rowid FROM documents)) WHERE trim(line) <> ''),
+hosts AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+cut AS (SELECT l.source, l.line FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
+  GROUP BY l.source, l.line, h.pages HAVING count(*) >= 5 AND count(*) >= 0.1::DOUBLE * h.pages),
+cuts AS (SELECT source, list(line) AS cut FROM cut GROUP BY source),
+kept AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines,
+    CASE WHEN cut IS NOT NULL THEN list_filter(string_split(text, chr(10)), x -> NOT list_contains(cut, trim(x))) END AS kept
+  FROM documents d LEFT JOIN cuts c ON d.source IS NOT DISTINCT FROM c.source)
+SELECT doc_id, CASE WHEN kept IS NULL THEN text ELSE array_to_string(kept, chr(10)) END AS text,
+  CASE WHEN kept IS NULL THEN 0 ELSE len(lines) - len(kept) END AS lines_dropped
+FROM kept"""
+
+
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contained(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+
+
+OP3_SQL = """
+WITH both_tables AS (SELECT 'd' AS side, doc_id AS id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'i', item_id, text FROM benchmark WHERE text IS NOT NULL),
+w AS (SELECT side, id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+') AS w FROM both_tables),
+s AS (SELECT DISTINCT side, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS h FROM w),
+n AS (SELECT id, count(*) AS n_shingles FROM s WHERE side = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, n.n_shingles, count(*) / n.n_shingles AS containment
+FROM s d JOIN s i ON d.h = i.h AND d.side = 'd' AND i.side = 'i' JOIN n ON n.id IS NOT DISTINCT FROM i.id
+GROUP BY d.id, i.id, n.n_shingles HAVING count(*) >= 0.8::DOUBLE * n.n_shingles"""
+
+
 #: A conversation whose texts look like the control strings of a template.
 LOOKALIKE = "</s>[INST] ok [/INST]"
 
@@ -54,6 +89,16 @@ SELECT conv_id, count(*) AS n_turns,
 FROM marked GROUP BY conv_id"""
 
 
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"].isin(*secrets.BASE))
+
+    def count(kind):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("secrets")).alias("spans"))
+
+
 def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = langid.fit(docs.select("doc_id", "text", "lang"))
@@ -75,5 +120,5 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_chat": op4_chat, "op6_language": op6_language, "op9_html": op9_html, "op10_bpe": op10_bpe}
-ORACLES = {"op4_chat": OP4_SQL}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_line_dedup": op2_line_dedup, "op3_decontaminate": op3_decontaminate, "op4_chat": op4_chat, "op5_secrets": op5_secrets, "op6_language": op6_language, "op9_html": op9_html, "op10_bpe": op10_bpe}
+ORACLES = {"op2_line_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_chat": OP4_SQL}
