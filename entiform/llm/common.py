@@ -49,6 +49,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return Scratch(df.sparkSession, name).write(df, "rows")
 
 
+def each(df: DataFrame, *kept: str, array: str | Column, into: str) -> DataFrame:
+    """One row for each element of an array.
+
+    A plain explode makes the optimizer filter empty arrays first, which computes the array a second time and pulls its inputs into its
+    lambdas; the outer form with a filter behind it does not.
+    """
+    return df.select(*kept, F.explode_outer(array).alias(into)).where(F.col(into).isNotNull())
+
+
 def checksum(column: str) -> Column:
     """crc32 of an id written as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

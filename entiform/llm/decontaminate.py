@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entiform.llm.common import NEAR, SHINGLE_WORDS, settle
+from entiform.llm.common import NEAR, SHINGLE_WORDS, each, settle
 
 #: Rows of a sketch that are sent to all executors at most (a row is a few dozen bytes).
 BROADCAST_ROWS = 200_000
@@ -37,6 +37,12 @@ def shingles(words: Column, size: int = SHINGLE_WORDS) -> Column:
     return F.array_distinct(F.when(F.size(words) >= size, many).when(F.size(words) > 0, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(F.array().cast("array<bigint>")))
 
 
+def shingled(df: DataFrame, name: str, text: str) -> DataFrame:
+    """(name, sh): the distinct shingles of each row. The words are a column of their own, so that they are taken out of a text once."""
+    words = df.select(name, word_array(F.col(text)).alias("words"))
+    return words.select(name, shingles(F.col("words")).alias("sh"))
+
+
 def _sketches(items: DataFrame, threshold: float) -> DataFrame:
     """(item, h) of each item's bottom-k MinHash, k by its partition of sizes."""
     upper = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n").cast("double"))))  # sizes up to 1, 2, 4, 8, ... make one partition each
@@ -46,17 +52,17 @@ def _sketches(items: DataFrame, threshold: float) -> DataFrame:
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = NEAR, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
     """(doc, item, n_shared, n_shingles, containment) for each item of which a document holds at least `threshold` of the shingles."""
-    prepared = (items.select(F.col(item).alias("item"), F.explode(shingles(word_array(F.col(text)))).alias("h"))
+    prepared = (each(shingled(items.select(F.col(item).alias("item"), F.col(text).alias("body")), "item", "body"), "item", array="sh", into="h")
                 .groupBy("item").agg(F.collect_set("h").alias("sh")))
     prepared = settle(prepared.withColumn("n", F.size("sh")), "benchmark-items")
     sketch = settle(_sketches(prepared, threshold).groupBy("h").agg(F.collect_set("item").alias("items")), "benchmark-sketches")
     small = F.broadcast if sketch.count() <= BROADCAST_ROWS else (lambda df: df)
     own = docs.select(F.col(doc).alias("doc"), F.col(text).alias("body")).where(F.col("body").isNotNull())
-    probes = own.select("doc", F.explode(shingles(word_array(F.col("body")))).alias("h"))
+    probes = each(shingled(own, "doc", "body"), "doc", array="sh", into="h")
     found = settle(probes.join(small(sketch), "h").select("doc", F.explode("items").alias("item")).distinct(), "benchmark-candidates")
     suspects = found.select("doc").distinct().withColumnRenamed("doc", "suspect")
     again = own.join(suspects, F.col("doc").eqNullSafe(F.col("suspect")), "left_semi")
-    checked = again.select("doc", F.explode(shingles(word_array(F.col("body")))).alias("h"))
+    checked = each(shingled(again, "doc", "body"), "doc", array="sh", into="h")
     wanted = prepared.select("item", F.explode("sh").alias("h"))
     listed = wanted.groupBy("h").agg(F.collect_set("item").alias("items"))
     listed = F.broadcast(listed) if wanted.count() <= BROADCAST_ROWS else listed

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entiform.llm.common import settle
+from entiform.llm.common import each, settle
 
 #: Parts of a host's pages that look up the host's boilerplate apart from each other.
 SALTS = 32
@@ -32,8 +32,7 @@ def boilerplate(pages: DataFrame, ratio: float, min_pages: int, host: str = "sou
     """
     named = pages.select(F.col(host).cast("string").alias("host"), F.col(text).alias("body"))
     lines = F.array_distinct(F.filter(F.transform(F.split("body", "\n"), F.trim), lambda x: x != ""))
-    each = named.select("host", F.explode(lines).alias("line"))
-    seen = each.groupBy("host", _hash(F.col("line")).alias("line")).agg(F.count("*").alias("on_pages")).where(F.col("on_pages") >= min_pages)
+    seen = each(named, "host", array=lines, into="line").groupBy("host", _hash(F.col("line")).alias("line")).agg(F.count("*").alias("on_pages")).where(F.col("on_pages") >= min_pages)
     totals = named.groupBy(F.col("host").alias("of_host")).agg(F.count("*").alias("pages"))
     return (seen.join(totals, F.col("host").eqNullSafe(F.col("of_host"))).where(F.col("on_pages") >= F.lit(ratio) * F.col("pages"))
             .groupBy("host").agg(F.collect_list("line").alias("cut")))

@@ -32,7 +32,7 @@ cut AS (SELECT l.source, l.line FROM lines l JOIN hosts h ON l.source IS NOT DIS
   GROUP BY l.source, l.line, h.pages HAVING count(*) >= 5 AND count(*) >= 0.1::DOUBLE * h.pages),
 cuts AS (SELECT source, list(line) AS cut FROM cut GROUP BY source),
 kept AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines,
-    CASE WHEN cut IS NOT NULL THEN list_filter(string_split(text, chr(10)), x -> NOT list_contains(cut, trim(x))) END AS kept
+    CASE WHEN cut IS NOT NULL THEN list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(cut, trim(x))) END AS kept
   FROM documents d LEFT JOIN cuts c ON d.source IS NOT DISTINCT FROM c.source)
 SELECT doc_id, CASE WHEN kept IS NULL THEN text ELSE array_to_string(kept, chr(10)) END AS text,
   CASE WHEN kept IS NULL THEN 0 ELSE len(lines) - len(kept) END AS lines_dropped
@@ -46,7 +46,7 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 OP3_SQL = """
 WITH both_tables AS (SELECT 'd' AS side, doc_id AS id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'i', item_id, text FROM benchmark WHERE text IS NOT NULL),
 w AS (SELECT side, id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+') AS w FROM both_tables),
-s AS (SELECT DISTINCT side, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+s AS (SELECT DISTINCT side, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
   WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS h FROM w),
 n AS (SELECT id, count(*) AS n_shingles FROM s WHERE side = 'i' GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, n.n_shingles, count(*) / n.n_shingles AS containment

@@ -19,7 +19,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entiform.llm.common import settle
+from entiform.llm.common import each, settle
 
 
 @dataclass(frozen=True)
@@ -144,7 +144,7 @@ def postings(docs: DataFrame, wanted: dict[tuple[str, bool], int], doc: str, tex
     body = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     body = body.withColumn("low", F.lower("body"))
     flags = F.array(*[F.when(F.contains("low" if low else "body", F.lit(t)), F.lit(k)) for (t, low), k in wanted.items()])
-    return body.select("doc", F.explode(F.array_compact(flags)).alias("key"))
+    return each(body, "doc", array=F.array_compact(flags), into="key")
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...], doc: str, text: str) -> tuple[DataFrame, dict[str, int]]:
