@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entiform.llm import bpe, chat, decontaminate, html_extract, jaccard_join, langid, line_dedup, secrets, toxicity
+from entiform.llm import bpe, chat, decontaminate, embedding_dedup, html_extract, jaccard_join, langid, line_dedup, secrets, toxicity
 from entiform.llm.common import checksum, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -110,6 +110,11 @@ def op7_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_classes(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
 
 
+def op8_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    done = embedding_dedup.near_classes(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    return done.select("vec_id", "n_links", F.col("class_id").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
 def op9_html(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     done = html_extract.extract(pages, html_extract.fit(pages))
@@ -124,5 +129,5 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_line_dedup": op2_line_dedup, "op3_decontaminate": op3_decontaminate, "op4_chat": op4_chat, "op5_secrets": op5_secrets, "op6_language": op6_language, "op7_jaccard": op7_jaccard, "op9_html": op9_html, "op10_bpe": op10_bpe}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_line_dedup": op2_line_dedup, "op3_decontaminate": op3_decontaminate, "op4_chat": op4_chat, "op5_secrets": op5_secrets, "op6_language": op6_language, "op7_jaccard": op7_jaccard, "op8_embeddings": op8_embeddings, "op9_html": op9_html, "op10_bpe": op10_bpe}
 ORACLES = {"op2_line_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_chat": OP4_SQL}
