@@ -7,8 +7,8 @@ later, because a new arc w enters where u entered and leaves where v left. So ex
 its BPE encoding. The arcs' gadgets are compiled into tables; the entry (state, arc) is worked out from the gadgets when
 it is first used and then kept. Decoding emits the labels of the arcs.
 
-Input rows are kept one to one: a null or empty text gives no tokens, other columns pass through, the order of rows does not
-matter. Texts of any length take time in proportion to their length.
+Input rows are kept one to one: a null or empty text gives no tokens, other columns pass through (one with the name of a
+result is replaced), the order of rows does not matter. Texts of any length take time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from entiform.llm.common import by_value, share
+from entiform.llm.common import by_value, share, without
 
 #: Distinct words that a worker remembers; the memory is emptied when it is full.
 MEMO_WORDS = 250_000
@@ -179,16 +179,10 @@ def compile_file(path: str) -> MergeAutomaton:
         return MergeAutomaton(json.load(f))
 
 
-def _with(df: DataFrame, *fields: T.StructField) -> T.StructType:
-    clash = {f.name for f in fields} & set(df.columns)
-    if clash:
-        raise ValueError(f"the input has columns {sorted(clash)} already")
-    return T.StructType([*df.schema.fields, *fields])
-
-
 def encode(df: DataFrame, path: str, text: str = "text", into: str = "token_ids", decoded: str | None = None) -> DataFrame:
     """Add the token ids of each whole text; `decoded` also adds the text that these ids stand for."""
     model = share(df.sparkSession, compile_file(path))
+    df = without(df, into, *([decoded] if decoded else []))
     fields = [T.StructField(into, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,12 +196,13 @@ def encode(df: DataFrame, path: str, text: str = "text", into: str = "token_ids"
                 columns.append(pa.array([automaton.decode(x) for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *(f.name for f in fields)])
 
-    return df.mapInArrow(run, _with(df, *fields))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
     """Add the text that the token ids stand for."""
     model = share(df.sparkSession, compile_file(path))
+    df = without(df, into)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model()
@@ -215,7 +210,7 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", into: str = "decode
             texts = [automaton.decode(x or ()) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
 
-    return df.mapInArrow(run, _with(df, T.StructField(into, T.StringType())))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.StringType())]))
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

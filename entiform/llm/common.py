@@ -49,6 +49,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return Scratch(df.sparkSession, name).write(df, "rows")
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """The input without columns that the result will replace; names are compared as Spark does, without case."""
+    low = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
+
+
 def each(df: DataFrame, *kept: str, array: str | Column, into: str) -> DataFrame:
     """One row for each element of an array.
 

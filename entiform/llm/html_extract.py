@@ -9,7 +9,7 @@ Training pages are a bounded sample of the table itself: nodes below `article`,
 below menus, footers, adverts and the like do not; pages without such marks teach nothing. Each of them is also laid out anew, in other tags
 and tokens and with notices, forms, side bars and comments, so that the trees also know layouts that the table lacks.
 
-A null or empty page has an empty text. Pages of any size take time in proportion to their length. Without training pages the built-in
+A null or empty page has an empty text. A column with the name of the result is replaced. Pages of any size take time in proportion to their length. Without training pages the built-in
 layouts alone are learned.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from entiform.llm.common import by_value, share
+from entiform.llm.common import by_value, share, without
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
@@ -501,8 +501,7 @@ def fit(pages: DataFrame, fit_pages: int = 80, page: str = "html", key: str = "p
 
 def extract(df: DataFrame, model: ExtractionModel, page: str = "html", into: str = "text") -> DataFrame:
     """Add the main text of each whole page."""
-    if into in df.columns:
-        raise ValueError(f"the input has a column {into} already")
+    df = without(df, into)
     shared = share(df.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ the false positives that the fill of the slice makes likely and for the share of
 
 An n-gram belongs to a language when its share there is at least `keep` of its largest share. Fitting reads at most `fit_rows` texts,
 those with the smallest checksum of their id; every text is read in full when it is judged. A null text or one without a letter
-is `und` with score 0, and so is every text if nothing could be learned.
+is `und` with score 0 (columns with the names of results are replaced), and so is every text if nothing could be learned.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from entiform.llm.common import by_value, checksum, share
+from entiform.llm.common import by_value, checksum, share, without
 
 UNKNOWN = "und"
 #: Code points per letter n-gram: three of 21 bits fill a 63-bit number.
@@ -157,9 +157,7 @@ def fit(docs: DataFrame, fit_rows: int = 12_000, folds: int = 4, held_out: int =
 
 def identify(df: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
     """Add `lang_pred` and `score` (share of the best language) to each row."""
-    clash = {"lang_pred", "score"} & set(df.columns)
-    if clash:
-        raise ValueError(f"the input has columns {sorted(clash)} already")
+    df = without(df, "lang_pred", "score")
     if model is None:
         return df.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     shared = share(df.sparkSession, model)

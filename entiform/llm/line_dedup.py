@@ -7,7 +7,7 @@ within each task before anything is shuffled, so a line on a third of all pages
 its pages by one join, which Spark broadcasts while they are small; else the pages of a host look them up in `SALTS` parts.
 
 Null texts stay null and count as a page; an empty text stays. Rows with a null host are one host. Rows with the same or a null id are
-kept and judged one by one; the id only spreads the rows. An empty table gives no rows.
+kept and judged one by one; the id only spreads the rows. An empty table gives no rows; a column lines_dropped is replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entiform.llm.common import each, settle
+from entiform.llm.common import each, settle, without
 
 #: Parts of a host's pages that look up the host's boilerplate apart from each other.
 SALTS = 32
@@ -40,8 +40,7 @@ def boilerplate(pages: DataFrame, ratio: float, min_pages: int, host: str = "sou
 
 def drop_boilerplate(docs: DataFrame, ratio: float = 0.1, min_pages: int = 5, host: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rewrite `text` without boilerplate lines and add `lines_dropped`."""
-    if "lines_dropped" in docs.columns:
-        raise ValueError("the input has a column lines_dropped already")
+    docs = without(docs, "lines_dropped")
     cuts = settle(boilerplate(docs, ratio, min_pages, host, text), "boilerplate")
     copies = cuts.select(F.col("host").alias("__host"), F.col("cut").alias("__cut"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
     salt = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(SALTS)).cast("int")

@@ -7,7 +7,7 @@ matched against every text.
 
 All native. Postings of a trigram are spread by document, never gathered, so a trigram that occurs in a third of all texts is no hot group.
 Matches are leftmost and do not overlap within a rule; positions are code points, ends exclusive. A null text counts as empty. Rows with the same
-or a null id are kept and judged one by one. An empty table gives no rows.
+or a null id are kept and judged one by one. An empty table gives no rows; a column secrets is replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entiform.llm.common import each, settle
+from entiform.llm.common import each, settle, without
 
 
 @dataclass(frozen=True)
@@ -191,8 +191,7 @@ def _quick(rule: Rule) -> str:
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Add `secrets`, the sorted array of (kind, start, end) of each whole text."""
-    if "secrets" in docs.columns:
-        raise ValueError("the input has a column secrets already")
+    docs = without(docs, "secrets")
     picked, bits = candidates(docs, rules, doc, text)
     picked = settle(picked, "secret-candidates").select(F.col("doc").alias("__doc"), F.col("ruled").alias("__ruled"))
     joined = docs.join(picked, docs[doc].eqNullSafe(F.col("__doc")), "left").withColumn("__body", F.coalesce(F.col(text), F.lit("")))
