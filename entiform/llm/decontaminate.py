@@ -55,18 +55,18 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = NEAR, doc: s
     prepared = (each(shingled(items.select(F.col(item).alias("item"), F.col(text).alias("body")), "item", "body"), "item", array="sh", into="h")
                 .groupBy("item").agg(F.collect_set("h").alias("sh")))
     prepared = settle(prepared.withColumn("n", F.size("sh")), "benchmark-items")
-    sketch = settle(_sketches(prepared, threshold).groupBy("h").agg(F.collect_set("item").alias("items")), "benchmark-sketches")
+    sketch = settle(_sketches(prepared, threshold).groupBy("h").agg(F.collect_set(F.struct("item")).alias("items")), "benchmark-sketches")
     small = F.broadcast if sketch.count() <= BROADCAST_ROWS else (lambda df: df)
     own = docs.select(F.col(doc).alias("doc"), F.col(text).alias("body")).where(F.col("body").isNotNull())
     probes = each(shingled(own, "doc", "body"), "doc", array="sh", into="h")
-    found = settle(probes.join(small(sketch), "h").select("doc", F.explode("items").alias("item")).distinct(), "benchmark-candidates")
+    found = settle(probes.join(small(sketch), "h").select("doc", F.explode("items").alias("of")).select("doc", "of.item").distinct(), "benchmark-candidates")
     suspects = found.select("doc").distinct().withColumnRenamed("doc", "suspect")
     again = own.join(suspects, F.col("doc").eqNullSafe(F.col("suspect")), "left_semi")
     checked = each(shingled(again, "doc", "body"), "doc", array="sh", into="h")
     wanted = prepared.select("item", F.explode("sh").alias("h"))
-    listed = wanted.groupBy("h").agg(F.collect_set("item").alias("items"))
+    listed = wanted.groupBy("h").agg(F.collect_set(F.struct("item")).alias("items"))
     listed = F.broadcast(listed) if wanted.count() <= BROADCAST_ROWS else listed
-    shared = (checked.join(listed, "h").select("doc", "h", F.explode("items").alias("item")).distinct()
+    shared = (checked.join(listed, "h").select("doc", "h", F.explode("items").alias("of")).select("doc", "h", "of.item").distinct()
               .groupBy("doc", "item").agg(F.count("*").alias("n_shared")))
     pairs = found.withColumnsRenamed({"doc": "d", "item": "i"})
     kept = shared.join(pairs, F.col("doc").eqNullSafe(F.col("d")) & F.col("item").eqNullSafe(F.col("i")), "left_semi")

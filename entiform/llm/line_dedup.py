@@ -31,7 +31,7 @@ def boilerplate(pages: DataFrame, ratio: float, min_pages: int, host: str = "sou
     A host has at most (its distinct lines per page) / `ratio` of them, so the array is bounded.
     """
     named = pages.select(F.col(host).cast("string").alias("host"), F.col(text).alias("body"))
-    lines = F.array_distinct(F.filter(F.transform(F.split("body", "\n"), F.trim), lambda x: x != ""))
+    lines = F.array_distinct(F.filter(F.transform(F.split("body", "\n"), lambda x: F.trim(x)), lambda x: x != ""))
     seen = each(named, "host", array=lines, into="line").groupBy("host", _hash(F.col("line")).alias("line")).agg(F.count("*").alias("on_pages")).where(F.col("on_pages") >= min_pages)
     totals = named.groupBy(F.col("host").alias("of_host")).agg(F.count("*").alias("pages"))
     return (seen.join(totals, F.col("host").eqNullSafe(F.col("of_host"))).where(F.col("on_pages") >= F.lit(ratio) * F.col("pages"))
