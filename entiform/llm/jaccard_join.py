@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -122,25 +123,25 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 def buckets(nodes: DataFrame, threshold: float, depth: int) -> DataFrame:
-    """(path, key, copies, sketch) of all buckets with two sets or more, none of them large."""
-    now = settle(nodes.select(F.explode("paths").alias("path"), "key", "copies", "sketch"), "paths")
-    ready = []
+    """(path, key, copies, sketch) of all buckets with two sets or more, none of them large.
+
+    Only paths and keys are counted and split; sketches join those that are left.
+    """
+    body = nodes.select("key", "copies", "sketch")
+    now, ready = nodes.select(F.explode("paths").alias("path"), "key"), []
     for level in range(depth + 1):
         sizes = settle(now.groupBy("path").agg(F.count("*").alias("size")).where(F.col("size") > 1), "bucket-sizes")
-        small = sizes.where(F.col("size") <= BUCKET).select("path")
+        ready.append(now.join(sizes.where(F.col("size") <= BUCKET), "path", "left_semi"))
         large = sizes.where(F.col("size") > BUCKET)
-        ready.append(now.join(small, "path", "left_semi"))
         if large.isEmpty():
             break
         rest = now.join(large, "path")
         if level == depth:
             ready.append(_blocks(rest))
         else:
-            now = settle(_split(rest.drop("size").select(*now.columns), threshold), "paths")
-    out = ready[0]
-    for more in ready[1:]:
-        out = out.unionByName(more)
-    return out
+            whole = rest.join(body, "key").select("path", "key", "copies", "sketch")
+            now = settle(_split(whole, threshold).select("path", "key"), "paths")
+    return reduce(DataFrame.unionByName, ready).join(body, "key").select("path", "key", "copies", "sketch")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
