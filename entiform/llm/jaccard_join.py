@@ -266,7 +266,8 @@ def _verify(group: pa.Table, threshold: float) -> list[tuple[bytes, bytes | None
 def _whole_sets(docs: DataFrame, nodes: DataFrame, name: str, text: str) -> DataFrame:
     """(key, shingles) of the wanted nodes (key, first_id), read again from their texts."""
     wanted = nodes.select(F.col("first_id").alias("wanted")).distinct()
-    again = docs.select(name, text).join(wanted, F.col(name).eqNullSafe(F.col("wanted")), "left_semi")
+    # As many ids as documents have partners: never a broadcast, so that each size runs the same plan.
+    again = docs.select(name, text).join(wanted.hint("merge"), F.col(name).eqNullSafe(F.col("wanted")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
