@@ -139,6 +139,9 @@ SITE_PATHS = (
 MAX_PAGES = 4
 EXTRA_ATTEMPTS = 2
 
+# A longer text is not read as one phone number (rule of the numbering library whose results are matched).
+PHONE_MAX_TEXT = 250
+
 # A place category may not be one of the page's action buttons.
 ACTION_WORDS = (
     "ajouter", "add", "suggest", "modifier", "claim", "revendiquer",
@@ -160,6 +163,8 @@ EXCERPT_CUT = 200
 MAX_HIGHLIGHTS = 5
 MAX_CITED = 8
 PAGE_TEXT_CUT = 3000
+# Links of a stored result page are relative to this.
+RESULT_BASE = "https://duckduckgo.com/"
 DELIVERY_TEXT_CUT = 1900
 CONFIDENCE_WITHOUT_SOURCES = 0.4
 INVALID_EMAIL_CONFIDENCE = 0.3

@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from entiform.functions.names import literal_map
+from entiform import fixed
 from entiform.functions.text import BLANK, let, trim
 
 
@@ -39,7 +40,6 @@ PLANS = (
 )
 
 _SEPARATORS = "[ \u00a0\u00ad\u200b\u2060\u3000\u2010-\u2015\u2212()\\[\\]./~-]"
-_MAX_CHUNK = 250
 
 
 def first_chunk(raw: Column) -> Column:
@@ -52,7 +52,7 @@ def candidate(chunk: Column) -> Column:
     span = F.regexp_extract(chunk, "(?s)[+0-9](?:.*[0-9])?", 0)
     span = F.regexp_replace(span, "(?i)[ .,]*(?:;ext=|extn?[.]?|x|#)[ .:]*[0-9]{1,7}$", "")
     shaped = F.rlike(span, F.lit(f"^[+]?(?:{_SEPARATORS}*[0-9]){{2,}}$"))
-    return F.when(shaped & (F.length(chunk) <= _MAX_CHUNK), F.regexp_replace(span, "[^+0-9]", ""))
+    return F.when(shaped & (F.length(chunk) <= fixed.PHONE_MAX_TEXT), F.regexp_replace(span, "[^+0-9]", ""))
 
 
 def _keyed(iso: Column, number: Column) -> Column:

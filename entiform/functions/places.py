@@ -65,9 +65,9 @@ def clean_place_phone(phone: Column) -> Column:
     return trim(F.replace(phone, F.lit("phone:tel:"), F.lit("")))
 
 
-def pick_category(candidates: Column) -> Column:
-    """First candidate that is not empty, not overlong and no action button."""
+def pick_category(candidates: Column, longest: int | None = fixed.CATEGORY_MAX_LENGTH) -> Column:
+    """First candidate that is not empty, no action button and at most `longest` characters long (None: any)."""
     action = "(?iu)^(?:" + "|".join(fixed.ACTION_WORDS) + ")"
     kept = F.filter(F.transform(candidates, trim), lambda c: (
-        (c != "") & (F.length(c) <= fixed.CATEGORY_MAX_LENGTH) & ~F.rlike(c, F.lit(action))))
+        (c != "") & (F.lit(True) if longest is None else F.length(c) <= longest) & ~F.rlike(c, F.lit(action))))
     return F.get(kept, F.lit(0))

@@ -30,6 +30,17 @@ def work_dir(spark: SparkSession) -> str:
     return _local_dirs[context.applicationId]
 
 
+def _located(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something is stored under this path."""
+    at, system = _located(spark, path)
+    return system.exists(at)
+
+
 class Scratch:
     """Numbered tables of one run below the work folder."""
 
@@ -46,11 +57,11 @@ class Scratch:
     def read(self, *tables: str) -> DataFrame:
         return self.spark.read.parquet(*[f"{self.path}/{t}" for t in tables])
 
-    def drop(self) -> None:
-        """Remove the tables once nothing reads them any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    def drop(self, *tables: str) -> None:
+        """Remove some tables, or all of them, once nothing reads them any more."""
+        for name in [f"{self.path}/{t}" for t in tables] or [self.path]:
+            path, system = _located(self.spark, name)
+            system.delete(path, True)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

@@ -49,7 +49,7 @@ def _rebuild(parts: Column) -> Column:
     scheme, host, port = F.lower(part(0)), F.lower(part(2)), part(3)
     default_port = F.when(scheme == "https", F.lit("443")).otherwise(F.lit("80"))
     shown_port = F.when((port == "") | (port == default_port), F.lit("")).otherwise(F.concat(F.lit(":"), port))
-    path = F.when(part(4) == "", F.lit("/")).otherwise(escape_path(part(4)))
+    path = F.when(part(4) == "", F.lit("/")).otherwise(without_dots(escape_path(part(4))))
     good = (
         F.rlike(host, F.lit(_HOST))
         & (~F.rlike(host, F.lit(_NUMERIC_HOST)) | F.rlike(host, F.lit(_IPV4)))
@@ -58,6 +58,18 @@ def _rebuild(parts: Column) -> Column:
         scheme, F.lit("://"), part(1), host, shown_port, path, _escape(part(5), _QUERY_UNSAFE)))
 
 
+def without_dots(path: Column) -> Column:
+    """A path from `/` on with its `.` and `..` segments carried out."""
+    dot, up = r"(?i)^(?:\.|%2e)$", r"(?i)^(?:\.|%2e){2}$"
+    segments = F.split(F.regexp_replace(path, r"(?i)/((?:\.|%2e){1,2})$", "/$1/"), "/")
+    walked = F.aggregate(
+        segments, F.array().cast("array<string>"),
+        lambda done, s: F.when(F.rlike(s, F.lit(dot)), done)
+        .when(F.rlike(s, F.lit(up)), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(s))))
+    dotted = F.rlike(path, F.lit(r"(?i)/(?:\.|%2e){1,2}(?:/|$)"))
+    return F.when(dotted, F.array_join(walked, "/")).otherwise(path)
+
+
 def clean_url(raw: Column) -> Column:
     """https:// added when no scheme is given; canonical; NULL on failure or empty input."""
     t = trim(raw)
@@ -97,10 +109,6 @@ def resolve_url(href: Column, base: Column) -> Column:
     folder = F.when(F.contains(base_path, F.lit("/")), F.regexp_replace(base_path, "[^/]*$", "")).otherwise(F.lit("/"))
     tail = F.regexp_extract(href, r"(?s)([?#].*)$", 1)
     local = F.regexp_replace(href, r"(?s)[?#].*$", "")
-    below = F.regexp_replace(local, r"^(?:\./)+", "")
-    up = F.rlike(below, F.lit(r"^\.\./"))
-    parent = F.when(up, F.regexp_replace(folder, "[^/]+/$", "")).otherwise(folder)
-    relative = F.concat(parent, F.regexp_replace(below, r"^(?:\.\.?/)+", ""))
     other_scheme = F.rlike(href, F.lit("(?i)^[a-z][a-z0-9+.-]*:")) & ~F.rlike(href, F.lit("(?i)^https?:"))
     safe_tail = _escape(tail, _QUERY_UNSAFE)
     target = (
@@ -108,8 +116,8 @@ def resolve_url(href: Column, base: Column) -> Column:
         .when(href.startswith("//"), _with_fragment(F.concat(F.regexp_extract(base, "^([^:]*:)", 1), href)))
         .when(local == "", F.concat(F.when(tail.startswith("?"), plain_base)
                                     .otherwise(F.regexp_replace(base, "(?s)#.*$", "")), safe_tail))
-        .when(local.startswith("/"), F.concat(origin, escape_path(local), safe_tail))
-        .otherwise(F.concat(origin, escape_path(relative), safe_tail))
+        .when(local.startswith("/"), F.concat(origin, without_dots(escape_path(local)), safe_tail))
+        .otherwise(F.concat(origin, without_dots(escape_path(F.concat(folder, local))), safe_tail))
     )
     return F.when(other_scheme, href).otherwise(F.coalesce(target, href))
 
@@ -131,18 +139,18 @@ def email_domain(email: Column) -> Column:
     return F.lower(F.regexp_extract(email, "^[^@]*@([^@]*)", 1))
 
 
-def usable_email(email: Column) -> Column:
-    """Not an asset name, placeholder domain, hash or escaped bracket; not overlong."""
+def usable_email(email: Column, longest: int | None = fixed.EMAIL_MAX_LENGTH) -> Column:
+    """Not an asset name, placeholder domain, hash or escaped bracket; at most `longest` characters (None: any)."""
     return ~(
         F.rlike(email, F.lit(fixed.EMAIL_ASSET)) | F.rlike(email, F.lit(fixed.EMAIL_PLACEHOLDER))
         | F.rlike(email, F.lit(fixed.EMAIL_HASH)) | F.rlike(email, F.lit(fixed.EMAIL_ESCAPED))
-    ) & (F.length(email) <= fixed.EMAIL_MAX_LENGTH)
+    ) & (F.lit(True) if longest is None else F.length(email) <= longest)
 
 
 def emails_in(text: Column) -> Column:
     """Usable addresses in a text, lower case, distinct, in order (array)."""
     found = F.transform(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), F.lower)
-    return F.array_distinct(F.filter(found, usable_email))
+    return F.array_distinct(F.filter(found, lambda e: usable_email(e)))
 
 
 # --- HTML ---------------------------------------------------------------------------------------
@@ -192,14 +200,15 @@ def body_text(html: Column) -> Column:
     return decode_entities(strip_tags(inner))
 
 
-def visible_text(html: Column, max_chars: int = fixed.PAGE_TEXT_CUT) -> Column:
-    """Readable text of a page: hidden parts dropped, blanks collapsed, NULL when empty, cut."""
+def visible_text(html: Column, max_chars: int | None = fixed.PAGE_TEXT_CUT) -> Column:
+    """Readable text of a page: hidden parts dropped, blanks collapsed, NULL when empty, cut to `max_chars` (None: whole)."""
     inner = _drop_elements(html, ("script", "style"))
     inner = F.regexp_replace(inner, "(?s)<!--.*?(?:-->|\\z)", "")
     inner = _drop_elements(inner, tuple(n for n in _HIDDEN if n not in ("script", "style")))
     inner = F.regexp_replace(inner, r"(?is)<head(?![\w-])[^>]*>.*?</head\s*>", "")
     text = collapse(decode_entities(strip_tags(inner)))
-    return F.substring(F.nullif(text, F.lit("")), 1, max_chars)
+    whole = F.nullif(text, F.lit(""))
+    return whole if max_chars is None else F.substring(whole, 1, max_chars)
 
 
 _HREF = r"""(?is)<a(?![\w-])[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""

@@ -47,15 +47,19 @@ def parse_record_answers(answers: DataFrame, answer: str = "answer") -> tuple[Da
     return judged.filter("_good").drop(*extra), judged.filter(~F.col("_good")).drop(*extra, "parsed")
 
 
-def parse_review_answers(answers: DataFrame, answer: str = "answer") -> tuple[DataFrame, DataFrame]:
-    """(rows with summary, sentiment, highlights; rows without JSON). An unknown sentiment becomes `mixed`."""
+def parse_review_answers(answers: DataFrame, answer: str = "answer", most: int | None = fixed.MAX_HIGHLIGHTS) -> tuple[DataFrame, DataFrame]:
+    """(rows with summary, sentiment, highlights; rows without JSON). An unknown sentiment becomes `mixed`.
+
+    The first `most` highlights are kept (None: all).
+    """
+    listed = F.coalesce("_raw.highlights", F.array().cast("array<string>"))
     form = "struct<summary:string,sentiment:string,highlights:array<string>>"
     read = answers.withColumn("_json", json_text(F.col(answer))).withColumn("_raw", F.from_json("_json", form))
     known = F.col("_raw.sentiment").isin(*fixed.SENTIMENTS)
     good = read.filter(F.col("_json").isNotNull()).withColumns({
         "summary": F.coalesce(trim(F.col("_raw.summary")), F.lit("")),
         "sentiment": F.when(known, F.col("_raw.sentiment")).otherwise(F.lit("mixed")),
-        "highlights": F.slice(F.coalesce("_raw.highlights", F.array().cast("array<string>")), 1, fixed.MAX_HIGHLIGHTS),
+        "highlights": listed if most is None else F.slice(listed, 1, most),
     })
     return good.drop("_json", "_raw"), read.filter(F.col("_json").isNull()).drop("_json", "_raw")
 

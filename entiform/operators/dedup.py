@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from entiform.functions import names, web
 from entiform.functions.storage import Scratch
-from entiform.operators.lookups import HOT_KEYS, broadcast_limit, lookup_join, planned_bytes
+from entiform.operators.lookups import HOT_KEYS, lookup_join
 
 SIGNALS = ("name+city", "phone", "website")
 _KEYS = ("k1", "k2", "k3")
@@ -42,17 +42,19 @@ def _long(keys: DataFrame, *carry: str) -> DataFrame:
     return keys.select(*carry, F.inline(pairs)).filter(F.col("key").isNotNull())
 
 
+def key_counts(keys: DataFrame) -> DataFrame:
+    """(signal, key, n): how many rows hold each key."""
+    return _long(keys).groupBy("signal", "key").agg(F.count("*").alias("n"))
+
+
 def _key_count() -> Column:
     return sum((F.col(k).isNotNull().cast("bigint") for k in _KEYS), F.lit(0).cast("bigint"))
 
 
 def without_owned(rows: DataFrame, owned: DataFrame, hot_keys: int = HOT_KEYS) -> DataFrame:
     """Rows that hold none of the owned keys (signal, key, n). The widest-spread keys go by broadcast first."""
-    passes = [(owned, lambda d: d)]
-    if planned_bytes(owned) > broadcast_limit(owned):
-        hot = owned.filter("n > 1").orderBy(F.desc("n"), "signal", "key").limit(hot_keys)
-        passes.insert(0, (hot, F.broadcast))
-    for source, wrap in passes:
+    hot = owned.filter("n > 1").orderBy(F.desc("n"), "signal", "key").limit(hot_keys)
+    for source, wrap in ((hot, F.broadcast), (owned, lambda d: d)):
         for i, k in enumerate(_KEYS, 1):
             # A NULL key must match nothing and must not gather all its rows in one task.
             own = wrap(source.filter(F.col("signal") == i).select(F.concat(F.lit("="), "key").alias("_probe")))
@@ -80,6 +82,7 @@ def resolve_owners(keys: DataFrame, scratch: Scratch, hot_keys: int = HOT_KEYS)
             f"owners-{turn}")
         tables.append(f"owners-{turn}")
         still_open = scratch.write(without_owned(still_open, owned, hot_keys), f"open-{turn + 1}")
+        scratch.drop(f"open-{turn}")
     if not tables:
         return _long(keys, "ord").select("signal", "key", "ord", F.lit(0).cast("bigint").alias("n"))
     return scratch.read(*tables)

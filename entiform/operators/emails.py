@@ -15,11 +15,11 @@ from entiform.operators.lookups import lookup_join
 
 
 def lead_addresses(leads: DataFrame) -> DataFrame:
-    """(id, pos, email): every address of a lead once, in order: own, listed, contacts'."""
+    """(ord, pos, email): every address of a lead once, in order: own, listed, contacts'."""
     every = F.concat(
         F.array("email"), F.col("emails"), F.transform("contacts", lambda c: c["email_direct"]))
     distinct = F.array_distinct(F.filter(every, lambda e: e.isNotNull() & (e != "")))
-    return leads.select("id", F.posexplode(distinct).alias("pos", "email"))
+    return leads.select("ord", F.posexplode(distinct).alias("pos", "email"))
 
 
 def attach_email_facts(addresses: DataFrame, domain_facts: DataFrame, address_facts: DataFrame | None = None
@@ -66,7 +66,7 @@ def address_statuses(addresses: DataFrame, domain_facts: DataFrame, address_fact
 
 
 def email_verdicts(leads: DataFrame, domain_facts: DataFrame, address_facts: DataFrame | None = None) -> DataFrame:
-    """Patch rows: email_status, email_catch_all, email_checks and contacts with a lowered confidence.
+    """Patch rows (ord, id): email_status, email_catch_all, email_checks and contacts with a lowered confidence.
 
     The status is that of the lead's own address, else the best of all. Leads without an address have no row.
     """
@@ -74,12 +74,12 @@ def email_verdicts(leads: DataFrame, domain_facts: DataFrame, address_facts: Dat
     statuses = address_statuses(addresses, domain_facts, address_facts)
     judged = lookup_join(addresses, statuses, ["email"], weight="uses")
     rank = F.array_position(F.array(*[F.lit(s) for s in fixed.EMAIL_STATUSES]), F.col("status")).cast("int")
-    per_lead = judged.groupBy("id").agg(
+    per_lead = judged.groupBy("ord").agg(
         F.min(rank).alias("best"),
         F.max_by("known_catch_all", F.when(F.col("known_catch_all").isNotNull(), F.col("pos"))).alias("email_catch_all"),
         # an address list is as long as its lead's own arrays
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("email", "status")))).alias("email_checks"))
-    joined = leads.select("id", "email", "contacts").join(per_lead, "id")
+    joined = leads.select("ord", "id", "email", "contacts").join(per_lead, "ord")
     own = F.try_element_at("email_checks", F.col("email"))
     best = F.get(F.array(*[F.lit(s) for s in fixed.EMAIL_STATUSES]), F.col("best") - 1)
 
@@ -89,5 +89,5 @@ def email_verdicts(leads: DataFrame, domain_facts: DataFrame, address_facts: Dat
         return c.withField("confidence", F.when(bad, value).otherwise(c["confidence"]))
 
     return joined.select(
-        "id", F.coalesce(own, best).alias("email_status"), "email_catch_all", "email_checks",
+        "ord", "id", F.coalesce(own, best).alias("email_status"), "email_catch_all", "email_checks",
         F.transform("contacts", lowered).alias("contacts"))

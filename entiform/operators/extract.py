@@ -37,7 +37,7 @@ def _dialled(links: Column) -> Column:
     """Numbers of the `tel:` links (array)."""
     calls = F.filter(links, lambda h: h.startswith("tel:"))
     return F.transform(calls, lambda h: F.coalesce(
-        F.try_url_decode(F.replace(F.substring(h, 5, 250), F.lit("+"), F.lit("%2B"))), F.substring(h, 5, 250)))
+        F.try_url_decode(F.replace(F.substr(h, F.lit(5)), F.lit("+"), F.lit("%2B"))), F.substr(h, F.lit(5))))
 
 
 def phones_in(texts: Column, country: Column, plans=PLANS) -> Column:
@@ -84,8 +84,8 @@ def extract_people(pages: DataFrame, text: str = "text", key: str = "page_id") -
         "role": names.infer_role(F.col("title_raw")), "confidence": F.lit(fixed.PERSON_CONFIDENCE)})
 
 
-def visible_text(pages: DataFrame, max_chars: int = fixed.PAGE_TEXT_CUT, key: str = "page_id") -> DataFrame:
-    """(key, text): readable text of each page."""
+def visible_text(pages: DataFrame, max_chars: int | None = fixed.PAGE_TEXT_CUT, key: str = "page_id") -> DataFrame:
+    """(key, text): readable text of each page, cut to `max_chars` (None: whole)."""
     return pages.select(key, web.visible_text(F.col("html"), max_chars).alias("text"))
 
 
@@ -99,13 +99,9 @@ def site_pages(pages: DataFrame, max_pages: int = fixed.MAX_PAGES) -> DataFrame:
 
 
 def pages_for_leads(leads: DataFrame, pages: DataFrame) -> DataFrame:
-    """(id, site, page_id): the crawled pages of each lead's web host.
-
-    Pages per host must already be within a budget (site_pages), so no group of pages is multiplied unboundedly.
-    """
-    per_site = pages.groupBy("site").agg(F.collect_list("page_id").alias("page_ids"))
-    sites = leads.select("id", web.url_host(F.col("website_url")).alias("site")).filter("site IS NOT NULL")
-    return lookup_join(sites, per_site, ["site"]).select("id", "site", F.explode("page_ids").alias("page_id"))
+    """(ord, id, site, page_id): the crawled pages of each lead's web host."""
+    sites = leads.select("ord", "id", web.url_host(F.col("website_url")).alias("site")).filter("site IS NOT NULL")
+    return lookup_join(sites, pages.select("site", "page_id"), ["site"]).filter("page_id IS NOT NULL")
 
 
 def site_facts(pages: DataFrame, country: str = fixed.DEFAULT_COUNTRY, max_pages: int = fixed.MAX_PAGES,
@@ -174,14 +170,14 @@ def enrich_from_pages(leads: DataFrame, pages: DataFrame, country: str = fixed.D
     facts = site_facts(pages, country, max_pages, plans).withColumnsRenamed(
         {n: f"_{n}" for n in ("emails", "phones", "socials", "legal_name", "people")})
     sites = leads.filter(F.length("website_url") > 0).select(
-        "id", "email", "emails", "phones", "socials", "contacts", web.url_host(F.col("website_url")).alias("site"))
+        "ord", "id", "email", "emails", "phones", "socials", "contacts", web.url_host(F.col("website_url")).alias("site"))
     joined = lookup_join(sites, facts, ["site"])
     people = F.coalesce("_people", F.array().cast("array<struct<full_name:string,title_raw:string>>"))
     every = ordered_union(F.col("emails"), F.col("_emails"))
     staged = joined.withColumns({"_every": every, "_all_people": people})
     chosen = primary_email(F.col("email"), F.col("_every"))
     return staged.select(
-        "id", F.col("_every").alias("emails"), ordered_union(F.col("phones"), F.col("_phones")).alias("phones"),
+        "ord", "id", F.col("_every").alias("emails"), ordered_union(F.col("phones"), F.col("_phones")).alias("phones"),
         fill_socials(F.col("socials"), F.col("_socials")).cast(schemas.SOCIALS).alias("socials"),
         site_contacts(F.col("contacts"), F.col("_all_people"), F.col("_every")).alias("contacts"),
         F.when(~chosen.eqNullSafe(F.col("email")), chosen).alias("email"), F.col("_legal_name").alias("legal_name"))

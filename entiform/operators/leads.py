@@ -28,7 +28,10 @@ def search_grid(queries: Sequence[str], locations: DataFrame, country: str = fix
     if not wanted:
         raise ValueError("at least one query is required")
     place = text.trim(F.col(location))
-    return locations.filter(place != "").select(
+    named = locations.filter(place != "")
+    if named.isEmpty():
+        raise ValueError("at least one location is required")
+    return named.select(
         F.explode(F.array(*[F.lit(q) for q in wanted])).alias("query"),
         place.alias("location"), F.lit(country.upper()).alias("country"), F.lit(limit).cast("bigint").alias("limit"))
 
@@ -242,9 +245,9 @@ def lead_stats(received: DataFrame, rejects: DataFrame, decisions: DataFrame) ->
 
 
 def enrichment_summary(leads: DataFrame) -> DataFrame:
-    """One row: leads touched by a stage, chain members, leads finished earlier (`restored`)."""
+    """One row: leads that a stage touched in this run, chain members, leads finished earlier (`restored`)."""
     restored = _col(leads, "restored", "boolean")
     return leads.agg(
-        F.count_if(F.size("enriched_by") > 0).alias("leads_enriched"),
+        F.count_if((F.size("enriched_by") > 0) & ~F.coalesce(restored, F.lit(False))).alias("leads_enriched"),
         F.count_if(F.coalesce(F.col("chain.is_chain"), F.lit(False))).alias("chains_detected"),
         F.count_if(F.coalesce(restored, F.lit(False))).alias("resumed"))

@@ -1,69 +1,57 @@
-"""Joins of many rows to one fact per key, safe when one key holds a large share of the rows."""
+"""Joins of many rows to facts by key, safe when one key holds a large share of the rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The heaviest keys are joined by broadcast: at most this many fact rows, whatever the data size.
-# Any other key then holds less than one row in HOT_KEYS.
+# Keys that are spread over SALTS parts: the heaviest ones. Any other key then holds less than one row in HOT_KEYS.
 HOT_KEYS = 5_000
-
-
-def planned_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def broadcast_limit(df: DataFrame) -> int:
-    size = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return int(size)
+SALTS = 32
 
 
 def _has_map(df: DataFrame, column: str) -> bool:
     return "map<" in df.schema[column].dataType.simpleString()
 
 
+def heaviest(rows: DataFrame, on: list[str], n: int = HOT_KEYS) -> DataFrame:
+    """The `n` keys that the most rows hold."""
+    counted = rows.select(*on).dropna().groupBy(*on).agg(F.count("*").alias("_n"))
+    return counted.orderBy(F.desc("_n"), *on).limit(n).select(*on)
+
+
 def lookup_join(rows: DataFrame, facts: DataFrame, on: list[str], keys: DataFrame | None = None,
                 weight: str | None = None, hot_keys: int = HOT_KEYS) -> DataFrame:
-    """Left join of `rows` to `facts`, which holds at most one row per key.
+    """Left join of `rows` to `facts`.
 
-    Small facts: a plain join, which Spark turns into a broadcast below its own threshold. Otherwise the
-    heaviest keys of the rows meet a broadcast slice of the facts; only the remaining rows are matched after
-    a shuffle. Rows that are already matched, or have no key, are spread evenly over that shuffle.
-    `weight` names a column of the facts that tells how many rows hold the key; without it the keys are
-    counted in `keys`, or in the rows themselves.
+    The heaviest keys are sent to all tasks, keys alone and no more than `hot_keys`: their rows are spread over salts and
+    their facts copied to each salt, as are rows without a key. Facts themselves are only broadcast if Spark finds them small.
+    `weight` names a column of the facts that tells how many rows hold the key; without it the keys are counted in `keys`, or in the rows themselves.
     """
-    if planned_bytes(facts) <= broadcast_limit(facts):
-        return rows.join(facts, on, "left")
-    added = [c for c in facts.columns if c not in on]
     if weight:
-        top = facts.orderBy(F.desc(weight), *on).limit(hot_keys)
+        top = facts.orderBy(F.desc(weight), *on).limit(hot_keys).select(*on)
     else:
-        counted = (rows if keys is None else keys).dropna(subset=on).groupBy(*on).agg(F.count("*").alias("_n"))
-        top = facts.join(F.broadcast(
-            counted.orderBy(F.desc("_n"), *on).limit(hot_keys).select(*on)), on, "left_semi")
-    hot = top.select(
-        *on, F.struct(F.lit(True).alias("_hit"), *added).alias("_hot"))
-    cold = facts.select(
-        *[F.col(c).alias(f"_key_{c}") for c in on], F.struct(F.lit(True).alias("_hit"), *added).alias("_cold"),
-        F.lit(0).cast("bigint").alias("_key_spread"))
-    settled = F.col("_hot").isNotNull()
+        top = heaviest(rows if keys is None else keys, on, hot_keys)
+    heavy = F.broadcast(top.withColumn("_heavy", F.lit(True)))
+    keyless = F.lit(False)
     for c in on:
-        settled = settled | F.col(c).isNull()
-    spread = F.xxhash64(*[c for c in rows.columns if not _has_map(rows, c)])
-    marked = rows.join(F.broadcast(hot), on, "left").withColumn(
-        "_spread", F.when(settled, F.when(spread == 0, F.lit(1).cast("bigint")).otherwise(spread))
-        .otherwise(F.lit(0).cast("bigint")))
-    match = F.col("_spread") == F.col("_key_spread")
-    for c in on:
-        match = match & (F.col(c) == F.col(f"_key_{c}"))
-    found = F.coalesce("_hot", "_cold")
-    return marked.join(cold, match, "left").select(*rows.columns, *[found[c].alias(c) for c in added])
+        keyless = keyless | F.col(c).isNull()
+    spread = F.pmod(F.xxhash64(*[c for c in rows.columns if not _has_map(rows, c)]), F.lit(SALTS)).cast("int")
+    salted = rows.join(heavy, on, "left").withColumn(
+        "_salt", F.when(keyless | F.col("_heavy").isNotNull(), spread).otherwise(F.lit(0))).drop("_heavy")
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    copied = facts.dropna(subset=on).join(heavy, on, "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_heavy").isNotNull(), every).otherwise(F.array(F.lit(0))))).drop("_heavy")
+    added = [c for c in facts.columns if c not in on]
+    return salted.join(copied, [*on, "_salt"], "left").select(*rows.columns, *added)
 
 
 def skip_done(todo: DataFrame, done: DataFrame, key: str = "id", force: bool = False) -> DataFrame:
     """Rows whose key is not finished yet; all rows with `force`."""
-    return todo if force else todo.join(done.select(key).distinct(), key, "left_anti")
+    if force:
+        return todo
+    flags = done.select(key).distinct().withColumn("_done", F.lit(True))
+    return lookup_join(todo, flags, [key]).filter(F.col("_done").isNull()).drop("_done")
 
 
 def union_restored(done: DataFrame, fresh: DataFrame, key: str = "id") -> DataFrame:

@@ -47,13 +47,13 @@ def _merge_maps(current: Column, incoming: Column) -> Column:
 
 
 def apply_patch(leads: DataFrame, patch: DataFrame, stage: str) -> DataFrame:
-    """Leads with one stage's patch (id and any of the patch fields; NULL = absent) merged in.
+    """Leads with one stage's patch (ord and any of the patch fields; NULL = absent) merged in.
 
-    A lead without a patch row stays as it is.
+    A patch belongs to the row with its `ord`, since different leads may share an id. A lead without a patch row stays as it is.
     """
     have = [c for c in schemas.PATCH_FIELDS if c in patch.columns]
-    renamed = patch.select("id", F.lit(True).alias("_patched"), *[F.col(c).alias(f"_p_{c}") for c in have])
-    joined = leads.join(renamed, "id", "left")
+    renamed = patch.select("ord", F.lit(True).alias("_patched"), *[F.col(c).alias(f"_p_{c}") for c in have])
+    joined = leads.join(renamed, "ord", "left")
 
     def new(field: str) -> Column:
         return F.col(f"_p_{field}") if field in have else F.lit(None).cast(schemas.PATCH_FIELDS[field])

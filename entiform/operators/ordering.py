@@ -54,8 +54,10 @@ def distinct_first_seen(df: DataFrame, group: str | Sequence[str], value: str, o
     return seen if n <= 0 else top_n_per_group(seen, groups, [F.col("first_ord")], n)
 
 
-def cited_sources(df: DataFrame, group: str | Sequence[str], url: str = "url", ord: str = "ord") -> DataFrame:
-    return distinct_first_seen(df, group, url, ord, fixed.MAX_CITED)
+def cited_sources(df: DataFrame, group: str | Sequence[str], url: str = "url", ord: str = "ord",
+                  most: int | None = fixed.MAX_CITED) -> DataFrame:
+    """Distinct sources of each group, at most `most` (None: all)."""
+    return distinct_first_seen(df, group, url, ord, most or 0)
 
 
 def dedup_by_slug(records: DataFrame, force: bool = False, ord: str = "task_ord") -> DataFrame:
@@ -64,18 +66,19 @@ def dedup_by_slug(records: DataFrame, force: bool = False, ord: str = "task_ord"
 
 
 def page_budget(pages: DataFrame, site: str = "site", rank: str = "path_rank", ok: str = "ok",
-                max_pages: int = fixed.MAX_PAGES) -> DataFrame:
+                max_pages: int = fixed.MAX_PAGES, extra: int = fixed.EXTRA_ATTEMPTS) -> DataFrame:
     """Pages read within a site's budget.
 
-    Attempts follow `rank` (0 is the home page). They stop after `max_pages` reachable pages or two more
-    attempts than that; a site whose home page was not reached is dropped. Only reachable pages are returned.
+    Attempts follow `rank` (0 is the home page). They stop after `max_pages` reachable pages or `extra`
+    more attempts than that; of several visits of one path a reachable one counts, the first by url and page_id; a site whose home page was not reached is dropped. Only reachable pages are returned.
     """
     max_pages = max(1, max_pages)
-    tried = keep_per_key(
+    tie = [F.col(c) for c in ("url", "page_id") if c in pages.columns]
+    tried = top_n_per_group(
         pages.filter(F.col(rank).isNotNull()).withColumn("_unread", (~F.col(ok)).cast("int")),
-        [site, rank], "_unread")
+        [site, rank], [F.col("_unread"), *tie], 1)
     # Only the first attempts can matter, so every site is cut to them before its rows meet.
-    tried = top_n_per_group(tried, site, [F.col(rank)], max_pages + fixed.EXTRA_ATTEMPTS)
+    tried = top_n_per_group(tried, site, [F.col(rank)], max_pages + extra)
     before = Window.partitionBy(site).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(site)
     return (

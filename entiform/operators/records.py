@@ -12,6 +12,7 @@ from entiform.functions import names, web
 from entiform.functions.phone import PLANS, standardize_phone
 from entiform.functions.text import clean
 from entiform.operators.leads import number_text
+from entiform.operators.lookups import lookup_join
 
 
 def lookup_country(df: DataFrame, country: str = "country", plans=PLANS) -> DataFrame:
@@ -68,10 +69,10 @@ def to_records(answered: DataFrame, model: str, threshold: float = fixed.REVIEW_
     return staged.select(*order, *[values[n].cast(t).alias(n) for n, t in schemas.RECORD_FIELDS.items()])
 
 
-def delivery_view(records: DataFrame, labels: bool = False) -> DataFrame:
-    """The 15 delivery columns, keyed or with their labels."""
+def delivery_view(records: DataFrame, labels: bool = False, longest: int | None = fixed.DELIVERY_TEXT_CUT) -> DataFrame:
+    """The 15 delivery columns, keyed or with their labels; texts are cut to `longest` characters (None: whole)."""
     def cut(c: Column) -> Column:
-        return F.substring(c, 1, fixed.DELIVERY_TEXT_CUT)
+        return c if longest is None else F.substring(c, 1, longest)
 
     geo = F.concat_ws(", ", number_text(F.col("latitude")), number_text(F.col("longitude")))
     values = {
@@ -108,7 +109,7 @@ def upsert_by_key(existing: DataFrame, incoming: DataFrame, key: str = "slug") -
 def match_existing(records: DataFrame, existing: DataFrame, key: str = "slug") -> DataFrame:
     """Records with `outcome`: updated when the key is already stored, else created."""
     stored = existing.select(key, F.lit(True).alias("_stored")).distinct()
-    return records.join(stored, key, "left").withColumn(
+    return lookup_join(records, stored, [key]).withColumn(
         "outcome", F.when(F.col("_stored"), F.lit("updated")).otherwise(F.lit("created"))).drop("_stored")
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entiform import fixed
 from entiform.functions import web
+from entiform.functions.storage import settle
 from entiform.functions.text import trim
+from entiform.operators.lookups import lookup_join
 from entiform.operators.ordering import top_n_per_group
 
 _BLOCK = r"""(?is)<[a-z][a-z0-9]*(?![\w-])[^>]*?\sclass\s*=\s*["'][^"'>]*(?<![\w-])result__body(?![\w-])[^>]*>"""
@@ -16,8 +18,16 @@ _SNIPPET = r"""(?is)<([a-z][a-z0-9]*)(?![\w-])[^>]*(?<![\w-])result__snippet(?![
 _HREF = r"""(?is)href\s*=\s*["']([^"']*)["']"""
 
 
-def parse_result_pages(pages: DataFrame, max_results: int = 6, key: str = "page_id") -> DataFrame:
-    """(key, rank, title, url, snippet): results with a title and an http target; redirects are resolved."""
+def _decoded_twice(target: Column) -> Column:
+    """The value of a query parameter (a plus is a blank), then once more as a part of a URL (a plus stays)."""
+    return F.try_url_decode(F.replace(F.try_url_decode(target), F.lit("+"), F.lit("%2B")))
+
+
+def parse_result_pages(pages: DataFrame, max_results: int = 6, key: str = "page_id", base: str = fixed.RESULT_BASE) -> DataFrame:
+    """(key, rank, title, url, snippet): results with a title and an http target.
+
+    Targets are resolved against `base`; the target of a redirect is decoded from its link.
+    """
     blocks = F.split("html", _BLOCK)
     rows = pages.select(key, F.posexplode(blocks).alias("pos", "block")).filter("pos > 0")
     href = web.decode_entities(F.regexp_extract(F.regexp_extract("block", _TITLE, 1), _HREF, 1))
@@ -25,7 +35,7 @@ def parse_result_pages(pages: DataFrame, max_results: int = 6, key: str = "page_
     read = rows.select(
         key, "pos",
         trim(web.decode_entities(web.strip_tags(F.regexp_extract("block", _TITLE, 2)))).alias("title"),
-        F.when(target != "", F.coalesce(F.try_url_decode(target), href)).otherwise(href).alias("url"),
+        F.when(target != "", F.coalesce(_decoded_twice(target), href)).otherwise(web.resolve_url(href, F.lit(base))).alias("url"),
         trim(web.decode_entities(web.strip_tags(F.regexp_extract("block", _SNIPPET, 2)))).alias("snippet"))
     good = read.filter((F.col("title") != "") & F.rlike("url", F.lit("^https?://")))
     return top_n_per_group(good, key, [F.col("pos")], max_results, rank="rank").drop("pos")
@@ -36,9 +46,10 @@ def web_context(results: DataFrame, page_texts: DataFrame | None = None, max_res
     """(key, text, sources): numbered result blocks, then the full text of the first pages."""
     kept = top_n_per_group(results, key, [F.col("rank")], max_results, rank="_i")
     if page_texts is not None:
-        texts = page_texts.select("url", F.col("text").alias("_page")).filter("_page <> ''")
-        wanted = kept.filter(F.col("_i") <= fetch_pages).join(texts, "url").select(key, "_i", "_page")
-        kept = kept.join(wanted, [key, "_i"], "left")
+        # one text for each URL, so that a URL with several texts does not repeat its result
+        texts = page_texts.filter("text <> ''").groupBy(F.col("url").alias("_fetched")).agg(F.min("text").alias("_page"))
+        kept = settle(kept.withColumn("_fetched", F.when(F.col("_i") <= fetch_pages, F.col("url"))), "results")
+        kept = lookup_join(kept, texts, ["_fetched"]).drop("_fetched")
     else:
         kept = kept.withColumn("_page", F.lit(None).cast("string"))
     snippet = F.coalesce(F.nullif("snippet", F.lit("")), F.lit(fixed.NO_SNIPPET))

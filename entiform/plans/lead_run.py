@@ -13,7 +13,7 @@ from entiform.functions.storage import settle
 from entiform.operators.chains import detect_chains
 from entiform.operators.dedup import dedup_entities
 from entiform.operators.leads import flatten_leads, normalize_leads, parse_places, validate_leads
-from entiform.operators.lookups import skip_done, union_restored
+from entiform.operators.lookups import union_restored
 from entiform.plans.stages import Stage, run_stages
 
 
@@ -39,7 +39,6 @@ def finish_leads(leads: DataFrame, stages: Iterable[Stage] = (), tables: Mapping
     if restored is not None:
         leads = union_restored(restored, leads).drop("export_rank")
     if stages:
-        leads = settle(leads, "collected")
         attempted = F.coalesce("enrich_attempted", F.lit(False))
         done = leads.filter(attempted)
         leads = done.unionByName(run_stages(leads.filter(~attempted), stages, tables or {}))
@@ -51,4 +50,3 @@ def lead_delivery(places: DataFrame, country: str = fixed.DEFAULT_COUNTRY) -> Da
     return flatten_leads(detect_chains(settle(collect_leads(places, country), "accepted")))
 
 
-__all__ = ["collect_leads", "finish_leads", "lead_delivery", "places_to_leads", "skip_done"]

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from entiform import fixed
 from entiform.functions import names
-from entiform.operators.answers import discovered_names, parse_record_answers
-from entiform.operators.lookups import skip_done
-from entiform.operators.records import match_existing, run_summary, to_records, upsert_by_key
+from entiform.functions.storage import settle
+from entiform.operators.answers import parse_record_answers
+from entiform.operators.lookups import lookup_join, skip_done
+from entiform.operators.records import match_existing, to_records, upsert_by_key
 from entiform.operators.ordering import dedup_by_slug
 
 
@@ -38,16 +39,19 @@ def task_outcomes(tasks: DataFrame, answers: DataFrame, stored: DataFrame, model
     """(task_ord, result, status, outcome) of every task, input of run_summary."""
     slugged = tasks.withColumn("slug", names.slug(F.col("input_name"), F.col("city")))
     todo = skip_done(slugged, stored, "slug", force)
-    first = dedup_by_slug(todo, force)
-    repeated = slugged.select("task_ord").join(first.select("task_ord"), "task_ord", "left_anti")
-    good, _ = parse_record_answers(first.drop("slug").join(answers, "task_ord"))
-    records = match_existing(to_records(good, model, threshold), stored)
-    enriched = records.select("task_ord", F.lit("enriched").alias("result"), "status", "outcome")
+    good, _ = parse_record_answers(todo.drop("slug").join(answers, "task_ord"))
+    found = match_existing(to_records(good, model, threshold), stored).select("task_ord", "status", "outcome")
+    # A task is skipped when its slug is stored or an earlier task of this run has succeeded; failures block nothing.
+    tried = settle(todo.select("task_ord", "slug").join(found, "task_ord", "left"), "tried")
+    firsts = tried.filter(F.col("outcome").isNotNull()).groupBy("slug").agg(F.min("task_ord").alias("first_ord"))
+    judged = lookup_join(tried, firsts, ["slug"])
+    good_one, later = F.col("outcome").isNotNull(), F.col("task_ord") > F.col("first_ord")
+    skipped = F.coalesce(later, F.lit(False)) & F.lit(not force)
+    result = F.when(skipped, "skipped").when(good_one, "enriched").otherwise("failed")
+    shown = good_one & ~skipped
+    outcome = F.when(later, F.lit("updated")).otherwise(F.col("outcome"))
+    done = judged.select("task_ord", result.alias("result"), F.when(shown, F.col("status")).alias("status"), F.when(shown, outcome).alias("outcome"))
     none = F.lit(None).cast("string")
-    failed = first.join(records.select("task_ord"), "task_ord", "left_anti").select(
-        "task_ord", F.lit("failed").alias("result"), none.alias("status"), none.alias("outcome"))
-    skipped = repeated.select("task_ord", F.lit("skipped").alias("result"), none.alias("status"), none.alias("outcome"))
-    return enriched.unionByName(failed).unionByName(skipped)
-
-
-__all__ = ["discovered_names", "open_tasks", "research_records", "run_summary", "store_records", "task_outcomes"]
+    rest = slugged.select("task_ord").join(todo.select("task_ord"), "task_ord", "left_anti").select(
+        "task_ord", F.lit("skipped").alias("result"), none.alias("status"), none.alias("outcome"))
+    return done.unionByName(rest)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from entiform import fixed
 from entiform.functions.phone import PLANS
-from entiform.functions.storage import settle
+from entiform.functions.storage import Scratch
 from entiform.operators.emails import email_verdicts
 from entiform.operators.extract import enrich_from_pages
 from entiform.operators.leads import eligible
@@ -81,12 +81,15 @@ def make_stages(spec: str | None) -> list[Stage]:
     return [_STAGES[n]() for n in parse_stages(spec)]
 
 
-def run_stages(leads: DataFrame, stages: Iterable[Stage], tables: Mapping[str, DataFrame]) -> DataFrame:
+def run_stages(leads: DataFrame, stages: Iterable[Stage], tables: Mapping[str, DataFrame], scratch: Scratch | None = None) -> DataFrame:
     """Leads after all stages, each marked as attempted.
 
-    A stage reads its leads several times (for the patch and for the merge), so they are stored before it.
+    A stage reads its leads several times (for the patch and for the merge), so they are stored before it. While stages run, `ord` is a
+    number that no two rows share, also when leads of several runs meet.
     """
+    scratch = scratch or Scratch(leads.sparkSession, "stages")
+    leads = leads.withColumn("_arrival", F.col("ord")).withColumn("ord", F.monotonically_increasing_id())
     for stage in stages:
-        leads = settle(leads, f"before-{stage.name}")
+        leads = scratch.write(leads, f"before-{stage.name}")
         leads = apply_patch(leads, stage.patch(stage.eligible(leads), tables), stage.name)
-    return leads.withColumn("enrich_attempted", F.lit(True))
+    return leads.withColumn("ord", F.col("_arrival")).drop("_arrival").withColumn("enrich_attempted", F.lit(True))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from entiform import fixed, schemas
@@ -25,10 +25,11 @@ def read_task_lists(spark: SparkSession, *paths: str) -> DataFrame:
         F.posexplode("entry.value.hotels").alias("h", "name"))
     wrong = (F.coalesce(F.length("country"), F.lit(0)) == 0) | (F.coalesce(F.length("name"), F.lit(0)) == 0)
     failed = F.raise_error(F.concat(F.lit("empty country or name under "), F.col("city"))).cast("string")
-    # place in the input: file, city, name; each packed into its own range of the order
-    order = F.struct("path", "c", "h")
-    return rows.select(
-        order.alias("task_ord"), F.when(wrong, failed).otherwise(trim(F.col("name"))).alias("input_name"),
+    # place in the input: file, city, name; each packed into its own range of one number
+    placed = files.select("path").distinct().select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("bigint").alias("f"))
+    order = F.col("f") * (1 << 42) + F.col("c").cast("bigint") * (1 << 21) + F.col("h")
+    return rows.join(placed, "path").select(
+        order.alias("task_ord"), "path", F.when(wrong, failed).otherwise(trim(F.col("name"))).alias("input_name"),
         "city", "country")
 
 
@@ -51,13 +52,13 @@ def read_progress_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of files that hold a JSON array; broken files and invalid items are dropped, the last per slug stays."""
-    files = spark.read.text(path, wholetext=True)
+    """Records of files that hold a JSON array; broken files and invalid items are dropped, the last per slug (by file, then place) stays."""
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
     items = F.from_json("value", f"array<{schemas.RECORD_STRUCT}>")
-    rows = files.select(F.posexplode(items).alias("pos", "r")).select("pos", "r.*")
+    rows = files.select("_file", F.posexplode(items).alias("pos", "r")).select(F.struct("_file", "pos").alias("_place"), "r.*")
     needed = ("slug", "input_name", "name", "city", "country", "model", "enriched_at")
     valid = F.col("governance_confidence").between(0, 1) & F.col("status").isin(*fixed.RECORD_STATUSES) \
         & F.col("sources").isNotNull()
     for c in needed:
         valid = valid & F.col(c).isNotNull()
-    return keep_per_key(rows.filter(valid), "slug", "pos", "last").drop("pos")
+    return keep_per_key(rows.filter(valid), "slug", "_place", "last").drop("_place")

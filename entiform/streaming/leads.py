@@ -11,11 +11,10 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from entiform import fixed
-from entiform.functions.storage import Scratch
-from entiform.operators.dedup import decide, entity_keys, resolve_owners, with_owner_ids, without_owned
+from entiform.functions.storage import Scratch, exists
+from entiform.operators.dedup import decide, entity_keys, key_counts, resolve_owners, with_owner_ids, without_owned
 from entiform.operators.leads import normalize_leads, parse_places, with_reject_reasons
 from entiform.operators.lookups import skip_done
 from entiform.plans.stages import Stage, run_stages
@@ -30,9 +29,7 @@ def stream_leads(places: DataFrame, country: str = fixed.DEFAULT_COUNTRY) -> Dat
 
 def _parts_before(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame:
     """Rows stored by earlier batches."""
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path).filter(F.col("batch_id") < batch_id)
 
@@ -62,10 +59,14 @@ class LeadIntake:
         leads = judged.filter(F.size("reject_reasons") == 0).drop("reject_reasons")
         keys = scratch.write(entity_keys(leads), "keys")
         stored = _parts_before(spark, self.path("owners"), batch_id, OWNER_SCHEMA)
-        # rows that hit an owner of an earlier batch are decided; the rest compete among themselves
-        fresh = without_owned(keys, stored.select("signal", "key", F.lit(2).alias("n")))
+        # Rows that hit an owner of an earlier batch are decided, whatever their order: what has arrived before wins.
+        # The rest compete among themselves.
+        known = scratch.write(stored.drop("batch_id").join(key_counts(keys), ["signal", "key"]), "known")
+        fresh = without_owned(keys, known.select("signal", "key", "n"))
         _store(with_owner_ids(resolve_owners(fresh, scratch), keys).drop("n"), self.path("owners"), batch_id)
-        owners = _parts_before(spark, self.path("owners"), batch_id + 1, OWNER_SCHEMA).drop("batch_id")
+        new = spark.read.parquet(f"{self.path('owners')}/batch_id={batch_id}")
+        owners = known.select("signal", "key", F.lit(-1 << 62).alias("owner_ord"), "owner_id").unionByName(
+            new.select("signal", "key", "owner_ord", "owner_id"))
         _store(decide(keys, owners), self.path("decisions"), batch_id)
         decisions = spark.read.parquet(f"{self.path('decisions')}/batch_id={batch_id}")
         _store(leads.join(decisions.filter("NOT duplicate").select("ord"), "ord", "left_semi"),
@@ -101,6 +102,8 @@ def incremental_enrichment(folder: str, stages: Iterable[Stage], tables: Mapping
 
     def write(batch: DataFrame, batch_id: int) -> None:
         done = _parts_before(batch.sparkSession, path, batch_id, "id string, batch_id bigint")
-        _store(run_stages(skip_done(batch, done), stages, tables), path, batch_id)
+        scratch = Scratch(batch.sparkSession, f"enrich-{batch_id}")
+        _store(run_stages(skip_done(batch, done), stages, tables, scratch), path, batch_id)
+        scratch.drop()
 
     return write

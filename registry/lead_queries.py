@@ -14,7 +14,7 @@ from registry.dialect import (
 )
 from registry.views import view
 
-_SEGMENTS = ("AUTOMOBILE", " BUILDING ", "", "MACHINERY")
+_SEGMENTS = ("AUTOMOBILE", " BUILDING ", "", "MACHINERY", "FURNITURE", "HOUSEHOLD")
 _LEAD_COLS = (
     "ord", "id", "source", "source_url", "company_name", "category", "city", "country", "address", "latitude",
     "longitude", "phone_raw", "phone_normalized", "website_url", "google_rating", "reviews_count", "phone_valid")
@@ -178,15 +178,14 @@ def _patch(spark, d):
     social = F.struct(*[(F.concat(F.lit("https://facebook.com/"), o) if n == "facebook" else none).alias(n)
                         for n in fixed.SOCIAL_FIELDS])
     return _valid(spark, d).filter("ord % 2 = 0").dropDuplicates(["ord"]).select(
-        "ord", F.concat(F.lit("k"), o).alias("id"),
+        "ord",
         F.array(F.concat(F.lit(" a"), o, F.lit("@x.cm")), F.lit(""), F.concat(F.lit("a"), o, F.lit("@x.cm"))).alias("emails"),
         social.alias("socials"), F.array(contact).cast(f"array<{schemas.CONTACT}>").alias("contacts"),
         F.concat(F.lit("new"), o, F.lit("@x.cm")).alias("email"), F.lit("risky").alias("email_status"))
 
 
 def _patched(spark, d):
-    leads = _valid(spark, d).withColumn("id", F.concat(F.lit("k"), F.col("ord").cast("string")))
-    return merge.apply_patch(leads, _patch(spark, d).drop("ord"), "website")
+    return merge.apply_patch(_valid(spark, d), _patch(spark, d), "website")
 
 
 def apply_patch(spark, d):
@@ -301,7 +300,7 @@ from registry.dialect import CM_VALID, slug  # noqa: E402
 
 ORACLES = {
     "search_grid": with_(RAW, views=_P) + "SELECT q AS query, location, 'CM' AS country, CAST(20 AS BIGINT) AS \"limit\" FROM "
-    "(SELECT DISTINCT city AS location FROM raw), (VALUES ('AUTOMOBILE'), ('BUILDING'), ('MACHINERY')) AS t(q)",
+    "(SELECT DISTINCT city AS location FROM raw), (VALUES ('AUTOMOBILE'), ('BUILDING'), ('MACHINERY'), ('FURNITURE'), ('HOUSEHOLD')) AS t(q)",
     "city_refs": with_(views=("city_specs_v",)) +
     "SELECT ord, trim(split_part(spec, ':', 1)) AS city, coalesce(nullif(trim(split_part(spec, ':', 2)), ''), 'Cameroun') AS country FROM city_specs_v",
     "parse_places": with_(RAW, views=_P) + "SELECT * FROM raw",
@@ -331,7 +330,7 @@ ORACLES = {
     "SELECT (SELECT count(*) FROM raw) AS received, (SELECT count(*) FROM reasoned WHERE why <> '') AS invalid, "
     "(SELECT count(*) FROM keys) - (SELECT count(*) FROM accepted) AS duplicates, (SELECT count(*) FROM accepted) AS accepted",
     "enrichment_summary": with_(RAW, LEADS, _CHAINS.format(leads="leads"), views=_P) +
-    "SELECT count(*) FILTER (ord % 3 = 0) AS leads_enriched, count(chain_name) AS chains_detected, count(*) FILTER (ord % 5 = 0) AS resumed FROM chained",
+    "SELECT count(*) FILTER (ord % 3 = 0 AND ord % 5 <> 0) AS leads_enriched, count(chain_name) AS chains_detected, count(*) FILTER (ord % 5 = 0) AS resumed FROM chained",
     "keep_per_key": with_(RAW, LEADS, views=_P) +
     "SELECT city, min(ord) AS ord, arg_min(company_name, ord) AS company_name, 'first' AS keep FROM leads GROUP BY city UNION ALL "
     "SELECT city, max(ord), arg_max(company_name, ord), 'last' FROM leads GROUP BY city",

@@ -54,7 +54,7 @@ def email_verdicts(spark, d):
     grouped = _document_emails(spark, d).groupBy(F.floor(F.col("doc_id") / 10).alias("g")).agg(
         F.array_sort(F.collect_list(F.struct("doc_id", "pos", "email")))["email"].alias("emails"))
     leads = grouped.select(
-        F.col("g").cast("string").alias("id"), F.when(F.col("g") % 3 == 0, F.element_at("emails", -1)).alias("email"),
+        F.col("g").alias("ord"), F.col("g").cast("string").alias("id"), F.when(F.col("g") % 3 == 0, F.element_at("emails", -1)).alias("email"),
         F.array_distinct("emails").alias("emails"), F.array().cast(f"array<{schemas.CONTACT}>").alias("contacts"))
     out = emails.email_verdicts(leads, _domain_facts(spark, d), _address_facts(spark, d))
     return out.select("id", "email_status", "email_catch_all", F.size(F.map_keys("email_checks")).cast("bigint").alias("n_checked"))
@@ -88,18 +88,18 @@ def _site_leads(spark, d):
     raw = places.select(
         "ord", F.lit("t").alias("source"), F.col("name").alias("company_name"),
         F.when(F.col("ord") % 4 != 3, F.regexp_replace(site, "^www[.]", "")).alias("website_url"))
-    return normalize_leads(raw).withColumn("id", F.concat(F.lit("k"), F.col("ord").cast("string")))
+    return normalize_leads(raw)
 
 
 def pages_for_leads(spark, d):
     visited = extract.site_pages(view(spark, d, "site_pages_v"))
-    return extract.pages_for_leads(_site_leads(spark, d), visited)
+    return extract.pages_for_leads(_site_leads(spark, d), visited).drop("id")
 
 
 def enrich_from_pages(spark, d):
     patch = extract.enrich_from_pages(_site_leads(spark, d), view(spark, d, "site_pages_v"))
     return patch.select(
-        "id", "email", "legal_name", F.array_join("emails", ",").alias("emails"), F.array_join("phones", ",").alias("phones"),
+        "ord", "email", "legal_name", F.array_join("emails", ",").alias("emails"), F.array_join("phones", ",").alias("phones"),
         "socials.facebook", "socials.linkedin", "socials.whatsapp",
         F.array_join(F.transform("contacts", lambda c: F.concat_ws("/", c["full_name"], c["role"], c["email_direct"])), ",").alias("people"))
 
@@ -149,7 +149,7 @@ def top_n_per_group(spark, d):
 
 def _review_leads(spark, d):
     return view(spark, d, "reviews_v").select("lead_id").distinct().select(
-        F.col("lead_id").alias("id"), F.when(F.col("lead_id") % 2 == 0, F.col("lead_id")).alias("reviews_count"),
+        F.col("lead_id").alias("ord"), F.col("lead_id").alias("id"), F.when(F.col("lead_id") % 2 == 0, F.col("lead_id")).alias("reviews_count"),
         F.when(F.col("lead_id") % 3 == 0, F.lit(4.0)).alias("google_rating"))
 
 
@@ -226,7 +226,7 @@ def _visible() -> str:
 _VISITED = """ranked AS (SELECT page_id, html, regexp_extract(url, '//([^/]*)', 1) AS site, page_id % 4 AS i FROM site_pages_v),
 homes AS (SELECT site FROM ranked WHERE i = 0 AND html IS NOT NULL),
 visited AS (SELECT r.* FROM ranked r SEMI JOIN homes USING (site) WHERE html IS NOT NULL)"""
-_SITE_LEADS = "site_leads AS (SELECT ord, 'k' || ord AS id, 'site' || (ord - ord % 5) || '.cm' AS site FROM places_v WHERE ord % 4 <> 3)"
+_SITE_LEADS = "site_leads AS (SELECT ord, 'site' || (ord - ord % 5) || '.cm' AS site FROM places_v WHERE ord % 4 <> 3)"
 _PAD = "lpad(CAST({n} % 1000000 AS VARCHAR), 6, '0')"
 _N = "(page_id - page_id % 4) // 4"
 _READ = """picked AS (SELECT lead_id, pos, trim(rating_label) AS rating_label, """ + trim("text") + """ AS text FROM reviews_v
@@ -263,10 +263,10 @@ ORACLES = {
     "s AS (SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY site ORDER BY path_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen, "
     "max(CASE WHEN path_rank = 0 AND ok THEN 1 ELSE 0 END) OVER (PARTITION BY site) AS home FROM r WHERE path_rank < 6) "
     "SELECT site, page_id, path_rank FROM s WHERE ok AND home = 1 AND seen < 4",
-    "pages_for_leads": with_(_VISITED, _SITE_LEADS, views=("site_pages_v", "places_v")) + "SELECT id, site, page_id FROM site_leads JOIN visited USING (site)",
-    "enrich_from_pages": with_(_VISITED, _SITE_LEADS, "n AS (SELECT l.id, l.site, l.ord - l.ord % 5 AS n, h.site IS NOT NULL AS up, EXISTS (SELECT 1 FROM visited v WHERE v.site = l.site AND i = 2) AS team "
+    "pages_for_leads": with_(_VISITED, _SITE_LEADS, views=("site_pages_v", "places_v")) + "SELECT ord, site, page_id FROM site_leads JOIN visited USING (site)",
+    "enrich_from_pages": with_(_VISITED, _SITE_LEADS, "n AS (SELECT l.ord, l.site, l.ord - l.ord % 5 AS n, h.site IS NOT NULL AS up, EXISTS (SELECT 1 FROM visited v WHERE v.site = l.site AND i = 2) AS team "
                                "FROM site_leads l LEFT JOIN homes h USING (site))", views=("site_pages_v", "places_v")) +
-    "SELECT id, CASE WHEN up THEN 'contact@site' || n || '.cm' END AS email, CASE WHEN up THEN 'SITE ' || n || ' SARL' END AS legal_name, "
+    "SELECT ord, CASE WHEN up THEN 'contact@site' || n || '.cm' END AS email, CASE WHEN up THEN 'SITE ' || n || ' SARL' END AS legal_name, "
     "CASE WHEN up THEN 'contact@site' || n || '.cm,reservation@site' || n || '.cm,awa.ntsama@gmail.com' ELSE '' END AS emails, "
     f"CASE WHEN up AND n % 1000000 = 0 THEN '+237699000000,+237233420001' WHEN up THEN '+237699' || {_PAD.format(n='n')} || ',+237233420001,+237699000000' ELSE '' END AS phones, "
     "CASE WHEN up THEN 'https://www.facebook.com/site' || n END AS facebook, CASE WHEN up THEN 'https://www.linkedin.com/company/site' || n END AS linkedin, "

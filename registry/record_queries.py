@@ -159,9 +159,11 @@ ORACLES = {
     "CASE WHEN f.slug IS NULL THEN 'kept' WHEN s.slug IS NULL THEN 'created' ELSE 'updated' END AS outcome FROM stored s FULL JOIN fresh f USING (slug)",
     "match_existing": with_(_PARSED, _RECORDS, _STORED, views=_TASKS) + "SELECT task_ord, slug, CASE WHEN slug IN (SELECT slug FROM stored) THEN 'updated' ELSE 'created' END AS outcome FROM records",
     "run_summary": with_(_PARSED, _RECORDS, _STORED, f"""slugged AS (SELECT task_ord, {slug('input_name', 'city')} AS slug FROM tasks_v),
-todo AS (SELECT min(task_ord) AS task_ord FROM slugged WHERE slug NOT IN (SELECT slug FROM stored) GROUP BY slug)""", views=_TASKS) +
-    "SELECT (SELECT count(*) FROM tasks_v) AS total, count(r.task_ord) AS enriched, (SELECT count(*) FROM tasks_v) - count(*) AS skipped, count(*) - count(r.task_ord) AS failed, "
-    "count(*) FILTER (r.status = 'needs_review') AS needs_review, count(r.task_ord) AS created, CAST(0 AS BIGINT) AS updated FROM todo LEFT JOIN records r USING (task_ord)",
+tried AS (SELECT s.task_ord, s.slug, r.status, r.task_ord IS NOT NULL AS good, s.slug IN (SELECT slug FROM stored) AS known FROM slugged s LEFT JOIN records r USING (task_ord)),
+told AS (SELECT *, (SELECT count(*) FROM tried p WHERE p.slug = t.slug AND p.good AND p.task_ord < t.task_ord) AS before FROM tried t)""", views=_TASKS) +
+    "SELECT count(*) AS total, count(*) FILTER (good AND NOT known AND before = 0) AS enriched, count(*) FILTER (known OR before > 0) AS skipped, "
+    "count(*) FILTER (NOT good AND NOT known AND before = 0) AS failed, count(*) FILTER (good AND NOT known AND before = 0 AND status = 'needs_review') AS needs_review, "
+    "count(*) FILTER (good AND NOT known AND before = 0) AS created, CAST(0 AS BIGINT) AS updated FROM told",
     "similar_names": with_(_forms(_TOKENS, "form <> ''"), """sized AS (SELECT *, len(string_split(form_a, ' ')) AS sa, len(string_split(form_b, ' ')) AS sb,
  len(list_intersect(string_split(form_a, ' '), string_split(form_b, ' '))) AS i FROM pairs),
 scored AS (SELECT *, CASE WHEN i = sa OR i = sb THEN 0.95 ELSE i / (sa + sb - i) END AS similarity FROM sized WHERE (sa, form_a) <= (sb, form_b))""", views=("tasks_v",)) +

@@ -97,3 +97,11 @@ def test_html(value):
 def test_truncate(value):
     assert value(lambda c: text.truncate(c, 5), "12345", "123456") == ["12345", "1234…"]
     assert value(text.clean, " x ", "NULL", "n/a", " ") == ["x", None, None, None]
+
+
+def test_dot_segments_of_links(value):
+    from pyspark.sql import functions as F
+
+    got = value(lambda c: web.resolve_url(c, F.lit("https://x.cm/p/q/r.html")), "../../x", "a/../b", "./c", "../../../../y", "/a/./b/../c", "d/..", "e/.")
+    assert got == ["https://x.cm/x", "https://x.cm/p/q/b", "https://x.cm/p/q/c", "https://x.cm/y", "https://x.cm/a/c", "https://x.cm/p/q/", "https://x.cm/p/q/e/"]
+    assert value(web.clean_url, "x.cm/a/../b", "x.cm/./c", "x.cm/a/%2E%2e/d", "x.cm/..") == ["https://x.cm/b", "https://x.cm/c", "https://x.cm/d", "https://x.cm/"]

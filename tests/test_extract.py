@@ -101,13 +101,15 @@ def test_discovered(spark):
 def test_email_verdicts(spark):
     contact = ("Jo", "OTHER", None, "c@trap.cm", None, None, 0.9)
     leads = spark.createDataFrame([
-        ("1", "a@ok.cm", ["b@gone.cm", "a@ok.cm"], [contact]), ("2", None, ["x@yopmail.com", "y@shut.cm"], []), ("3", None, [], [])],
-        f"id string, email string, emails array<string>, contacts array<{schemas.CONTACT}>")
+        (1, "1", "a@ok.cm", ["b@gone.cm", "a@ok.cm"], [contact]), (2, "2", None, ["x@yopmail.com", "y@shut.cm"], []), (3, "3", None, [], []),
+        (4, "1", "a@ok.cm", ["b@gone.cm"], [])],
+        f"ord bigint, id string, email string, emails array<string>, contacts array<{schemas.CONTACT}>")
     domains = spark.createDataFrame([("ok.cm", True, True, False), ("gone.cm", False, True, None), ("trap.cm", True, True, True), ("shut.cm", True, False, None)],
                                     "domain string, has_mx boolean, probed boolean, catch_all boolean")
     accepted = spark.createDataFrame([("a@ok.cm", True)], "email string, accepted boolean")
-    rows = {r.id: r for r in emails.email_verdicts(leads, domains, accepted).collect()}
-    assert set(rows) == {"1", "2"}
+    found = {r.ord: r for r in emails.email_verdicts(leads, domains, accepted).collect()}
+    assert set(found) == {1, 2, 4} and found[4].id == "1" and found[4].email_status == "valid"
+    rows = {"1": found[1], "2": found[2]}
     assert (rows["1"].email_status, rows["1"].email_catch_all) == ("valid", True)
     assert rows["1"].email_checks == {"a@ok.cm": "valid", "b@gone.cm": "invalid", "c@trap.cm": "risky"}
     assert rows["1"].contacts[0].confidence == 0.9 and rows["2"].email_status == "unknown"
@@ -116,7 +118,7 @@ def test_email_verdicts(spark):
 def test_review_insight(spark):
     rows = [("1", i, "4,5 étoiles" if i % 2 else "3 stars", ("long " * 30 + str(i)) if i < 6 else "" if i < 20 else "short") for i in range(60)]
     df = spark.createDataFrame([(a, b, "me", c, d) for a, b, c, d in rows], "lead_id string, pos int, author string, rating_label string, text string")
-    leads = spark.createDataFrame([("1", None, 4.2), ("2", 5, None)], "id string, reviews_count bigint, google_rating double")
+    leads = spark.createDataFrame([(1, "1", None, 4.2), (2, "2", 5, None)], "ord bigint, id string, reviews_count bigint, google_rating double")
     got = reviews.review_insight(leads, df).collect()
     assert len(got) == 1 and got[0].reviews["count"] == 25 and got[0].reviews.average == 4.2
     assert len(got[0].reviews.highlights) == 3 and got[0].reviews.sentiment is None

@@ -130,15 +130,24 @@ def test_patch(spark):
     base = L.normalize_leads(raw(spark, {"company_name": "Hôtel Test", "email": "contact@test.cm"}, {"company_name": "Other"}))
     lead = base.orderBy("ord").first()
     patch = spark.createDataFrame(
-        [(lead.id, ["contact@test.cm", "reservation@test.cm"], ["+237699000000"], {"facebook": "https://facebook.com/test"}, "valid",
+        [(lead.ord, ["contact@test.cm", "reservation@test.cm"], ["+237699000000"], {"facebook": "https://facebook.com/test"}, "valid",
           "autre@test.cm", {"a": "1"})],
-        f"id string, emails array<string>, phones array<string>, socials {schemas.SOCIALS}, email_status string, email string, metadata map<string,string>")
+        f"ord bigint, emails array<string>, phones array<string>, socials {schemas.SOCIALS}, email_status string, email string, metadata map<string,string>")
     first, other = merge.apply_patch(base, patch, "website").orderBy("ord").collect()
     assert first.email == "contact@test.cm" and first.emails == ["contact@test.cm", "reservation@test.cm"]
     assert first.socials.facebook == "https://facebook.com/test" and first.email_status == "valid"
     assert first.enriched_by == ["website"] and first.metadata == {"a": "1"} and other.enriched_by == []
 
 
+def test_patches_do_not_multiply_leads_with_one_id(spark):
+    base = L.normalize_leads(raw(spark, {"company_name": "Hotel"}, {"company_name": "Hotel"})).withColumn("id", F.lit("same"))
+    for stage in ("website", "email"):
+        patch = base.select("ord", F.concat(F.lit("n"), F.col("ord").cast("string")).alias("legal_name"))
+        base = merge.apply_patch(base, patch, stage)
+    assert sorted((r.ord, r.legal_name) for r in base.collect()) == [(r, f"n{r}") for r in sorted(x.ord for x in base.collect())]
+    assert base.count() == 2
+
+
 def test_merge_contacts(spark):
     def c(name, email=None, confidence=1.0, role="OTHER"):
         return (name, role, None, email, None, None, confidence)

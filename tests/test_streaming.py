@@ -40,6 +40,20 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     assert sorted(map(str, intake.read(spark, "decisions").collect())) == first
 
 
+def test_what_arrived_first_wins_whatever_its_order(spark, tmp_path):
+    places = view(spark, SMALL, "places_v").filter("ord = 0")
+
+    def listing(ord, name, phone):
+        return stream_leads(places.withColumns({"ord": F.lit(ord).cast("bigint"), "name": F.lit(name), "phone": F.lit(phone), "website": F.lit(None).cast("string")}))
+
+    intake = LeadIntake(str(tmp_path / "out"))
+    for k, row in enumerate([(10, "Alpha", "699 11 22 33"), (5, "Beta", "699 11 22 33"), (7, "Beta", None), (6, "Alpha", None)]):
+        intake(listing(*row), k)
+    got = {r.ord: (r.duplicate, r.reason) for r in intake.read(spark, "decisions").collect()}
+    assert got == {10: (False, None), 5: (True, "phone"), 7: (False, None), 6: (True, "name+city")}
+    assert sorted(r.ord for r in intake.read(spark, "leads").collect()) == [7, 10]
+
+
 def test_incremental_enrichment(spark, tmp_path):
     class Mark:
         name = "mark"
@@ -48,7 +62,7 @@ def test_incremental_enrichment(spark, tmp_path):
             return leads
 
         def patch(self, leads, tables):
-            return leads.select("id", F.lit("x").alias("legal_name"))
+            return leads.select("ord", F.lit("x").alias("legal_name"))
 
     leads = places_to_leads(view(spark, SMALL, "places_v"))[0]
     write = incremental_enrichment(str(tmp_path), [Mark()], {})
