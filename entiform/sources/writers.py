@@ -8,9 +8,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from entiform import fixed
+from entiform.functions.storage import exists
 from entiform.operators.leads import contacts_table, flatten_leads
 from entiform.operators.ordering import keep_per_key
 
@@ -73,10 +73,9 @@ def append_progress(leads: DataFrame, path: str, batch_id: int) -> None:
 
 def load_progress(spark: SparkSession, path: str) -> DataFrame | None:
     """Last stored state of each lead; None when nothing is stored."""
-    try:
-        stored = spark.read.option("basePath", path).option("mergeSchema", "true").parquet(path)
-    except AnalysisException:
+    if not exists(spark, path):
         return None
+    stored = spark.read.option("basePath", path).option("mergeSchema", "true").parquet(path)
     return keep_per_key(stored, "id", "seq", "last").drop("batch_id", "seq")
 
 
