@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from entiform.llm.common import by_value, share, without
 
 #: Distinct words that a worker remembers; the memory is emptied when it is full.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 160_000
 #: White space as the tokenizer's normaliser sees it.
 _SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 #: Same alternatives, the commonest first; none of them can begin where another does.
