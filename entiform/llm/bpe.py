@@ -29,7 +29,7 @@ from entiform.llm.common import by_value, share, without
 #: Distinct words that a worker remembers; the memory is emptied when it is full.
 MEMO_WORDS = 160_000
 #: White space as the tokenizer's normaliser sees it.
-_SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Same alternatives, the commonest first; none of them can begin where another does.
 _REORDERED = {
     r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+": r"\p{L}+|'(?:s|t|re|ve|m|ll|d)|\p{N}|[^\s\p{L}\p{N}]+"}

@@ -19,7 +19,7 @@ SHINGLE_WORDS = 5
 NEAR = 0.8
 
 _WORD = re.compile(r"\w+")
-_HASH_KEY = "entiform-shingle"
+_HASH_KEY = "entiform-shingle"  # 16 bytes
 
 
 def by_value(module: str) -> None:
@@ -78,7 +78,7 @@ def word_hashes(tokens: list[str]) -> np.ndarray:
     """Stable 64-bit hash of each word."""
     if not tokens:
         return np.zeros(0, np.uint64)
-    return pd.util.hash_array(np.array(tokens, dtype=object), hash_key=_HASH_KEY[:16], categorize=False)
+    return pd.util.hash_array(np.array(tokens, dtype=object), hash_key=_HASH_KEY, categorize=False)
 
 
 def shingle_hashes(hashed: np.ndarray, size: int = SHINGLE_WORDS) -> np.ndarray:
