@@ -2,7 +2,8 @@
 
 Vectors are cut in halves, and each half has a codebook of its own; the product of both is a grid of cells, and every vector is indexed in its
 cell. A query visits cells by the sum of its squared distances to both half centroids, smallest first (multi-sequence order), as far as a
-stated share of the true neighbours of sampled queries needs; what it meets there is verified by cosine in double precision.
+stated share of the true neighbours of sampled queries needs, each query weighed alike, and of pairs made at the threshold, so that visits
+are measured too where no neighbours are met; what it meets there is verified by cosine in double precision.
 
 Equal vectors are one node with a count. Each vector visits cells as a query. A link found from both ends counts once: a cell's rows know
 which cells their owner visits. Large cells are cut into blocks of index rows, and queries go to all blocks, in streams; nothing is gathered
@@ -66,11 +67,11 @@ class MultiIndex:
         a, b = self._distances(x)
         visits = min(visits, a.shape[1] * b.shape[1])
         near_a, near_b = np.argsort(a, 1, kind="stable")[:, :visits], np.argsort(b, 1, kind="stable")[:, :visits]
-        total = np.take_along_axis(a, near_a, 1)[:, :, None] + np.take_along_axis(b, near_b, 1)[:, None, :]
-        cell = near_a[:, :, None] * b.shape[1] + near_b[:, None, :]
-        flat = total.reshape(len(x), -1)
-        first = np.argsort(flat, 1, kind="stable")[:, :visits]
-        return np.take_along_axis(cell.reshape(len(x), -1), first, 1)
+        # The k-th of one side with the l-th of the other comes after k * l cells, so it need not be looked at if these are too many.
+        k, at = np.nonzero(np.arange(1, near_a.shape[1] + 1)[:, None] * np.arange(1, near_b.shape[1] + 1)[None, :] <= visits)
+        total = np.take_along_axis(a, near_a, 1)[:, k] + np.take_along_axis(b, near_b, 1)[:, at]
+        first = np.argsort(total, 1, kind="stable")[:, :visits]
+        return np.take_along_axis(near_a[:, k] * b.shape[1] + near_b[:, at], first, 1)
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -103,9 +104,26 @@ def _matrix(bodies: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(bodies), np.float64).reshape(len(bodies), -1)
 
 
+def made_ranks(index: MultiIndex, x: np.ndarray, threshold: float, cells: int, times: int = 16, seed: int = 11) -> np.ndarray:
+    """For pairs of each vector with itself turned to the threshold: visits after which one of both finds the other."""
+    rng, ranks = np.random.default_rng(seed), []
+    if x.shape[1] < 2:
+        return np.ones(0, np.int64)
+    there = index.order(x, cells)
+    home = there[:, 0]
+    there = np.argsort(there, 1)
+    for _ in range(times):
+        side = rng.normal(size=x.shape)
+        side -= (side * x).sum(1)[:, None] * x
+        side /= np.linalg.norm(side, axis=1)[:, None]
+        back = index.order(threshold * x + math.sqrt(max(0.0, 1 - threshold ** 2)) * side, cells)
+        ranks.append(np.minimum(there[np.arange(len(x)), back[:, 0]], (back == home[:, None]).argmax(1)) + 1)
+    return np.concatenate(ranks)
+
+
 def fit(nodes: DataFrame, threshold: float, target: float, per_cell: int, fit_rows: int, probe_rows: int) -> MultiIndex:
     """Codebooks from at most `fit_rows` vectors, and visits that find `target` of the links of at most `probe_rows` queries, which are
-    compared with all vectors."""
+    compared with all vectors, and `target` of pairs that are made from these queries at the threshold."""
     n = nodes.count()
     sample = nodes.orderBy(F.xxhash64("key")).limit(fit_rows).select("dim", "body").collect()
     side = max(1, min(len(sample) // 8, math.ceil(math.sqrt(n / per_cell))))
@@ -132,17 +150,24 @@ def fit(nodes: DataFrame, threshold: float, target: float, per_cell: int, fit_ro
                 x = _matrix([bodies[k] for k in here])
                 row, col = np.nonzero((q @ x.T >= threshold) & (q @ x.T < 1 - 1e-12))
                 if len(row):
-                    rank, count = np.unique(ranks[d][row, model.order(x, 1)[col, 0]], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(rank, pa.int64()), pa.array(count, pa.int64())], ["rank", "n"])
-
-    found = sorted((r["rank"], r["n"]) for r in nodes.select("dim", "body").mapInArrow(run, "rank bigint, n bigint").groupBy("rank").agg(F.sum("n").alias("n")).collect())
-    total, seen = sum(n for _, n in found), 0
-    index.visits = 4
-    for rank, k in found:
-        seen += k
-        if seen >= target * total:
+                    rank, count = np.unique(np.column_stack([row, ranks[d][row, model.order(x, 1)[col, 0]]]), axis=0, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(d)] * len(rank), pa.int64()), pa.array(rank[:, 0]), pa.array(rank[:, 1]), pa.array(count, pa.int64())], ["dim", "probe", "rank", "n"])
+
+    met = nodes.select("dim", "body").mapInArrow(run, "dim bigint, probe bigint, rank bigint, n bigint").groupBy("dim", "probe", "rank").agg(F.sum("n").alias("n")).collect()
+    links_of: dict[tuple[int, int], int] = {}
+    for r in met:
+        links_of[r["dim"], r["probe"]] = links_of.get((r["dim"], r["probe"]), 0) + r["n"]
+    met = sorted((r["rank"], r["n"] / links_of[r["dim"], r["probe"]]) for r in met)  # the links of each probe weigh one together
+    index.visits, seen = 4, 0.0
+    for rank, part in met:
+        seen += part
+        if seen >= target * len(links_of) - 1e-9:
             index.visits = max(index.visits, rank + 1)
             break
+    for d, q in asked.items():
+        made = np.sort(made_ranks(index, q, threshold, cells))
+        if len(made):
+            index.visits = max(index.visits, int(made[min(len(made) - 1, math.ceil(target * len(made)) - 1)]))
     return index
 
 

@@ -52,3 +52,16 @@ def test_multi_sequence_order():
     a, b = index._distances(x)
     total = (a[:, :, None] + b[:, None, :]).reshape(20, -1)
     assert (index.order(x, 7) == np.argsort(total, 1)[:, :7]).all() and (index.order(x, 99) == np.argsort(total, 1)).all()
+
+
+def test_few_planted_pairs(spark):
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.normal(size=(200, 64))
+    side -= (side * x[:200]).sum(1)[:, None] * x[:200]
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    x = np.vstack([x, 0.951 * x[:200] + math.sqrt(1 - 0.951 ** 2) * side])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = E.near_classes(df).where("n_links > 0").collect()
+    assert sum(r["vec_id"] >= 20_000 and r["class_id"] == r["vec_id"] - 20_000 for r in out) >= 196
