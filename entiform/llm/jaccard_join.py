@@ -277,14 +277,37 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, name: str, text: str) -> Data
     return again.mapInArrow(run, "key binary, shingles binary").join(nodes.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
+def lost(threshold: float, runs: int, levels: int) -> float:
+    """Share of pairs at the threshold that no run brings to a common node below `levels` levels.
+
+    All runs choose from the same coordinates, so the number of these in which a pair agrees comes first.
+    """
+    more, total = 1 / threshold - 1, 0.0
+    for k in range(COORDINATES + 1):
+        same, parted = k / COORDINATES, 0.0
+        for _ in range(levels):
+            each = 1 - same * (1 - parted)
+            parted = (1 - more) * each + more * each ** 2
+        total += math.comb(COORDINATES, k) * threshold ** k * (1 - threshold) ** (COORDINATES - k) * parted ** runs
+    return total
+
+
+def runs_needed(threshold: float, recall: float, levels: int) -> int:
+    """The fewest runs that lose at most 1 - `recall` of the pairs at the threshold."""
+    runs = 1
+    while lost(threshold, runs, levels) > 1 - recall and runs < 1_000:
+        runs += 1
+    return runs
+
+
 def near_classes(docs: DataFrame, threshold: float = NEAR, recall: float = 0.999, depth: int = 4, name: str = "doc_id", text: str = "text") -> DataFrame:
     """(name, key, class_id, class_key, first_id, n_links) of each row.
 
     class_id is the smallest id that links reach, n_links the number of other rows linked directly. `key` names the row's set, class_key the
     set that stands for the class, first_id the smallest id with the row's set. The number of runs follows from `recall`
-    for a pair at the threshold that parts after two levels.
+    for a pair at the threshold in the deepest bucket, `depth` splits below the first paths.
     """
-    runs = math.ceil(math.log(1 - recall) / math.log(1 - threshold ** 2))
+    runs = runs_needed(threshold, recall, depth + 1)
     each = settle(sets(docs, name, text, threshold, runs), "sets")
     nodes = settle(each.where(F.col("key").isNotNull()).groupBy("key").agg(
         F.min(name).alias("first_id"), F.count("*").alias("copies"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch")), "nodes")

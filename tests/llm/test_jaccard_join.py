@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from entiform.llm import jaccard_join as J
@@ -70,3 +71,35 @@ def test_very_long_texts(spark):
     long = " ".join(f"t{k}" for k in range(60_000))
     df = spark.createDataFrame([(1, long), (2, long + " end"), (3, "short")], "doc_id long, text string")
     assert {r["doc_id"]: r["class_id"] for r in J.near_classes(df).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_default_recall_in_the_deep_tree(spark, monkeypatch):
+    monkeypatch.setattr(J, "BUCKET", 12)
+    rng = random.Random(3)
+    rows = []
+    for k in range(1_500):  # pairs of 127 shingles, 113 of them shared, or 0.801; all share a passage of 26
+        passage, own = [f"p{x}" for x in range(30)], [f"a{k}x{x}" for x in range(101)]
+        rows.append((2 * k, " ".join(passage + own)))
+        rows.append((2 * k + 1, " ".join(passage + own[:87] + [f"b{k}x{x}" for x in range(14)])))
+    rng.shuffle(rows)
+    sets = {i: shingles(t) for i, t in rows[:200]}
+    assert all(0.8 <= len(s & shingles(t)) / len(s | shingles(t)) < 0.81 for i, s in sets.items() for j, t in rows if j == i ^ 1)
+    got = {r["doc_id"]: r["class_id"] for r in J.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k + 1] != got[2 * k] for k in range(1_500)) <= 6
+
+
+def test_runs_follow_from_the_levels():
+    for levels in (1, 2, 3, 5):
+        runs = J.runs_needed(0.8, 0.999, levels)
+        assert J.lost(0.8, runs, levels) <= 0.001 < J.lost(0.8, runs - 1, levels)
+    rng, n, few, enough = np.random.default_rng(1), 2_000, 0, 0
+    starts = J._mix(np.arange(1, 1 + J.runs_needed(0.8, 0.999, 5), dtype=np.uint64))
+    for _ in range(n):  # the tree itself, five levels deep
+        same, value = rng.random(J.COORDINATES) < 0.8, rng.integers(0, 256, J.COORDINATES)
+        found = [reaches(p, same, value, 5) for p in starts]
+        few, enough = few + (not any(found[:7])), enough + (not any(found))
+    assert few > 0.002 * n and enough <= 0.001 * n
+
+
+def reaches(path, same, value, levels):
+    return levels == 0 or any(same[c] and reaches(J.child(path, c, value[c:c + 1])[0], same, value, levels - 1) for c in J.chosen(int(path), 0.8))
