@@ -36,7 +36,14 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 _TOKENS = re.compile(r"[a-z]+")
 
 #: Fixed sets of HTML.
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas select noembed noframes xmp".split())
+RAW = frozenset("script style noscript iframe textarea title noembed noframes xmp".split())
+#: Inline elements that are nodes of their own once they hold text; without text they do not part the run around them.
+EMBEDDED = frozenset("svg object canvas select foreignobject".split())
+#: Elements of other name spaces, where "/>" closes, and the tags of HTML that end them.
+FOREIGN = frozenset("svg math".split())
+_ENDS_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small "
+    "span strong strike sub sup table tt u ul var".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -61,7 +68,7 @@ class Page:
 
     def __init__(self, text: str | None):
         self.tag, self.parent, self.tokens, self.text, self.linked, self.hidden = [], [], [], [], [], []
-        self._open: list[tuple[str, int]] = []
+        self._open: list[tuple] = []  # tag, node (-1: not made yet), attributes
         self._links = 0
         self._run: list[str] = []
         self._run_links = 0
@@ -79,7 +86,21 @@ class Page:
         return len(self.tag) - 1
 
     def _here(self) -> int:
-        return self._open[-1][1] if self._open else 0
+        return next((o[1] for o in reversed(self._open) if o[1] >= 0), 0)
+
+    def _make(self) -> None:
+        """Make the nodes of embedded elements that turn out to hold something."""
+        if self._open and self._open[-1][1] < 0:
+            self._flush()
+            for k, (tag, node, given) in enumerate(self._open):
+                if node < 0:
+                    self._open[k] = (tag, self._node(tag, self._here_below(k), given[0], hidden=given[1]), given)
+
+    def _here_below(self, k: int) -> int:
+        return self._open[k - 1][1] if k else 0
+
+    def _foreign(self) -> bool:
+        return next((o[0] in FOREIGN for o in reversed(self._open) if o[0] in FOREIGN or o[0] == "foreignobject"), False)
 
     def _flush(self) -> None:
         if self._run:
@@ -91,6 +112,8 @@ class Page:
     def _say(self, text: str) -> None:
         if text:
             text = html.unescape(text) if "&" in text else text
+            if not text.isspace():
+                self._make()
             self._run.append(text)
             if self._links:
                 self._run_links += len(text.strip())
@@ -99,7 +122,8 @@ class Page:
         """Close the innermost open node of these names, and all inside it, unless a fence stands between."""
         for k in range(len(self._open) - 1, -1, -1):
             if self._open[k][0] in names:
-                self._flush()
+                if any(o[1] >= 0 and o[0] != "math" for o in self._open[k:]):
+                    self._flush()
                 del self._open[k:]
                 return
             if self._open[k][0] in fence:
@@ -122,10 +146,22 @@ class Page:
             if m[1]:
                 if tag == "a":
                     self._links = max(0, self._links - 1)
-                elif tag in BLOCK:
+                elif tag in BLOCK or tag in EMBEDDED or tag in FOREIGN:
                     self._close({tag})
                 continue
-            if tag in RAW:
+            foreign = self._foreign()
+            if foreign and tag in _ENDS_FOREIGN:
+                self._close(FOREIGN, frozenset(("foreignobject",)))
+                foreign = False
+            if (foreign or tag in FOREIGN) and m[3].endswith("/"):
+                continue
+            if tag == "template":
+                at = self._behind_template(text, at)
+            elif tag == "math":  # phrasing: its text belongs to the run around it
+                self._open.append((tag, self._here(), ((), False)))
+            elif tag in EMBEDDED:
+                self._open.append((tag, -1, self._attributes(m[3])))
+            elif tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(text, at)
                 at = end.end() if end else n
                 if tag != "title":
@@ -139,16 +175,27 @@ class Page:
                 self._links = 1
             elif tag in BLOCK:
                 if tag in _CLOSES_P:
-                    self._close({"p"}, _FENCE)
+                    self._close({"p"}, _FENCE | EMBEDDED)
                 if tag in _SAME:
                     self._close(_SAME[tag], frozenset(("table", "ul", "ol", "dl", "select", "menu")) - {tag})
+                self._make()
                 self._flush()
-                if tag in ("body", "html") and any(t == tag for t, _ in self._open):
+                if tag in ("body", "html") and any(o[0] == tag for o in self._open):
                     continue
-                tokens, hidden = self._attributes(m[3])
-                self._open.append((tag, self._node(tag, self._here(), tokens, hidden=hidden)))
+                given = self._attributes(m[3])
+                self._open.append((tag, self._node(tag, self._here(), given[0], hidden=given[1]), given))
         self._flush()
 
+    @staticmethod
+    def _behind_template(text: str, at: int) -> int:
+        """Behind the end of a template, whose content is inert; a template without an end is passed over alone."""
+        level = 1
+        for m in re.compile(r"<(/?)template\b[^>]*>", re.I).finditer(text, at):
+            level += -1 if m[1] else 1
+            if not level:
+                return m.end()
+        return at
+
     @staticmethod
     def _attributes(raw: str):
         if not raw or raw.isspace():

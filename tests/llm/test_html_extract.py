@@ -72,3 +72,25 @@ def test_odd_pages(spark, model):
     assert [r["text"] for r in got if not r["html"]] == ["", "", ""]
     empty = H.extract(df.limit(0), H.fit(df.limit(0)))
     assert empty.count() == 0
+
+
+@pytest.mark.parametrize("mark, inside", [
+    ('<svg viewBox="0 0 1 1"/>', ""), ("<math/>", ""), ("<svg><path/><title/><style/></svg>", ""), ("<svg><path/>", ""), ("<canvas></canvas>", ""),
+    ("<math><mi>E</mi><mo>=</mo><mi>m</mi></math>", "E=m"), ("<object data=x>fallback text of it</object>", "fallback text of it"), ("<object data=x>", ""),
+    ("<select><option>A choice", "A choice"), ("<select><option>A choice</select>", "A choice"), ("<canvas>drawn words</canvas>", "drawn words"),
+    ("<svg><text>label of it</text></svg>", "label of it"), ("<template><p>inert</p><template>x</template><p>inert</p></template>", ""), ("<template>", ""),
+    ("<svg><foreignObject><p>foreign words</p></foreignObject></svg>", "foreign words"), ("<script>no()</script>", ""), ("<textarea>typed</textarea>", "")])
+def test_embedded_elements(mark, inside):
+    page = H.Page(f"<article><p>One {mark}</p><p>Two</p><p>Three</p></article>")
+    assert "".join(page.text).replace(" ", "") == f"One{inside}TwoThree".replace(" ", "")
+    assert [t for t in page.text if t][-2:] == ["Two", "Three"] and (inside or page.tag.count("#text") == 3)
+    assert all(p < k for k, p in enumerate(page.parent))
+
+
+def test_text_behind_embedded_elements(model):
+    story = STORY.split("\n")
+    for mark in ("<svg/>", "<math/>", "<object data=x>", "<svg><path/>", "<template>", "<math><mi></mi></math>"):
+        got = model.texts([PAGE.replace('<h2>The headline</h2>', f'<h2>The headline</h2>{mark}')])[0]
+        assert all(line in got for line in story), mark
+    whole = PAGE.replace("words, many   of them.", "words, <math><mi>x</mi></math> many of <svg><path/></svg> them.")
+    assert "more words, x many of them." in model.texts([whole])[0]
