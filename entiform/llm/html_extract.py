@@ -213,7 +213,7 @@ class Page:
                     tokens.append(value.lower())
             elif name == "style" and HIDDEN.search(value):
                 hidden = True
-        return tuple(tokens[:40]), hidden
+        return tuple(dict.fromkeys(tokens)), hidden
 
 
 FEATURES = 22 + 2 * len(TAGS)
@@ -539,10 +539,33 @@ def train(pages: list[str], layouts_per_page: int = 4, least_layouts: int = 320,
 
 
 def fit(pages: DataFrame, fit_pages: int = 80, page: str = "html", key: str = "page_id") -> ExtractionModel:
-    """Train on at most `fit_pages` pages, those with the smallest hash of their key."""
-    rows = pages.where(F.col(page).isNotNull()).select(F.xxhash64(F.col(key).cast("string")).alias("at"), F.col(key), F.col(page).alias("page"))
-    chosen = rows.select("at", key).distinct().orderBy("at", key).limit(fit_pages)
-    found = rows.join(F.broadcast(chosen.select(key)), key).groupBy(key).agg(F.max("page").alias("page")).orderBy(F.xxhash64(F.col(key).cast("string")), key).collect()
+    """Train on at most `fit_pages` pages that have marks, those with the smallest hash of their key.
+
+    Each task hands on its first `fit_pages` of them; a page behind these is not read.
+    """
+    rows = pages.where(F.col(page).isNotNull()).select(F.xxhash64(F.col(key).cast("string")).alias("at"), F.col(key).cast("string").alias("key"), F.col(page).alias("page"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, str], str] = {}
+        last = None
+        for batch in batches:
+            at, keys, texts = (batch.column(c) for c in ("at", "key", "page"))
+            at, keys = at.to_pylist(), keys.to_pylist()
+            for k in sorted(range(len(at)), key=at.__getitem__):
+                if last is not None and at[k] > last:
+                    break
+                name, text = (at[k], keys[k]), texts[k].as_py()
+                if text <= held.get(name, "") or marked(Page(text)) is None:
+                    continue
+                held[name] = text
+                if len(held) > fit_pages:
+                    del held[max(held, key=lambda x: (x[0], x[1] or ""))]
+                if len(held) == fit_pages:
+                    last = max(x[0] for x in held)
+        names = list(held)
+        yield pa.RecordBatch.from_arrays([pa.array([n[0] for n in names], pa.int64()), pa.array([n[1] for n in names], pa.string()), pa.array(list(held.values()), pa.string())], ["at", "key", "page"])
+
+    found = rows.mapInArrow(run, "at bigint, key string, page string").groupBy("at", "key").agg(F.max("page").alias("page")).orderBy("at", "key").limit(fit_pages).collect()
     return train([r["page"] for r in found])
 
 

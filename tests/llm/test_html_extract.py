@@ -94,3 +94,13 @@ def test_text_behind_embedded_elements(model):
         assert all(line in got for line in story), mark
     whole = PAGE.replace("words, many   of them.", "words, <math><mi>x</mi></math> many of <svg><path/></svg> them.")
     assert "more words, x many of them." in model.texts([whole])[0]
+
+
+def test_tokens_and_marked_sample(spark, monkeypatch):
+    names = " ".join(f"u-{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    assert "comments" in H.Page(f'<div class="{names} comments">x</div>').tokens[1]
+    rows = [(k, "<article><p>Marked %d</p></article>" % k if k % 50 == 0 else f"<div><p>Plain {k}</p></div>") for k in range(1_000)]
+    monkeypatch.setattr(H, "train", lambda pages: pages)
+    got = H.fit(spark.createDataFrame(rows, "page_id long, html string"), fit_pages=12)
+    assert len(got) == 12 and all("Marked" in p for p in got)
+    assert len(H.fit(spark.createDataFrame(rows, "page_id long, html string").repartition(7), fit_pages=80)) == 20
