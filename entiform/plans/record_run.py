@@ -10,9 +10,11 @@ from entiform.functions import names
 from entiform.functions.storage import settle
 from entiform.operators.answers import parse_record_answers
 from entiform.operators.lookups import lookup_join, skip_done
-from entiform.operators.records import match_existing, to_records, upsert_by_key
+from entiform.operators.records import match_existing, run_summary, to_records, upsert_by_key
 from entiform.operators.ordering import dedup_by_slug
 
+__all__ = ["open_tasks", "research_records", "run_summary", "store_records", "task_outcomes"]
+
 
 def open_tasks(tasks: DataFrame, stored: DataFrame | None, force: bool = False) -> DataFrame:
     """Tasks with their slug that are not stored yet."""
