@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entiform.llm import bpe, chat, decontaminate, embedding_dedup, html_extract, jaccard_join, langid, line_dedup, secrets, toxicity
+from entiform.llm import bpe, chat, decontaminate, divergence, embedding_dedup, html_extract, jaccard_join, langid, line_dedup, packing, secrets, toxicity, variants
 from entiform.llm.common import checksum, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,5 +130,40 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_line_dedup": op2_line_dedup, "op3_decontaminate": op3_decontaminate, "op4_chat": op4_chat, "op5_secrets": op5_secrets, "op6_language": op6_language, "op7_jaccard": op7_jaccard, "op8_embeddings": op8_embeddings, "op9_html": op9_html, "op10_bpe": op10_bpe}
-ORACLES = {"op2_line_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_chat": OP4_SQL}
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed, _ = packing.pack(table(spark, folder, "documents").select("doc_id", "text"), BYTE_TOKENIZER, capacity=1024, closing=2, with_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_variants(spark: SparkSession, folder: str) -> DataFrame:
+    words = variants.vocabulary(table(spark, folder, "documents").select("doc_id", "text"), min_length=6, min_count=5)
+    return variants.group(words, min_length=6, times=5).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents").select("text", "lang", "source"))
+
+
+OP13_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT rid, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY lang, source, term),
+v AS (SELECT lang, count(*) AS terms, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+every AS (SELECT g.lang, g.source, k.term, k.lang_n, coalesce(c.n, 0) AS n FROM g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+total AS (SELECT lang, source, sum(n) AS total FROM every GROUP BY lang, source),
+p AS (SELECT e.lang, e.source, e.term, e.n, 1 + (1000000000::HUGEINT * (e.n + 1)) // (total + terms) AS p, 1 + (1000000000::HUGEINT * (e.lang_n + 1)) // (lang_total + terms) AS q
+  FROM every e JOIN total USING (lang, source) JOIN v ON v.lang = e.lang),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // q AS BIGINT) AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_line_dedup": op2_line_dedup, "op3_decontaminate": op3_decontaminate, "op4_chat": op4_chat, "op5_secrets": op5_secrets, "op6_language": op6_language, "op7_jaccard": op7_jaccard, "op8_embeddings": op8_embeddings, "op9_html": op9_html, "op10_bpe": op10_bpe,
+           "op11_packing": op11_packing, "op12_variants": op12_variants, "op13_divergence": op13_divergence}
+ORACLES = {"op2_line_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_chat": OP4_SQL, "op13_divergence": OP13_SQL}

@@ -96,4 +96,4 @@ def test_odd_rows(spark):
 
 def test_all_registered():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 14)) and "pipeline" in entry.queries()
