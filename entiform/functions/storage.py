@@ -41,6 +41,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(at)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder; none where there is no such folder."""
+    at, system = _located(spark, path)
+    return sorted(s.getPath().getName() for s in system.listStatus(at)) if system.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove what is stored under this path."""
+    at, system = _located(spark, path)
+    system.delete(at, True)
+
+
 class Scratch:
     """Numbered tables of one run below the work folder."""
 
@@ -60,8 +72,7 @@ class Scratch:
     def drop(self, *tables: str) -> None:
         """Remove some tables, or all of them, once nothing reads them any more."""
         for name in [f"{self.path}/{t}" for t in tables] or [self.path]:
-            path, system = _located(self.spark, name)
-            system.delete(path, True)
+            remove(self.spark, name)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

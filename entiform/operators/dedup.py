@@ -7,22 +7,32 @@ already accepted lead; keys of rejected leads do not count. Spark decides in rou
 2. rows that are smallest for every key they hold are accepted and own those keys;
 3. open rows holding an owned key are rejected.
 
-Every round accepts at least the smallest open row, so the loop ends; no row is ever dropped by a limit.
-Copies with the same three keys collapse to their first row before the rounds. Open rows and owners are
-written as tables each round, so a lost executor costs a task, not the run.
+Copies with the same three keys collapse to their first row before the rounds. A hot key is owned after a round or two, and its rows go.
+What is left then are rows that wait for each other in turn, and rounds would take as many turns as the longest of these chains has
+rows. So, once a round decides few rows, or few are left, the open rows are split into connected components: rows that share keys, directly
+or through others. Components do not touch, so each is decided on its own, row by row in order, and a task takes as many whole ones as
+`GROUP_ROWS` allows. Of a component beyond that its first rows are decided so, which is exact as well, because no later row can change
+them; the others stay open. No row is ever dropped by a limit.
+
+Open rows and owners are written as tables each round, so a lost executor costs a task, not the run.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entiform.functions import names, web
 from entiform.functions.storage import Scratch
+from entiform.operators.components import components
 from entiform.operators.lookups import HOT_KEYS, lookup_join
 
 SIGNALS = ("name+city", "phone", "website")
 _KEYS = ("k1", "k2", "k3")
+#: Rows that one task decides in order, and the share of open rows below which a round has decided few.
+GROUP_ROWS = 100_000
+SLOW_ROUND = 0.2
 
 
 def entity_keys(leads: DataFrame, ord: str = "ord") -> DataFrame:
@@ -63,26 +73,70 @@ def without_owned(rows: DataFrame, owned: DataFrame, hot_keys: int = HOT_KEYS) -
     return rows
 
 
-def resolve_owners(keys: DataFrame, scratch: Scratch, hot_keys: int = HOT_KEYS) -> DataFrame:
+def _in_order(names=("ord", *_KEYS)):
+    """The sequential rules themselves, for whole components; a closure, so that executors need no copy of the package."""
+    def owned(table: pa.Table) -> pa.Table:
+        owners: dict[tuple[int, str], int] = {}
+        held: dict[tuple[int, str], int] = {}
+        for ord_, *keys in sorted(zip(*(table.column(c).to_pylist() for c in names)), key=lambda row: row[0]):
+            own = [(i, k) for i, k in enumerate(keys, 1) if k is not None]
+            for k in own:
+                held[k] = held.get(k, 0) + 1
+            if not any(k in owners for k in own):
+                owners.update(dict.fromkeys(own, ord_))
+        return pa.table({
+            "signal": pa.array([i for i, _ in owners], pa.int32()), "key": pa.array([k for _, k in owners], pa.string()),
+            "ord": pa.array(owners.values(), pa.int64()), "n": pa.array([held[k] for k in owners], pa.int64())})
+
+    return owned
+
+
+def _solve(still_open: DataFrame, rows: int, scratch: Scratch, turn: int, group_rows: int) -> tuple[DataFrame, bool]:
+    """(owners of the decided rows, whether rows are left): by components, each as far as one task may go."""
+    held = "signal int, key string, ord bigint, n bigint"
+    if rows <= group_rows:
+        return scratch.write(still_open.groupBy().applyInArrow(_in_order(), held), f"owners-{turn}"), False
+    first = Window.partitionBy("signal", "key")
+    links = _long(still_open, "ord").select("ord", F.min("ord").over(first).alias("least")).where("ord <> least")
+    rooted = scratch.write(components(links.select(F.col("ord").alias("a"), F.col("least").alias("b"))), f"components-{turn}")
+    alone = still_open.join(rooted.select(F.col("node").alias("ord"), "root"), "ord", "left").withColumn("root", F.coalesce("root", "ord"))
+    parts = -(-rows // group_rows)
+    longest = rooted.groupBy("root").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    if longest > group_rows:
+        turns = Window.partitionBy("root").orderBy("ord")
+        alone = alone.withColumn("_turn", F.row_number().over(turns)).where(F.col("_turn") <= group_rows).drop("_turn")
+    owned = alone.groupBy(F.pmod(F.xxhash64("root"), F.lit(parts))).applyInArrow(_in_order(), held)
+    return scratch.write(owned, f"owners-{turn}"), longest > group_rows
+
+
+def resolve_owners(keys: DataFrame, scratch: Scratch, hot_keys: int = HOT_KEYS, group_rows: int | None = None) -> DataFrame:
     """Owners of keys: (signal, key, ord, n), one row per key of every accepted row that holds a key."""
+    group_rows = group_rows or GROUP_ROWS
     firsts = keys.filter(F.coalesce(*_KEYS).isNotNull()).groupBy(*_KEYS).agg(F.min("ord").alias("ord"))
     still_open = scratch.write(firsts, "open-0")
-    tables = []
-    while not still_open.isEmpty():
+    tables, rows, slow = [], still_open.count(), False
+    while rows:
         turn = len(tables)
-        # ord and the number of keys share one long, so the minimum stays a hash aggregate
-        smallest = (
-            _long(still_open.withColumn("packed", F.col("ord") * 4 + _key_count()), "packed")
-            .groupBy("signal", "key").agg(F.min("packed").alias("packed"), F.count("*").alias("n"))
-        )
-        won = F.count("*").over(Window.partitionBy("packed"))
-        owned = scratch.write(
-            smallest.withColumn("won", won).filter(F.col("won") == F.pmod("packed", F.lit(4)))
-            .select("signal", "key", F.expr("shiftright(packed, 2)").alias("ord"), "n"),
-            f"owners-{turn}")
         tables.append(f"owners-{turn}")
+        if slow or rows <= group_rows:
+            owned, more = _solve(still_open, rows, scratch, turn, group_rows)
+            if not more:
+                break
+        else:
+            # ord and the number of keys share one long, so the minimum stays a hash aggregate
+            smallest = (
+                _long(still_open.withColumn("packed", F.col("ord") * 4 + _key_count()), "packed")
+                .groupBy("signal", "key").agg(F.min("packed").alias("packed"), F.count("*").alias("n"))
+            )
+            won = F.count("*").over(Window.partitionBy("packed"))
+            owned = scratch.write(
+                smallest.withColumn("won", won).filter(F.col("won") == F.pmod("packed", F.lit(4)))
+                .select("signal", "key", F.expr("shiftright(packed, 2)").alias("ord"), "n"),
+                f"owners-{turn}")
         still_open = scratch.write(without_owned(still_open, owned, hot_keys), f"open-{turn + 1}")
         scratch.drop(f"open-{turn}")
+        left = still_open.count()
+        slow, rows = left > (1 - SLOW_ROUND) * rows, left
     if not tables:
         return _long(keys, "ord").select("signal", "key", "ord", F.lit(0).cast("bigint").alias("n"))
     return scratch.read(*tables)

@@ -1,7 +1,8 @@
 """Leads from a stream, deduplicated against everything accepted before.
 
-State lives in tables under one shared folder, one `batch_id=<n>` part per micro-batch. A batch reads only
-parts with a smaller id and overwrites its own, so a replayed batch gives the same result.
+Results lie under one shared folder, one `batch_id=<n>` part per micro-batch; a batch overwrites its own part. What later batches ask
+for, owners of keys and finished ids, lies in a `KeyStore`: a batch sees only what smaller batches stored, so a replayed one gives the same
+result, and it reads only the buckets that its own keys may be in, so its cost does not follow the length of the stream.
 """
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from entiform import fixed
-from entiform.functions.storage import Scratch, exists
+from entiform.functions.storage import Scratch
 from entiform.operators.dedup import decide, entity_keys, key_counts, resolve_owners, with_owner_ids, without_owned
 from entiform.operators.leads import normalize_leads, parse_places, with_reject_reasons
 from entiform.operators.lookups import skip_done
 from entiform.plans.stages import Stage, run_stages
+from entiform.streaming.state import KeyStore
 
-OWNER_SCHEMA = "signal int, key string, owner_ord bigint, owner_id string, batch_id bigint"
+OWNER_SCHEMA = "signal int, key string, owner_ord bigint, owner_id string"
 
 
 def stream_leads(places: DataFrame, country: str = fixed.DEFAULT_COUNTRY) -> DataFrame:
@@ -27,13 +29,6 @@ def stream_leads(places: DataFrame, country: str = fixed.DEFAULT_COUNTRY) -> Dat
     return with_reject_reasons(normalize_leads(parse_places(places, country), country))
 
 
-def _parts_before(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame:
-    """Rows stored by earlier batches."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).filter(F.col("batch_id") < batch_id)
-
-
 def _store(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
@@ -41,8 +36,9 @@ def _store(df: DataFrame, path: str, batch_id: int) -> None:
 class LeadIntake:
     """foreachBatch writer: validates, deduplicates and stores leads, rejects, decisions and statistics."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, fanout: int = 8, bucket_rows: int = 200_000):
         self.folder = folder.rstrip("/")
+        self.owners = KeyStore(self.path("owners"), OWNER_SCHEMA, ("signal", "key"), fanout, bucket_rows)
 
     def path(self, table: str) -> str:
         return f"{self.folder}/{table}"
@@ -58,13 +54,14 @@ class LeadIntake:
             "judged")
         leads = judged.filter(F.size("reject_reasons") == 0).drop("reject_reasons")
         keys = scratch.write(entity_keys(leads), "keys")
-        stored = _parts_before(spark, self.path("owners"), batch_id, OWNER_SCHEMA)
         # Rows that hit an owner of an earlier batch are decided, whatever their order: what has arrived before wins.
         # The rest compete among themselves.
-        known = scratch.write(stored.drop("batch_id").join(key_counts(keys), ["signal", "key"]), "known")
+        self.owners.merge(spark, batch_id)
+        counts = scratch.write(key_counts(keys), "counts")
+        known = scratch.write(self.owners.lookup(counts, batch_id, scratch), "known")
         fresh = without_owned(keys, known.select("signal", "key", "n"))
-        _store(with_owner_ids(resolve_owners(fresh, scratch), keys).drop("n"), self.path("owners"), batch_id)
-        new = spark.read.parquet(f"{self.path('owners')}/batch_id={batch_id}")
+        new = scratch.write(with_owner_ids(resolve_owners(fresh, scratch), keys).drop("n"), "new")
+        self.owners.put(new.select("signal", "key", "owner_ord", "owner_id"), batch_id)
         owners = known.select("signal", "key", F.lit(-1 << 62).alias("owner_ord"), "owner_id").unionByName(
             new.select("signal", "key", "owner_ord", "owner_id"))
         _store(decide(keys, owners), self.path("decisions"), batch_id)
@@ -99,11 +96,17 @@ def incremental_enrichment(folder: str, stages: Iterable[Stage], tables: Mapping
     """foreachBatch writer that enriches only leads no earlier batch has attempted."""
     stages = list(stages)
     path = f"{folder.rstrip('/')}/enriched"
+    done = KeyStore(f"{folder.rstrip('/')}/enriched-ids", "id string", ("id",))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        done = _parts_before(batch.sparkSession, path, batch_id, "id string, batch_id bigint")
-        scratch = Scratch(batch.sparkSession, f"enrich-{batch_id}")
-        _store(run_stages(skip_done(batch, done), stages, tables, scratch), path, batch_id)
+        spark = batch.sparkSession
+        scratch = Scratch(spark, f"enrich-{batch_id}")
+        leads = scratch.write(batch, "batch")
+        ids = scratch.write(leads.select("id").where("id IS NOT NULL").distinct(), "ids")
+        done.merge(spark, batch_id)
+        finished = scratch.write(done.lookup(ids, batch_id, scratch), "finished")
+        _store(run_stages(skip_done(leads, finished), stages, tables, scratch), path, batch_id)
+        done.put(scratch.write(ids.join(finished, "id", "left_anti"), "new-ids"), batch_id)
         scratch.drop()
 
     return write

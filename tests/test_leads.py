@@ -198,3 +198,30 @@ def test_lookups_with_large_facts(spark):
         test_extract.test_email_verdicts(spark)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("seed, group_rows", [(1, 1), (2, 10), (3, 60), (4, 7)])
+def test_components_equal_the_sequential_rules(spark, seed, group_rows):
+    """Rounds, then components that do not fit into one task."""
+    rng = random.Random(seed)
+    data = [(i, f"id{i}", *[rng.choice([None, "hot" if rng.random() < 0.2 else str(rng.randrange(60))]) for _ in range(3)]) for i in rng.sample(range(600), 200)]
+    data += [(1000 + i, f"id{1000 + i}", None, f"p{(i + 1) // 2}", f"d{i // 2}") for i in range(30)]
+    keys = spark.createDataFrame(data, "ord bigint, id string, k1 string, k2 string, k3 string").repartition(3)
+    got = {(r.signal, r.key): r.ord for r in dedup.resolve_owners(keys, Scratch(spark, "test"), hot_keys=2, group_rows=group_rows).collect()}
+    accepted = {o for o, hit in model([(o, a, b, c) for o, _, a, b, c in data]).items() if hit is None}
+    assert got == {(s, k): o for o, _, *ks in data if o in accepted for s, k in enumerate(ks, 1) if k is not None}
+
+
+def test_a_long_chain_takes_few_jobs(spark):
+    """100,000 rows, each of which waits for the one before."""
+    n = 100_000
+    keys = spark.range(n).selectExpr("id AS ord", "concat('id', id) AS id", "CAST(NULL AS string) AS k1", "concat('p', floor((id + 1) / 2)) AS k2", "concat('d', floor(id / 2)) AS k3")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chain", "chain")
+    try:
+        owners = dedup.resolve_owners(keys, Scratch(spark, "test"))
+        assert len(tracker.getJobIdsForGroup("chain")) < 40
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    accepted = owners.select("ord").distinct()
+    assert accepted.count() == n // 2 and accepted.where("ord % 2 = 0").count() == n // 2
