@@ -7,10 +7,12 @@ misses fewer than k of them, so the document holds at least one of the k. The se
 only. Candidates are verified by exact containment over all shingles.
 
 The sketches are broadcast while their number is small (it is checked), else joined by shuffle. Equal shingles of one document are looked
-up once. A shingle is five words in lower case; a shorter item is one shingle of all its words, and is found in documents of just those words.
+up once. A shingle is five words in lower case; a shorter item is one shingle of all its words. Documents are also cut into shingles of each
+length that such an item has, so short items are found inside long documents too.
 
-Null or empty texts hold nothing. Items without words are in no document. Rows with equal document ids, or null ones, count as one document
-with the shingles of all of them, and likewise rows with equal item ids. An empty table on either side gives no matches.
+Null or empty texts hold nothing. Items without words are in no document. For `contained`, rows with equal document ids, or null ones, count
+as one document with the shingles of all of them, and likewise rows with equal item ids; `clean` judges each row by its own text. An empty
+table on either side gives no matches.
 """
 
 from __future__ import annotations
@@ -31,16 +33,33 @@ def word_array(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))
 
 
-def shingles(words: Column, size: int = SHINGLE_WORDS) -> Column:
-    """Distinct hashes of the word shingles; a shorter text is one shingle of all its words, a text without words has none."""
-    many = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
-    return F.array_distinct(F.when(F.size(words) >= size, many).when(F.size(words) > 0, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(F.array().cast("array<bigint>")))
+def shingles(words: Column, lengths: tuple[int, ...] = (), size: int = SHINGLE_WORDS) -> Column:
+    """Distinct hashes of the word shingles of `size` words, and of runs of each of the shorter `lengths`."""
+    none = F.array().cast("array<bigint>")
+    many = F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))).otherwise(none)
+    short = [F.when(F.size(words) >= n, _runs(words, n)).otherwise(none) for n in lengths]
+    return F.array_distinct(F.concat(many, *short))
 
 
-def shingled(df: DataFrame, name: str, text: str) -> DataFrame:
+def _runs(words: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)])))
+
+
+def _run_hash(words: Column) -> Column:
+    return F.xxhash64(F.array_join(words, " "))
+
+
+def shingled(df: DataFrame, name: str, text: str, lengths: tuple[int, ...] = ()) -> DataFrame:
     """(name, sh): the distinct shingles of each row. The words are a column of their own, so that they are taken out of a text once."""
     words = df.select(name, word_array(F.col(text)).alias("words"))
-    return words.select(name, shingles(F.col("words")).alias("sh"))
+    return words.select(name, shingles(F.col("words"), lengths).alias("sh"))
+
+
+def _items(items: DataFrame, item: str, text: str) -> tuple[DataFrame, tuple[int, ...]]:
+    """((item, sh) of each row, lengths of the items that are shorter than a shingle)."""
+    words = settle(items.select(F.col(item).alias("item"), word_array(F.col(text)).alias("words")), "benchmark-words")
+    short = words.where(F.size("words").between(1, SHINGLE_WORDS - 1)).agg(F.collect_set(F.size("words")).alias("n")).first()["n"]
+    return words.select("item", F.when(F.size("words").between(1, SHINGLE_WORDS - 1), F.array(_run_hash(F.col("words")))).otherwise(shingles(F.col("words"))).alias("sh")), tuple(sorted(short))
 
 
 def _sketches(items: DataFrame, threshold: float) -> DataFrame:
@@ -52,17 +71,17 @@ def _sketches(items: DataFrame, threshold: float) -> DataFrame:
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = NEAR, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
     """(doc, item, n_shared, n_shingles, containment) for each item of which a document holds at least `threshold` of the shingles."""
-    prepared = (each(shingled(items.select(F.col(item).alias("item"), F.col(text).alias("body")), "item", "body"), "item", array="sh", into="h")
-                .groupBy("item").agg(F.collect_set("h").alias("sh")))
+    cut, lengths = _items(items, item, text)
+    prepared = each(cut, "item", array="sh", into="h").groupBy("item").agg(F.collect_set("h").alias("sh"))
     prepared = settle(prepared.withColumn("n", F.size("sh")), "benchmark-items")
     sketch = settle(_sketches(prepared, threshold).groupBy("h").agg(F.collect_set(F.struct("item")).alias("items")), "benchmark-sketches")
     small = F.broadcast if sketch.count() <= BROADCAST_ROWS else (lambda df: df)
     own = docs.select(F.col(doc).alias("doc"), F.col(text).alias("body")).where(F.col("body").isNotNull())
-    probes = each(shingled(own, "doc", "body"), "doc", array="sh", into="h")
+    probes = each(shingled(own, "doc", "body", lengths), "doc", array="sh", into="h")
     found = settle(probes.join(small(sketch), "h").select("doc", F.explode("items").alias("of")).select("doc", "of.item").distinct(), "benchmark-candidates")
     suspects = found.select("doc").distinct().withColumnRenamed("doc", "suspect")
     again = own.join(suspects, F.col("doc").eqNullSafe(F.col("suspect")), "left_semi")
-    checked = each(shingled(again, "doc", "body"), "doc", array="sh", into="h")
+    checked = each(shingled(again, "doc", "body", lengths), "doc", array="sh", into="h")
     wanted = prepared.select("item", F.explode("sh").alias("h"))
     listed = wanted.groupBy("h").agg(F.collect_set(F.struct("item")).alias("items"))
     listed = F.broadcast(listed) if wanted.count() <= BROADCAST_ROWS else listed
@@ -77,6 +96,9 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = NEAR, doc: s
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = NEAR, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
-    """The documents that hold no item."""
-    bad = settle(contained(docs, items, threshold, doc, item, text).select(F.col(doc).alias("__bad")).distinct(), "contaminated")
-    return docs.join(bad, docs[doc].eqNullSafe(F.col("__bad")), "left_anti")
+    """The rows whose text holds no item. A row is known by 128 bits of hash of its id and text, so rows that share an id, or have none, are
+    judged apart."""
+    row = F.struct(F.xxhash64(F.col(doc), F.col(text)).alias("a"), F.xxhash64(F.lit(7), F.col(doc), F.col(text)).alias("b"))
+    found = contained(docs.select(row.alias("__row"), F.col(text).alias("__text")), items.select(F.col(item), F.col(text).alias("__text")), threshold, "__row", item, "__text")
+    bad = settle(found.select(F.col("__row").alias("__bad")).distinct(), "contaminated")
+    return docs.join(bad, row == F.col("__bad"), "left_anti")

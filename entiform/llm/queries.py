@@ -47,8 +47,10 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 OP3_SQL = """
 WITH both_tables AS (SELECT 'd' AS side, doc_id AS id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'i', item_id, text FROM benchmark WHERE text IS NOT NULL),
 w AS (SELECT side, id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+') AS w FROM both_tables),
-s AS (SELECT DISTINCT side, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
-  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS h FROM w),
+whole AS (SELECT DISTINCT side, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [] END) AS h FROM w),
+short AS (SELECT DISTINCT id, array_to_string(w, ' ') AS h, len(w) AS k FROM w WHERE side = 'i' AND len(w) BETWEEN 1 AND 4),
+s AS (SELECT * FROM whole UNION SELECT 'i', id, h FROM short
+  UNION SELECT 'd', id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) FROM w, (SELECT DISTINCT k FROM short) WHERE side = 'd' AND len(w) >= k),
 n AS (SELECT id, count(*) AS n_shingles FROM s WHERE side = 'i' GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, n.n_shingles, count(*) / n.n_shingles AS containment
 FROM s d JOIN s i ON d.h = i.h AND d.side = 'd' AND i.side = 'i' JOIN n ON n.id IS NOT DISTINCT FROM i.id

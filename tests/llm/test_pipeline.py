@@ -94,6 +94,13 @@ def test_odd_rows(spark):
         assert stage(spark, docs.limit(0), FOLDER).count() == 0
 
 
+def test_contaminated_rows_without_or_with_shared_ids(spark):
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").first()["text"]
+    rows = [(None, f"x {item} y", None, "a", 1), (None, "a clean text without an id", None, "a", 1), (7, item, "en", "b", 1), (7, "a clean text of the same id", "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["text"] for r in P.drop_contaminated(spark, docs, FOLDER).collect()) == sorted([rows[1][1], rows[3][1]])
+
+
 def test_all_registered():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 14)) and "pipeline" in entry.queries()
