@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from entiform import fixed, schemas
 from entiform.functions import names
 from entiform.functions.text import trim
+from entiform.operators.brands import match_brands
 from entiform.operators.lookups import lookup_join
 
 
 def match_brand(leads: DataFrame, brands=fixed.KNOWN_BRANDS) -> DataFrame:
-    """Adds `known_brand`: the first brand in list order that occurs in the company name."""
+    """Adds `known_brand`: the first brand that occurs in the company name.
+
+    `brands` is a list of (name, pattern) in order, compiled into the plan, or a table (prio, name, phrase) of any size.
+    """
+    if isinstance(brands, DataFrame):
+        return match_brands(leads, brands)
     return leads.withColumn("known_brand", names.known_brand(F.col("company_name"), brands))
 
 
@@ -23,10 +29,8 @@ def detect_chains(leads: DataFrame, ord: str = "ord", brands=fixed.KNOWN_BRANDS)
     only multi-city brands are joined back.
     """
     city = F.nullif(names.city_key(F.col("city")), F.lit(""))
-    keyed = leads.withColumns({
-        "_brand": F.nullif(names.brand_key(F.col("company_name")), F.lit("")),
-        "_known": names.known_brand(F.col("company_name"), brands),
-    })
+    known = match_brand(leads, brands).withColumnRenamed("known_brand", "_known")
+    keyed = known.withColumn("_brand", F.nullif(names.brand_key(F.col("company_name")), F.lit("")))
     spread = (
         keyed.select("_brand", F.coalesce(city, F.col("id")).alias("c"), ord,
                      trim(F.col("company_name")).alias("label"))

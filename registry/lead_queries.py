@@ -124,6 +124,15 @@ def match_brand(spark, d):
     return chains.match_brand(_leads(spark, d)).select("ord", "company_name", "known_brand")
 
 
+def _brand_table(spark, d):
+    """A phrase for each customer: a brand with its number, or the number alone."""
+    return view(spark, d, "brands_v")
+
+
+def match_brand_table(spark, d):
+    return chains.match_brand(_leads(spark, d), _brand_table(spark, d)).select("ord", "company_name", "known_brand")
+
+
 def detect_chains(spark, d):
     return chains.detect_chains(_leads(spark, d)).select(
         "ord", "company_name", "city", F.col("chain.is_chain").alias("is_chain"), F.col("chain.name").alias("chain_name"))
@@ -255,7 +264,7 @@ def standardize_phone(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     search_grid, city_refs, validate_leads, rejected_leads, contacts_table, eligible, skip_done, union_restored, lookup_city,
-    lookup_country, match_brand, detect_chains, flatten_leads, lead_stats, enrichment_summary, keep_per_key, limit_per_search,
+    lookup_country, match_brand, match_brand_table, detect_chains, flatten_leads, lead_stats, enrichment_summary, keep_per_key, limit_per_search,
     saturated_searches, first_n, distinct_first_seen, apply_patch, merge_contacts, ordered_union, dedup_entities,
     dedup_decisions, lead_delivery, name_keys, infer_role, clean_place_fields, standardize_phone)}
 QUERIES["parse_places"] = lambda spark, d: _raw(spark, d)
@@ -322,6 +331,9 @@ ORACLES = {
     "lookup_country": with_(views=("tasks_v",)) + "SELECT task_ord, country, CASE country WHEN 'Cameroun' THEN 'CM' ELSE 'CI' END AS iso2, "
     "CASE country WHEN 'Cameroun' THEN '237' ELSE '225' END AS calling_code FROM tasks_v",
     "match_brand": with_(RAW, LEADS, views=_P) + f"SELECT ord, company_name, {brand('company_name')} AS known_brand FROM leads",
+    "match_brand_table": with_(RAW, LEADS, views=("places_v", "brands_v")) + """
+SELECT ord, company_name, (SELECT arg_min(b.name, (b.prio, b.name)) FROM brands_v b
+  WHERE contains(' ' || regexp_replace(lower(l.company_name), '[^a-z0-9_]', ' ', 'g') || ' ', ' ' || lower(b.phrase) || ' ')) AS known_brand FROM leads l""",
     "detect_chains": with_(RAW, LEADS, _CHAINS.format(leads="leads"), views=_P) +
     "SELECT ord, company_name, city, chain_name IS NOT NULL AS is_chain, chain_name FROM chained",
     "flatten_leads": with_(RAW, _FULL, _FULL_LEADS, _REASONS, _VALID, _CHAINS.format(leads="valid"), views=_P) + _flat(True, "chained"),

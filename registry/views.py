@@ -118,15 +118,22 @@ SELECT c_custkey AS ord, CASE c_custkey % 3 WHEN 0 THEN concat(' City', CAST(c_c
 FROM customer
 """
 
+BRANDS = """
+SELECT c_custkey AS prio, concat('Brand ', CAST(c_custkey AS VARCHAR(20))) AS name,
+ CASE c_custkey % 3 WHEN 0 THEN concat('Onomo ', CAST(c_custkey - c_custkey % 4 AS VARCHAR(20)))
+  WHEN 1 THEN concat('akwa ', CAST(c_custkey - c_custkey % 4 AS VARCHAR(20))) ELSE CAST(c_custkey * 4 AS VARCHAR(20)) END AS phrase
+FROM customer
+"""
+
 VIEWS = {
     "places_v": PLACES, "tasks_v": TASKS, "answers_v": ANSWERS, "reviews_v": REVIEWS, "domain_facts_v": DOMAIN_FACTS,
     "site_pages_v": SITE_PAGES, "result_pages_v": RESULT_PAGES, "review_answers_v": REVIEW_ANSWERS,
-    "discovered_v": DISCOVERED, "city_specs_v": CITY_SPECS,
+    "discovered_v": DISCOVERED, "city_specs_v": CITY_SPECS, "brands_v": BRANDS,
 }
 _TABLES = {
     "places_v": "customer", "tasks_v": "supplier", "answers_v": "supplier", "reviews_v": "conversations",
     "domain_facts_v": "part", "site_pages_v": "customer", "result_pages_v": "supplier",
-    "review_answers_v": "customer", "discovered_v": "supplier", "city_specs_v": "customer",
+    "review_answers_v": "customer", "discovered_v": "supplier", "city_specs_v": "customer", "brands_v": "customer",
 }
 
 
