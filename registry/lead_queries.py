@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from entiform import fixed, schemas
 from entiform.functions import names, text
-from entiform.operators import chains, dedup, emails, leads as L, lookups, merge, ordering, records
+from entiform.operators import chains, dedup, emails, leads as L, lookups, merge, ordering, phones, records
 from entiform.plans import lead_run
 from registry.dialect import (
     KEYS, LEADS, RAW, blank_null, brand, brand_key, city, city_key, collapse, company_key, e164, first_email, lit,
@@ -133,6 +133,11 @@ def match_brand_table(spark, d):
     return chains.match_brand(_leads(spark, d), _brand_table(spark, d)).select("ord", "company_name", "known_brand")
 
 
+def standardize_phone_table(spark, d):
+    done = phones.standardize_phones(view(spark, d, "dialled_v"), view(spark, d, "plans_v"))
+    return done.select("ord", "phone_raw", "phone.e164", "phone.valid", F.col("phone.country").alias("phone_country"))
+
+
 def detect_chains(spark, d):
     return chains.detect_chains(_leads(spark, d)).select(
         "ord", "company_name", "city", F.col("chain.is_chain").alias("is_chain"), F.col("chain.name").alias("chain_name"))
@@ -264,7 +269,7 @@ def standardize_phone(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     search_grid, city_refs, validate_leads, rejected_leads, contacts_table, eligible, skip_done, union_restored, lookup_city,
-    lookup_country, match_brand, match_brand_table, detect_chains, flatten_leads, lead_stats, enrichment_summary, keep_per_key, limit_per_search,
+    lookup_country, match_brand, match_brand_table, standardize_phone_table, detect_chains, flatten_leads, lead_stats, enrichment_summary, keep_per_key, limit_per_search,
     saturated_searches, first_n, distinct_first_seen, apply_patch, merge_contacts, ordered_union, dedup_entities,
     dedup_decisions, lead_delivery, name_keys, infer_role, clean_place_fields, standardize_phone)}
 QUERIES["parse_places"] = lambda spark, d: _raw(spark, d)
@@ -331,6 +336,20 @@ ORACLES = {
     "lookup_country": with_(views=("tasks_v",)) + "SELECT task_ord, country, CASE country WHEN 'Cameroun' THEN 'CM' ELSE 'CI' END AS iso2, "
     "CASE country WHEN 'Cameroun' THEN '237' ELSE '225' END AS calling_code FROM tasks_v",
     "match_brand": with_(RAW, LEADS, views=_P) + f"SELECT ord, company_name, {brand('company_name')} AS known_brand FROM leads",
+    "standardize_phone_table": with_(
+        """given AS (SELECT d.*, regexp_replace(phone_raw, '[^+0-9]', '', 'g') AS c, h.idd FROM dialled_v d LEFT JOIN plans_v h ON h.iso2 = d.country_iso)""",
+        """numbered AS (SELECT *, CASE WHEN regexp_matches(c, '^(' || idd || ')[1-9][0-9]*$') THEN '+' || substr(c, length(idd) + 1) ELSE c END AS num FROM given)""",
+        """coded AS (SELECT n.*, num LIKE '+%' AS abroad, (SELECT arg_max(p.iso2, length(p.calling_code)) FROM plans_v p WHERE starts_with(n.num, '+' || p.calling_code)) AS met FROM numbered n)""",
+        """located AS (SELECT x.ord, x.phone_raw, x.num, x.abroad, p.iso2, p.calling_code, p.trunk, p.nsn AS rule,
+ CASE WHEN abroad THEN substr(num, length(coalesce(p.calling_code, '')) + 2) ELSE num END AS n FROM coded x LEFT JOIN plans_v p ON p.iso2 = CASE WHEN abroad THEN met ELSE country_iso END)""",
+        """forms AS (SELECT *, CASE WHEN trunk <> '' AND starts_with(n, trunk) THEN nullif(substr(n, length(trunk) + 1), '') END AS short,
+ CASE WHEN NOT abroad AND starts_with(n, calling_code) THEN nullif(substr(n, length(calling_code) + 1), '') END AS bare FROM located)""",
+        """judged AS (SELECT *, coalesce(regexp_full_match(n, rule), false) AS n_ok, coalesce(regexp_full_match(short, rule), false) AS short_ok, coalesce(regexp_full_match(bare, rule), false) AS bare_ok FROM forms)""",
+        """picked AS (SELECT *, CASE WHEN NOT n_ok AND bare_ok THEN bare WHEN short IS NOT NULL AND (short_ok OR NOT n_ok) THEN short ELSE n END AS body,
+ CASE WHEN NOT n_ok AND bare_ok THEN true WHEN short IS NOT NULL AND (short_ok OR NOT n_ok) THEN short_ok ELSE n_ok END AS ok FROM judged)""",
+        views=("dialled_v", "plans_v")) + """
+SELECT ord, phone_raw, CASE WHEN iso2 IS NOT NULL AND length(body) BETWEEN 2 AND 17 THEN '+' || calling_code || body WHEN iso2 IS NULL AND abroad AND length(num) BETWEEN 4 AND 18 THEN num END AS e164,
+ coalesce(iso2 IS NOT NULL AND length(body) BETWEEN 2 AND 17 AND ok, false) AS valid, CASE WHEN length(body) BETWEEN 2 AND 17 THEN iso2 END AS phone_country FROM picked""",
     "match_brand_table": with_(RAW, LEADS, views=("places_v", "brands_v")) + """
 SELECT ord, company_name, (SELECT arg_min(b.name, (b.prio, b.name)) FROM brands_v b
   WHERE contains(' ' || regexp_replace(lower(l.company_name), '[^a-z0-9_]', ' ', 'g') || ' ', ' ' || lower(b.phrase) || ' ')) AS known_brand FROM leads l""",

@@ -125,15 +125,31 @@ SELECT c_custkey AS prio, concat('Brand ', CAST(c_custkey AS VARCHAR(20))) AS na
 FROM customer
 """
 
+# A numbering plan per nation: codes of two or three digits, with and without a national prefix.
+PLANS = """
+SELECT n_nationkey AS prio, concat('N', CAST(n_nationkey AS VARCHAR(20))) AS iso2,
+ concat(CAST(n_nationkey + 10 AS VARCHAR(20)), CASE WHEN n_nationkey % 5 = 0 THEN '9' ELSE '' END) AS calling_code,
+ CASE WHEN n_nationkey % 3 = 0 THEN '011' ELSE '00' END AS idd, CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE '0' END AS trunk,
+ CASE n_nationkey % 4 WHEN 0 THEN '[1-5][0-9]{9}' WHEN 1 THEN '[1-9][0-9]{6,8}' ELSE '[1-9][0-9]{9}' END AS nsn
+FROM nation
+"""
+
+DIALLED = """
+SELECT ord, country_iso, CASE ord % 5 WHEN 0 THEN concat('+', code, '-', number) WHEN 1 THEN concat('00', code, ' ', number) WHEN 2 THEN concat('0', number)
+  WHEN 3 THEN concat(code, number) ELSE number END AS phone_raw
+FROM (SELECT c_custkey AS ord, concat('N', CAST(c_nationkey AS VARCHAR(20))) AS country_iso, CAST(c_nationkey + 10 AS VARCHAR(20)) AS code,
+  concat(CAST(1 + c_custkey % 9 AS VARCHAR(20)), '-', lpad(CAST(c_custkey * 37 AS VARCHAR(20)), CASE WHEN c_custkey % 3 = 0 THEN 7 ELSE 9 END, '0')) AS number FROM customer) AS c
+"""
+
 VIEWS = {
     "places_v": PLACES, "tasks_v": TASKS, "answers_v": ANSWERS, "reviews_v": REVIEWS, "domain_facts_v": DOMAIN_FACTS,
     "site_pages_v": SITE_PAGES, "result_pages_v": RESULT_PAGES, "review_answers_v": REVIEW_ANSWERS,
-    "discovered_v": DISCOVERED, "city_specs_v": CITY_SPECS, "brands_v": BRANDS,
+    "discovered_v": DISCOVERED, "city_specs_v": CITY_SPECS, "brands_v": BRANDS, "plans_v": PLANS, "dialled_v": DIALLED,
 }
 _TABLES = {
     "places_v": "customer", "tasks_v": "supplier", "answers_v": "supplier", "reviews_v": "conversations",
     "domain_facts_v": "part", "site_pages_v": "customer", "result_pages_v": "supplier",
-    "review_answers_v": "customer", "discovered_v": "supplier", "city_specs_v": "customer", "brands_v": "customer",
+    "review_answers_v": "customer", "discovered_v": "supplier", "city_specs_v": "customer", "brands_v": "customer", "plans_v": "nation", "dialled_v": "customer",
 }
 
 
