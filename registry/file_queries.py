@@ -24,10 +24,10 @@ def workbook_contacts(spark, d):
 
 
 def progress_log(spark, d):
-    """Two batches, the second with leads of the first: the last state of each lead counts."""
+    """All leads as collected, then some of them again as enriched: the last state of each lead counts."""
     leads, path = leads_of._leads(spark, d), f"{Scratch(spark, 'progress').path}/log"
     leads = leads.withColumn("id", F.concat(F.lit("k"), F.col("ord").cast("string")))
-    writers.append_progress(leads.filter("ord % 2 = 0").withColumn("source", F.lit("collected")), path, 0)
+    writers.append_progress(leads.withColumn("source", F.lit("collected")), path, 0)
     writers.append_progress(leads.filter("ord % 3 = 0").withColumn("source", F.lit("enriched")), path, 1)
     return writers.load_progress(spark, path).select("ord", "id", "source", "company_name")
 
@@ -37,5 +37,5 @@ ORACLES = {
     "write_json": leads_of.ORACLES["normalize_leads"],
     "workbook_contacts": leads_of.ORACLES["contacts_table"],
     "progress_log": with_(RAW, LEADS, views=("places_v",)) +
-    "SELECT ord, 'k' || ord AS id, CASE WHEN ord % 3 = 0 THEN 'enriched' ELSE 'collected' END AS source, company_name FROM leads WHERE ord % 2 = 0 OR ord % 3 = 0",
+    "SELECT ord, 'k' || ord AS id, CASE WHEN ord % 3 = 0 THEN 'enriched' ELSE 'collected' END AS source, company_name FROM leads",
 }

@@ -108,7 +108,7 @@ def skip_done(spark, d):
 
 def union_restored(spark, d):
     leads = _leads(spark, d).select("ord", "id")
-    return lookups.union_restored(leads.filter("ord % 3 = 0"), leads.filter("ord % 2 = 0")).withColumn(
+    return lookups.union_restored(leads.filter("ord % 3 = 0"), leads).withColumn(
         "export_rank", F.col("export_rank").cast("bigint"))
 
 
@@ -331,7 +331,7 @@ ORACLES = {
     "UNION ALL SELECT ord, 'reviews' FROM valid WHERE contains(source_url, 'google.com/maps/place/')",
     "skip_done": with_(RAW, LEADS, views=_P) + "SELECT ord, id FROM leads WHERE id NOT IN (SELECT id FROM leads WHERE ord % 3 = 0)",
     "union_restored": with_(RAW, LEADS, views=_P) + "SELECT ord, id, CAST(0 AS BIGINT) AS export_rank FROM leads WHERE ord % 3 = 0 UNION ALL "
-    "SELECT ord, id, 1 FROM leads WHERE ord % 2 = 0 AND id NOT IN (SELECT id FROM leads WHERE ord % 3 = 0)",
+    "SELECT ord, id, 1 FROM leads WHERE id NOT IN (SELECT id FROM leads WHERE ord % 3 = 0)",
     "lookup_city": with_(RAW, views=_P) + f"SELECT ord, city, {city('city')} AS city_name, {city_key('city')} AS city_key FROM raw",
     "lookup_country": with_(views=("tasks_v",)) + "SELECT task_ord, country, CASE country WHEN 'Cameroun' THEN 'CM' ELSE 'CI' END AS iso2, "
     "CASE country WHEN 'Cameroun' THEN '237' ELSE '225' END AS calling_code FROM tasks_v",

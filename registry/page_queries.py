@@ -30,8 +30,7 @@ def relevant_emails(spark, d):
 
 
 def _domain_facts(spark, d):
-    facts = view(spark, d, "domain_facts_v").filter("k < 9")
-    return facts.select("domain", "has_mx", "catch_all", (F.col("k") % 5 != 0).alias("probed"))
+    return view(spark, d, "domain_facts_v").select("domain", "has_mx", "catch_all", (F.col("k") % 5 != 0).alias("probed"))
 
 
 def _address_facts(spark, d):
@@ -105,7 +104,7 @@ def enrich_from_pages(spark, d):
 
 
 def site_contacts(spark, d):
-    rows = view(spark, d, "site_pages_v").filter("html IS NOT NULL AND page_id % 4 = 2").select("page_id", web.body_text(F.col("html")).alias("text"))
+    rows = view(spark, d, "site_pages_v").filter("html IS NOT NULL").select("page_id", web.body_text(F.col("html")).alias("text"))
     known = F.array(F.struct(*[
         (F.lit("JEAN-PIERRE MBARGA") if n == "full_name" else F.lit(1.0) if n == "confidence" else F.lit(None).cast("string")).alias(n)
         for n in ("full_name", "role", "title_raw", "email_direct", "phone_direct", "linkedin_url", "confidence")]))
@@ -197,7 +196,7 @@ def _emails(name: str, key: str, text: str, source: str) -> str:
 
 
 _DOC_EMAILS = _emails("found", "doc_id", "text", "documents")
-_FACTS = "facts AS (SELECT domain, has_mx, catch_all, k % 5 <> 0 AS probed FROM domain_facts_v WHERE k < 9)"
+_FACTS = "facts AS (SELECT domain, has_mx, catch_all, k % 5 <> 0 AS probed FROM domain_facts_v)"
 _ADDRESSES = "address_facts AS (SELECT DISTINCT email, length(email) % 2 = 0 AS accepted FROM found WHERE length(email) % 3 <> 0)"
 _ATTACHED = """attached AS (SELECT f.*, split_part(email, '@', 2) AS domain, has_mx, probed, catch_all, accepted FROM found f
  LEFT JOIN facts ON facts.domain = split_part(email, '@', 2) LEFT JOIN address_facts USING (email))"""
@@ -273,7 +272,8 @@ ORACLES = {
     f"CASE WHEN up THEN '+237699' || {_PAD.format(n='n')} END AS whatsapp, "
     "CASE WHEN up AND team THEN 'Jean-Pierre Mbarga/GENERAL_MANAGER,Awa Ntsama/DIRECTOR/awa.ntsama@gmail.com' ELSE '' END AS people FROM n",
     "site_contacts": with_(views=("site_pages_v",)) +
-    "SELECT page_id, CAST(0 AS BIGINT) AS pos, 'Jean-Pierre Mbarga' AS full_name, 'GENERAL_MANAGER' AS role, NULL AS email_direct, CAST(1 AS DOUBLE) AS confidence FROM site_pages_v WHERE html IS NOT NULL AND page_id % 4 = 2 "
+    "SELECT page_id, CAST(0 AS BIGINT) AS pos, CASE WHEN page_id % 4 = 2 THEN 'Jean-Pierre Mbarga' ELSE 'JEAN-PIERRE MBARGA' END AS full_name, "
+    "CASE WHEN page_id % 4 = 2 THEN 'GENERAL_MANAGER' END AS role, NULL AS email_direct, CAST(1 AS DOUBLE) AS confidence FROM site_pages_v WHERE html IS NOT NULL "
     "UNION ALL SELECT page_id, 1, 'Awa Ntsama', 'DIRECTOR', 'antsama@x' || page_id || '.cm', 0.55 FROM site_pages_v WHERE html IS NOT NULL AND page_id % 4 = 2",
     "extract_socials": with_(views=("site_pages_v",)) + f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://www.linkedin.com/company/site' || {_N} END AS linkedin, "
     f"CASE page_id % 4 WHEN 0 THEN 'https://www.facebook.com/site' || {_N} END AS facebook, NULL AS instagram, NULL AS twitter, NULL AS youtube, NULL AS tiktok, "

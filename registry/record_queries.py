@@ -57,7 +57,7 @@ def _stored(spark, d):
 
 
 def upsert_by_key(spark, d):
-    new = ordering.dedup_by_slug(_records(spark, d).filter("task_ord % 2 = 0"), force=True)
+    new = ordering.dedup_by_slug(_records(spark, d).filter("task_ord % 3 <> 0 OR task_ord % 2 = 0"), force=True)
     return records.upsert_by_key(_stored(spark, d), new.drop("task_ord")).select("slug", "input_name", "model", "outcome")
 
 
@@ -154,7 +154,7 @@ ORACLES = {
     "CASE status WHEN 'auto' THEN 'Auto' ELSE 'À vérifier' END AS status, slug FROM records",
     "dedup_by_slug": with_(_PARSED, _RECORDS, views=_TASKS) + "SELECT slug, min(task_ord) AS task_ord, arg_min(input_name, task_ord) AS input_name, 'first' AS mode FROM records GROUP BY slug "
     "UNION ALL SELECT slug, max(task_ord), arg_max(input_name, task_ord), 'force' FROM records GROUP BY slug",
-    "upsert_by_key": with_(_PARSED, _RECORDS, _STORED, "fresh AS (SELECT slug, arg_max(input_name, task_ord) AS input_name FROM records WHERE task_ord % 2 = 0 GROUP BY slug)", views=_TASKS) +
+    "upsert_by_key": with_(_PARSED, _RECORDS, _STORED, "fresh AS (SELECT slug, arg_max(input_name, task_ord) AS input_name FROM records WHERE task_ord % 3 <> 0 OR task_ord % 2 = 0 GROUP BY slug)", views=_TASKS) +
     "SELECT slug, coalesce(f.input_name, s.input_name) AS input_name, CASE WHEN f.slug IS NULL THEN 'm0' ELSE 'm1' END AS model, "
     "CASE WHEN f.slug IS NULL THEN 'kept' WHEN s.slug IS NULL THEN 'created' ELSE 'updated' END AS outcome FROM stored s FULL JOIN fresh f USING (slug)",
     "match_existing": with_(_PARSED, _RECORDS, _STORED, views=_TASKS) + "SELECT task_ord, slug, CASE WHEN slug IN (SELECT slug FROM stored) THEN 'updated' ELSE 'created' END AS outcome FROM records",

@@ -58,11 +58,11 @@ FROM conversations
 """
 
 DOMAIN_FACTS = """
-SELECT DISTINCT p_size AS k, concat('mail', CAST(p_size % 10 AS VARCHAR(20)), '.example.com') AS domain,
- p_size % 4 <> 0 AS has_mx, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size % 2 = 0 END AS catch_all FROM part WHERE p_size < 10
+SELECT DISTINCT p_size AS k, concat('mail', CAST(p_size + 1 AS VARCHAR(20)), '.example.com') AS domain,
+ p_size % 4 <> 0 AS has_mx, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size % 2 = 0 END AS catch_all FROM part
 """
 
-# Four contact pages per fifth customer's site; a visit fails where html is NULL.
+# Four contact pages per customer's site; a visit fails where html is NULL.
 SITE_PAGES = """
 SELECT c_custkey * 4 + i AS page_id, concat('https://site', CAST(c_custkey AS VARCHAR(20)), '.cm', path) AS url,
  CASE WHEN i = 0 AND c_custkey % 35 = 0 THEN NULL WHEN i = 2 AND c_custkey % 15 = 0 THEN NULL
@@ -79,7 +79,6 @@ SELECT c_custkey * 4 + i AS page_id, concat('https://site', CAST(c_custkey AS VA
  ELSE concat('<html><body><p>(c) 2024 SITE ', CAST(c_custkey AS VARCHAR(20)), ' S.A.R.L., all rights reserved</p></body></html>') END AS html
 FROM customer CROSS JOIN (SELECT 0 AS i, '' AS path UNION ALL SELECT 1, '/contact' UNION ALL SELECT 2, '/equipe'
  UNION ALL SELECT 3, '/mentions-legales') AS p
-WHERE c_custkey % 5 = 0
 """
 
 # A stored search-result page per supplier: three usable results and one without a title.
