@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,27 +111,25 @@ def build(counts: list[tuple[str, int, int]], documents: dict[str, int], keep: f
     count = np.array([c for _, _, c in counts], float)
     total = np.bincount(lang, count, len(languages))
     grams, at = np.unique(gram, return_inverse=True)
-    share = np.zeros((len(grams), len(languages)))
-    share[at, lang] = count / total[lang]
-    often = np.zeros_like(share)
-    often[at, lang] = count
-    member = (share >= keep * share.max(1, keepdims=True)) & (often >= min_count)
+    share, top = count / total[lang], np.zeros(len(grams))
+    np.maximum.at(top, at, share)
+    member = (share >= keep * top[at]) & (count >= min_count)
     size = 1 << max(10, int(np.ceil(np.log2(max(1, member.sum() * bits_per_gram)))))
     slices = np.zeros((size, (len(languages) + 63) // 64), np.uint64)
     shift = np.uint64(64 - (size.bit_length() - 1))
     for i in range(len(languages)):
-        own = grams[member[:, i]]
+        own = gram[member & (lang == i)]
         for m in _MULTIPLIERS[:hashes]:
             slices[((own ^ (own >> np.uint64(31))) * m) >> shift, i // 64] |= np.uint64(1) << np.uint64(i % 64)
     fill = np.array([((slices[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))])
-    own_rate = np.maximum(1e-3, (share * member).sum(0))
+    own_rate = np.maximum(1e-3, np.bincount(lang[member], share[member], len(languages)))
     documents = np.array([documents[x] for x in languages], float)
     return LanguageModel(languages, slices, hashes, np.minimum(0.5, fill ** hashes), own_rate, documents / documents.sum())
 
 
 def fit(docs: DataFrame, fit_rows: int = 12_000, folds: int = 4, held_out: int = 2, keep: float = 0.6, min_count: int = 3,
-        bits_per_gram: int = 12, hashes: int = 3, max_grams: int = 400_000) -> LanguageModel | None:
-    """Learn the filters from at most `fit_rows` texts with a language outside the held-out fold; the `max_grams` commonest n-grams are kept."""
+        bits_per_gram: int = 12, hashes: int = 3, max_grams: int = 100_000) -> LanguageModel | None:
+    """Learn the filters from at most `fit_rows` texts with a language outside the held-out fold; of each language the `max_grams` commonest n-grams are kept."""
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & (checksum("doc_id") % folds != held_out))
     known = usable.select("doc_id").distinct().orderBy(checksum("doc_id"), "doc_id").limit(fit_rows)
     rows = usable.select("doc_id", "lang", "text").join(F.broadcast(known), "doc_id").select("lang", "text")
@@ -149,7 +147,9 @@ def fit(docs: DataFrame, fit_rows: int = 12_000, folds: int = 4, held_out: int =
             yield pd.DataFrame({"lang": name, "gram": gram.astype("int64"), "n": n.astype("int64")})
 
     counts = (rows.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-              .where((F.col("n") >= min_count) | (F.col("gram") == 0)).orderBy((F.col("gram") != 0), F.desc("n"), "gram").limit(max_grams).collect())
+              .where((F.col("n") >= min_count) | (F.col("gram") == 0)))
+    order = Window.partitionBy("lang").orderBy((F.col("gram") != 0), F.desc("n"), "gram")
+    counts = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_grams + 1).drop("rank").collect()
     documents = {r["lang"]: r["n"] for r in counts if r["gram"] == 0}
     counts = [(r["lang"], r["gram"], r["n"]) for r in counts if r["gram"] and r["lang"] in documents]
     return build(counts, documents, keep, min_count, bits_per_gram, hashes) if counts else None

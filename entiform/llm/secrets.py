@@ -1,7 +1,7 @@
 """Secrets in whole texts: a trigram inverted index picks the texts that each rule's regex has to look at.
 
 From each regex a Boolean trigram query is derived: every match must contain the trigrams of one of its alternatives. The index
-holds (trigram, document) postings of the trigrams that the queries ask for. A rule's candidates are found by intersecting
+holds (trigram, document) postings of those trigrams of each text that a query asks for; there may be any number of rules and trigrams. A rule's candidates are found by intersecting
 and uniting postings; only they are matched with the regex. A rule whose regex has no mandatory trigram, such as a run of hex digits, is
 matched against every text.
 
@@ -139,31 +139,54 @@ def holds(query: Query, has) -> Column:
     return reduce(lambda a, b: a & b if query[0] == "and" else a | b, [holds(q, has) for q in sorted(query[1], key=str)])
 
 
-def postings(docs: DataFrame, wanted: dict[tuple[str, bool], int], doc: str, text: str) -> DataFrame:
-    """Inverted index of the wanted (trigram, in lower case) keys: rows (key, doc)."""
-    body = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    body = body.withColumn("low", F.lower("body"))
-    flags = F.array(*[F.when(F.contains("low" if low else "body", F.lit(t)), F.lit(k)) for (t, low), k in wanted.items()])
-    return each(body, "doc", array=F.array_compact(flags), into="key")
+#: Bits of one word of a document's trigrams.
+_WORD = 63
+
+
+def _class(letters: set[str]) -> str:
+    """A character class of these letters."""
+    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(letters)) + "]"
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...], doc: str, text: str) -> tuple[DataFrame, dict[str, int]]:
-    """(doc, ruled): the rules, as bits, that each document is a candidate of; and the bit of each indexed rule."""
-    queries = {r: trigram_query(r.pattern, r.ignore_case) for r in rules}
-    keys = sorted({(t, r.ignore_case) for r, q in queries.items() for t in query_trigrams(q)})
+def _wanted_in(body: Column, keys: dict[str, int]) -> Column:
+    """Keys of the trigrams of a text that are wanted, each once: one pass over the text, however many are wanted."""
+    spot = "".join(_class({t[i] for t in keys}) for i in range(3))
+    seen = F.array_intersect(F.regexp_extract_all(body, F.lit(f"(?=({spot}))"), F.lit(1)), F.array(*map(F.lit, keys)))
+    number = F.create_map(*[F.lit(x) for pair in keys.items() for x in pair])
+    return F.transform(seen, lambda t: F.element_at(number, t))
+
+
+def postings(docs: DataFrame, wanted: dict[tuple[str, bool], int], doc: str, text: str) -> DataFrame:
+    """Inverted index of the wanted (trigram, in lower case) keys, from each text's own trigrams: rows (key, doc)."""
+    body = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    parts = [F.array().cast("array<int>")]
+    for low, form in ((False, F.col("body")), (True, F.lower("body"))):
+        keys = {t: k for (t, is_low), k in wanted.items() if is_low == low}
+        if keys:
+            parts.append(_wanted_in(form, keys))
+    return each(body, "doc", array=F.concat(*parts), into="key")
+
+
+def candidates(docs: DataFrame, rules: tuple[Rule, ...], doc: str, text: str) -> tuple[DataFrame, set[int]]:
+    """(doc, ruled): the rules, by place, that each document is a candidate of; and the places of all indexed rules."""
+    queries = [trigram_query(r.pattern, r.ignore_case) for r in rules]
+    keys = sorted({(t, r.ignore_case) for r, q in zip(rules, queries) for t in query_trigrams(q)})
     wanted = {key: k for k, key in enumerate(keys)}
-    if len(wanted) > 63:
-        raise ValueError("more than 63 trigrams: scan in several calls")
+    # The lists of all trigrams are intersected at once: one bit a trigram, in as many words as it takes, united by document.
+    words = [f"has{w}" for w in range(-(-len(wanted) // _WORD))] or ["has0"]
+    bit = F.expr(f"shiftleft(1L, key % {_WORD})")
     index = postings(docs, wanted, doc, text)
-    # The lists of all trigrams are intersected at once: one bit a trigram, united by document.
-    found = index.groupBy("doc").agg(F.bit_or(F.expr("shiftleft(1L, key)")).alias("has")) if wanted else index.select("doc", F.lit(0).cast("long").alias("has"))
-    bits = {r.kind: b for b, r in enumerate(r for r in rules if queries[r] is not True)}
+    found = index.groupBy("doc").agg(*[F.bit_or(F.when(F.floor(F.col("key") / _WORD) == w, bit).otherwise(F.lit(0).cast("long"))).alias(c) for w, c in enumerate(words)])
 
     def has(rule):
-        return lambda t: F.col("has").bitwiseAND(F.lit(1 << wanted[t, rule.ignore_case])) != 0
+        def one(t):
+            k = wanted[t, rule.ignore_case]
+            return F.col(words[k // _WORD]).bitwiseAND(F.lit(1 << k % _WORD)) != 0
+        return one
 
-    ruled = [F.when(holds(queries[r], has(r)), F.lit(1 << bits[r.kind])).otherwise(F.lit(0)) for r in rules if r.kind in bits]
-    return found.select("doc", (reduce(lambda a, b: a.bitwiseOR(b), ruled) if ruled else F.lit(0)).alias("ruled")).where(F.col("ruled") != 0), bits
+    ruled = [F.when(holds(q, has(r)), F.lit(k)) for k, (r, q) in enumerate(zip(rules, queries)) if q is not True]
+    picked = found.select("doc", F.array_compact(F.array(*ruled, F.lit(None).cast("int"))).alias("ruled")).where(F.size("ruled") > 0)
+    return picked, {k for k, q in enumerate(queries) if q is not True}
 
 
 def _matches(body: Column, rule: Rule, order: int) -> Column:
@@ -192,13 +215,13 @@ def _quick(rule: Rule) -> str:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Add `secrets`, the sorted array of (kind, start, end) of each whole text."""
     docs = without(docs, "secrets")
-    picked, bits = candidates(docs, rules, doc, text)
+    picked, indexed = candidates(docs, rules, doc, text)
     picked = settle(picked, "secret-candidates").select(F.col("doc").alias("__doc"), F.col("ruled").alias("__ruled"))
     joined = docs.join(picked, docs[doc].eqNullSafe(F.col("__doc")), "left").withColumn("__body", F.coalesce(F.col(text), F.lit("")))
     none = F.array().cast("array<struct<start:int,order:int,end:int>>")
     found = []
     for k, rule in enumerate(rules):
-        wanted = F.coalesce(F.col("__ruled").bitwiseAND(F.lit(1 << bits[rule.kind])) != 0, F.lit(False)) if rule.kind in bits else F.lit(True)
+        wanted = F.coalesce(F.array_contains("__ruled", k), F.lit(False)) if k in indexed else F.lit(True)
         found.append(F.when(wanted & F.rlike("__body", F.lit(_quick(rule))), _matches(F.col("__body"), rule, k)).otherwise(none))
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     return joined.withColumn("secrets", F.transform(F.array_sort(F.flatten(F.array(*found))), lambda s: F.struct(

@@ -33,3 +33,21 @@ def test_odd_tables(spark):
         if model is not None:
             assert {r["lang_pred"] for r in rows if r["text"] and "mots" in r["text"]} == {"fr"}
     assert L.identify(docs.limit(0), L.fit(docs, folds=1, held_out=5)).count() == 0
+
+
+def test_fifty_languages_of_uneven_size(spark):
+    """A made language is a set of syllables; the largest has a hundred times the texts of the smallest, and each keeps its own n-grams."""
+    import random
+
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzàéîõüßøčžþ"
+    rows, n = [], 0
+    for k in range(50):
+        own = ["".join(rng.choice(letters) for _ in range(3)) for _ in range(40)]
+        for _ in range(2 + 4 * k):
+            rows.append((n, " ".join("".join(rng.choices(own, k=2)) for _ in range(60)), f"l{k:02d}"))
+            n += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs, folds=1, held_out=5, max_grams=300)
+    got = L.identify(docs, model).collect()
+    assert len(model.languages) == 50 and all(r["lang"] == r["lang_pred"] for r in got)

@@ -54,3 +54,15 @@ def test_equals_regex(spark, rules):
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert S.scan(df.limit(0), rules).count() == 0
+
+
+def test_many_rules_equal_regex(spark):
+    rules = S.RULES + tuple(S.Rule(f"vendor{k}", f"v{k:03d}(?:live|test)_[A-Za-z0-9]{{6,}}", 0, 0, k % 2 == 1) for k in range(200))
+    assert len({t for r in rules for t in (S.query_trigrams(S.trigram_query(r.pattern)))}) > 400
+    rng = random.Random(3)
+    parts = [f"v{k:03d}live_abc123" for k in range(0, 200, 7)] + [f"V{k:03d}TEST_ABCDEF{k}" for k in range(1, 200, 9)] + ["v001liv", "password = abcdefgh", "v199test_zz"]
+    rows = [(k, " ".join(rng.choice(parts) for _ in range(rng.randrange(6)))) for k in range(120)] + [(3, None), (None, parts[0])]
+    got = S.scan(spark.createDataFrame(rows, "doc_id long, text string"), rules).collect()
+    assert len(got) == len(rows) and sum(len(r["secrets"]) for r in got) > 150
+    for r in got:
+        assert [tuple(s) for s in r["secrets"]] == brute(r["text"], rules)
