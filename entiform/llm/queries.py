@@ -30,7 +30,7 @@ WITH lines AS (SELECT DISTINCT source, rid, trim(line) AS line FROM (
     SELECT source, rowid AS rid, unnest(string_split(text, chr(10))) AS line FROM (SELECT *, row_number() OVER () AS rowid FROM documents)) WHERE trim(line) <> ''),
 hosts AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
 cut AS (SELECT l.source, l.line FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
-  GROUP BY l.source, l.line, h.pages HAVING count(*) >= 5 AND count(*) >= 0.1::DOUBLE * h.pages),
+  GROUP BY l.source, l.line, h.pages HAVING count(*) >= 5 AND count(*) >= 0.05::DOUBLE * h.pages),
 cuts AS (SELECT source, list(line) AS cut FROM cut GROUP BY source),
 kept AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines,
     CASE WHEN cut IS NOT NULL THEN list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(cut, trim(x))) END AS kept

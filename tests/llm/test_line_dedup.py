@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+from entiform.llm import line_dedup
 from entiform.llm.line_dedup import drop_boilerplate
 
 
@@ -31,3 +32,12 @@ def test_equals_brute_force(spark):
     more = drop_boilerplate(df.selectExpr("*", "1 AS line", "2 AS host", "3 AS cut", "4 AS Lines_Dropped"), 0.1, 4)
     assert more.columns == ["doc_id", "source", "text", "line", "host", "cut", "lines_dropped"] and more.count() == len(rows)
     assert drop_boilerplate(df.limit(0)).count() == 0
+
+
+def test_more_hosts_than_are_broadcast(spark, monkeypatch):
+    """Large hosts get their lines by broadcast, the others by host, with the same result."""
+    monkeypatch.setattr(line_dedup, "HOT_HOSTS", 2)
+    rng = random.Random(6)
+    rows = [(k, rng.choice(["a"] * 6 + ["b", "c", "d", None]), "\n".join(rng.choice(["menu", "foot", *map(str, range(40))]) for _ in range(5))) for k in range(400)]
+    out = drop_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string"), 0.2, 3)
+    assert sorted(str(tuple(r)) for r in out.collect()) == brute(rows, 0.2, 3)

@@ -47,7 +47,7 @@ def test_boilerplate_goes(steps):
         seen.update({(r["source"], x.strip(" ")) for x in r["text"].split("\n") if x.strip(" ")})
     want = {}
     for r in before:
-        want[r["doc_id"]] = "\n".join(x for x in r["text"].split("\n") if seen[r["source"], x.strip(" ")] < max(5, 0.1 * pages[r["source"]]))
+        want[r["doc_id"]] = "\n".join(x for x in r["text"].split("\n") if seen[r["source"], x.strip(" ")] < max(5, 0.05 * pages[r["source"]]))
     assert {r["doc_id"]: r["text"] for r in after} == want
     assert all(r["n_chars"] == len(r["text"]) for r in after if r["text"] != next(b["text"] for b in before if b["doc_id"] == r["doc_id"]))
 
