@@ -9,8 +9,9 @@ Training pages are a bounded sample of the table itself: nodes below `article`,
 below menus, footers, adverts and the like do not; pages without such marks teach nothing. Each of them is also laid out anew, in other tags
 and tokens and with notices, forms, side bars and comments, so that the trees also know layouts that the table lacks.
 
-A null or empty page has an empty text. A column with the name of the result is replaced. Pages of any size take time in proportion to their length. Without training pages the built-in
-layouts alone are learned.
+A null or empty page has an empty text. A column with the name of the result is replaced. Pages of any size, nesting and damage take time in proportion to their length: an open
+quote, comment, template or tag is never searched for twice. A tag that no `>` ends takes the rest of the page, as in the HTML rules. Without
+training pages the built-in layouts alone are learned.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,13 +31,20 @@ from pyspark.sql import types as T
 
 from entiform.llm.common import by_value, share, without
 
+#: What follows a tag's name. A quote opens a value only behind "="; one that never closes is a character like others.
+_REST = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+"
+#: Every alternative matches wherever it begins, if need be to the end of the page, so that no text is read twice.
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)(" + _REST + r")(?:>|\Z)", re.S)
+_TEMPLATE = re.compile(r"<(/?)template(?=[\s/>])" + _REST + r"(?:>|\Z)", re.I | re.S)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+#: Decimal character references: what stands behind eight digits cannot make them a character again.
+_NUMBER = re.compile(r"&#(?=[0-9])0*+([0-9]{0,8})[0-9]*+")
 _TOKENS = re.compile(r"[a-z]+")
 
 #: Fixed sets of HTML.
-RAW = frozenset("script style noscript iframe textarea title noembed noframes xmp".split())
+RAW = frozenset("script style noscript iframe textarea title noembed noframes".split())
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for t in (*RAW, "xmp")}
 #: Inline elements that are nodes of their own once they hold text; without text they do not part the run around them.
 EMBEDDED = frozenset("svg object canvas select foreignobject".split())
 #: Elements of other name spaces, where "/>" closes, and the tags of HTML that end them.
@@ -64,11 +72,19 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Page:
-    """Nodes in page order: tag, parent, attribute tokens; leaves hold text."""
+    """Nodes in page order: tag, parent, attribute tokens; leaves hold text.
+
+    Reading takes time in proportion to the page: the open elements are a stack, and for each name the places where it stands in the stack are
+    known, so nothing looks through the stack.
+    """
 
     def __init__(self, text: str | None):
         self.tag, self.parent, self.tokens, self.text, self.linked, self.hidden = [], [], [], [], [], []
-        self._open: list[tuple] = []  # tag, node (-1: not made yet), attributes
+        #: open elements: tag, node (-1: not made yet), attributes, innermost node made
+        self._open: list[tuple[str, int, tuple, int]] = []
+        self._places: dict[str, list[int]] = defaultdict(list)
+        self._unmade: list[int] = []
+        self._template_ends: dict[int, int] | None = None
         self._links = 0
         self._run: list[str] = []
         self._run_links = 0
@@ -86,21 +102,29 @@ class Page:
         return len(self.tag) - 1
 
     def _here(self) -> int:
-        return next((o[1] for o in reversed(self._open) if o[1] >= 0), 0)
+        return self._open[-1][3] if self._open else 0
+
+    def _push(self, tag: str, node: int, given: tuple) -> None:
+        if node < 0:
+            self._unmade.append(len(self._open))
+        self._places[tag].append(len(self._open))
+        self._open.append((tag, node, given, self._here() if node < 0 else node))
 
     def _make(self) -> None:
         """Make the nodes of embedded elements that turn out to hold something."""
         if self._open and self._open[-1][1] < 0:
             self._flush()
-            for k, (tag, node, given) in enumerate(self._open):
-                if node < 0:
-                    self._open[k] = (tag, self._node(tag, self._here_below(k), given[0], hidden=given[1]), given)
+            for k in self._unmade:
+                tag, _, given, _ = self._open[k]
+                node = self._node(tag, self._open[k - 1][1] if k else 0, given[0], hidden=given[1])
+                self._open[k] = (tag, node, given, node)
+            self._unmade.clear()
 
-    def _here_below(self, k: int) -> int:
-        return self._open[k - 1][1] if k else 0
+    def _innermost(self, names) -> int:
+        return max((self._places[t][-1] for t in names if self._places.get(t)), default=-1)
 
     def _foreign(self) -> bool:
-        return next((o[0] in FOREIGN for o in reversed(self._open) if o[0] in FOREIGN or o[0] == "foreignobject"), False)
+        return self._innermost(FOREIGN) > self._innermost(("foreignobject",))
 
     def _flush(self) -> None:
         if self._run:
@@ -111,7 +135,8 @@ class Page:
 
     def _say(self, text: str) -> None:
         if text:
-            text = html.unescape(text) if "&" in text else text
+            if "&" in text:
+                text = html.unescape(_NUMBER.sub(r"&#0\1", text))
             if not text.isspace():
                 self._make()
             self._run.append(text)
@@ -120,14 +145,16 @@ class Page:
 
     def _close(self, names, fence=frozenset()) -> None:
         """Close the innermost open node of these names, and all inside it, unless a fence stands between."""
-        for k in range(len(self._open) - 1, -1, -1):
-            if self._open[k][0] in names:
-                if any(o[1] >= 0 and o[0] != "math" for o in self._open[k:]):
-                    self._flush()
-                del self._open[k:]
-                return
-            if self._open[k][0] in fence:
-                return
+        k = self._innermost(names)
+        if k < 0 or k < self._innermost(fence):
+            return
+        if any(o[1] >= 0 and o[0] != "math" for o in self._open[k:]):
+            self._flush()
+        for tag, *_ in self._open[k:]:
+            self._places[tag].pop()
+        del self._open[k:]
+        while self._unmade and self._unmade[-1] >= k:
+            self._unmade.pop()
 
     def _read(self, text: str) -> None:
         at, n = 0, len(text)
@@ -155,17 +182,21 @@ class Page:
                 foreign = False
             if (foreign or tag in FOREIGN) and m[3].endswith("/"):
                 continue
-            if tag == "template":
-                at = self._behind_template(text, at)
+            if tag == "template":  # inert up to its end; one without an end is passed over alone
+                if self._template_ends is None:
+                    self._template_ends = self._pair_templates(text, m.start())
+                at = max(at, self._template_ends.get(m.start(), at))
             elif tag == "math":  # phrasing: its text belongs to the run around it
-                self._open.append((tag, self._here(), ((), False)))
+                self._push(tag, self._here(), ((), False))
             elif tag in EMBEDDED:
-                self._open.append((tag, -1, self._attributes(m[3])))
-            elif tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(text, at)
+                self._push(tag, -1, self._attributes(m[3]))
+            elif tag in RAW or tag == "xmp":
+                end = _RAW_END[tag].search(text, at)
+                if tag == "xmp":  # shown as it stands
+                    self._block("pre", m[3])
+                    self._say(text[at:end.start() if end else n].replace("&", "&amp;"))
+                    self._close({"pre"})
                 at = end.end() if end else n
-                if tag != "title":
-                    continue
             elif tag in VOID:
                 if tag == "hr":
                     self._flush()
@@ -174,27 +205,30 @@ class Page:
             elif tag == "a":
                 self._links = 1
             elif tag in BLOCK:
-                if tag in _CLOSES_P:
-                    self._close({"p"}, _FENCE | EMBEDDED)
-                if tag in _SAME:
-                    self._close(_SAME[tag], frozenset(("table", "ul", "ol", "dl", "select", "menu")) - {tag})
-                self._make()
-                self._flush()
-                if tag in ("body", "html") and any(o[0] == tag for o in self._open):
-                    continue
-                given = self._attributes(m[3])
-                self._open.append((tag, self._node(tag, self._here(), given[0], hidden=given[1]), given))
+                self._block(tag, m[3])
         self._flush()
 
+    def _block(self, tag: str, raw: str) -> None:
+        if tag in _CLOSES_P:
+            self._close({"p"}, _FENCE | EMBEDDED)
+        if tag in _SAME:
+            self._close(_SAME[tag], frozenset(("table", "ul", "ol", "dl", "select", "menu")) - {tag})
+        self._make()
+        self._flush()
+        if tag not in ("body", "html") or not self._places.get(tag):
+            given = self._attributes(raw)
+            self._push(tag, self._node(tag, self._here(), given[0], hidden=given[1]), given)
+
     @staticmethod
-    def _behind_template(text: str, at: int) -> int:
-        """Behind the end of a template, whose content is inert; a template without an end is passed over alone."""
-        level = 1
-        for m in re.compile(r"<(/?)template\b[^>]*>", re.I).finditer(text, at):
-            level += -1 if m[1] else 1
-            if not level:
-                return m.end()
-        return at
+    def _pair_templates(text: str, at: int) -> dict[int, int]:
+        """Where the template that starts at a place ends."""
+        ends, opened = {}, []
+        for m in _TEMPLATE.finditer(text, at):
+            if not m[1]:
+                opened.append(m.start())
+            elif opened:
+                ends[opened.pop()] = m.end()
+        return ends
 
     @staticmethod
     def _attributes(raw: str):
@@ -202,11 +236,10 @@ class Page:
             return (), False
         tokens, hidden = [], False
         for m in _ATTRIBUTE.finditer(raw):
-            if m[5]:
-                hidden = True
-                continue
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name in ("class", "id", "role", "itemprop", "itemtype", "aria-label"):
+            if name == "hidden":
+                hidden = True
+            elif name in ("class", "id", "role", "itemprop", "itemtype", "aria-label"):
                 spaced = re.sub(r"([a-z])([A-Z])", r"\1 \2", value)
                 tokens.extend(_TOKENS.findall(spaced.lower()))
                 if name == "itemprop":

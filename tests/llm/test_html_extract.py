@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -104,3 +105,37 @@ def test_tokens_and_marked_sample(spark, monkeypatch):
     got = H.fit(spark.createDataFrame(rows, "page_id long, html string"), fit_pages=12)
     assert len(got) == 12 and all("Marked" in p for p in got)
     assert len(H.fit(spark.createDataFrame(rows, "page_id long, html string").repartition(7), fit_pages=80)) == 20
+
+
+@pytest.mark.parametrize("unit", [
+    "<div>", "<div><p>x", "<template>", "<select><option>x", "<a b='", '<a b="x>', "<a ", "<a", "<object>t", "<object><math></math>", "<!--", "<script>x</script", "<table><tr><td>x",
+    "<svg><p>", "<svg><foreignObject>", "<ul><li>x", "</div "])
+def test_reading_takes_linear_time(unit):
+    def seconds(n):
+        start = time.process_time()
+        H.Page(unit * n)
+        return time.process_time() - start
+
+    seconds(100)
+    small = min(seconds(10_000) for _ in range(2))
+    assert seconds(80_000) < 8 * small * 3 + 0.5
+
+
+@pytest.mark.parametrize("page, texts", [
+    ("<p>a</p><p title='no end>b</p><p>c</p>", ["a", "b", "c"]), ('<p title="5" tall">b</p>c', ["b", "c"]), ("<p x='a>b'>c</p>", ["c"]), ("<p x = \"a>b\" y>c", ["c"]),
+    ("a<!-->b<!--->c<!-- x --!>d<!-- e", ["abcd"]), ("a <p b", ["a"]), ("1 < 2 <3 </ 4", ["1 < 2 <3 </ 4"]), ("<xmp>a <b>&amp;</b></xmp>c", ["a <b>&amp;</b>", "c"]),
+    ("<script>x</script\n>a<style>b</style x>c", ["ac"]), ("&#" + "9" * 5000 + ";&#" + "0" * 5000 + "65;&#0;&#66;", ["�A�B"]),
+    ("<template><p>a</template>b<template>c", ["bc"]), ("<DIV HIDDEN=''>a</DIV>", ["a"])])
+def test_damaged_markup(page, texts):
+    assert [t for t in H.Page(page).text if t] == texts
+
+
+def test_hidden_marks():
+    assert [H.Page(f"<div {a}>x</div>").hidden[1] for a in ("hidden", "hidden=''", "HIDDEN", "style='display: none'", "data-hidden", "title='hidden'", "")] == [True] * 4 + [False] * 3
+
+
+def test_very_long_page(model):
+    story = "".join(f"<p>Sentence number {k} of a very long article, with enough words to be main text.</p>" for k in range(20_000))
+    got = model.texts([PAGE.replace('<div class="ad-slot">', story + '<div class="ad-slot">')])[0].split("\n")
+    assert len(got) == 20_003 and got[2].startswith("Sentence number 0 ")
+    assert model.texts(["<div>" * 50_000 + "deep" + "</div>" * 50_000])[0] in ("", "deep")
