@@ -1,9 +1,9 @@
-"""Similar names inside a city.
+"""Similar names inside a city, or over all cities (`city=None`).
 
 Rows with the same name form (token set, or compact name) are one form with a count, so a group of copies
 never yields its pairs: a pair of rows is a pair of forms plus the two row-to-form tables. Candidates come
 from equi-joins on rare parts of a name; frequent parts are split over several tasks by a salt that follows
-from their frequency.
+from their frequency. Lengths are part of the join keys, so rows whose lengths rule a pair out never meet.
 """
 
 from __future__ import annotations
@@ -18,13 +18,15 @@ from entiform.operators.lookups import lookup_join
 
 CONTAINED = 0.95
 ROWS_PER_SALT = 20_000
+#: Names up to this length are met by segments for each length, longer ones by grams in cells of positions.
+SHORT_NAME = 24
 _SLACK = 1e-9
 
 
-def name_forms(records: DataFrame, form: Column, city: str = "city", ord: str = "task_ord") -> DataFrame:
-    """(ord, city_key, form): which form each row has."""
-    return records.select(
-        F.col(ord).alias("ord"), names.canonical_city(F.col(city)).alias("city_key"), form.alias("form"))
+def name_forms(records: DataFrame, form: Column, city: str | None = "city", ord: str = "task_ord") -> DataFrame:
+    """(ord, city_key, form): which form each row has. Without a city all rows have the empty key."""
+    key = names.canonical_city(F.col(city)) if city else F.lit("")
+    return records.select(F.col(ord).alias("ord"), key.alias("city_key"), form.alias("form"))
 
 
 def token_form(name: Column) -> Column:
@@ -45,13 +47,13 @@ def _salted(rows: DataFrame, replicate: bool) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64("form"), salts))
 
 
-def _side(rows: DataFrame, suffix: str, *cols: str) -> DataFrame:
-    return rows.select("city_key", "part", "salt", *[F.col(c).alias(f"{c}_{suffix}") for c in cols])
+def _side(rows: DataFrame, suffix: str, on: list[str], cols: tuple[str, ...]) -> DataFrame:
+    return rows.select(*on, *[F.col(c).alias(f"{c}_{suffix}") for c in cols])
 
 
-def _pairs(a: DataFrame, b: DataFrame, *cols: str) -> DataFrame:
-    return _side(_salted(a, True), "a", *cols).join(
-        _side(_salted(b, False), "b", *cols), ["city_key", "part", "salt"])
+def _pairs(a: DataFrame, b: DataFrame, *cols: str, also: tuple[str, ...] = ()) -> DataFrame:
+    on = ["city_key", "part", *also, "salt"]
+    return _side(_salted(a, True), "a", on, cols).join(_side(_salted(b, False), "b", on, cols), on)
 
 
 def _same_form(forms: DataFrame) -> DataFrame:
@@ -65,11 +67,12 @@ def _same_form(forms: DataFrame) -> DataFrame:
 _OUT = ("city_key", "form_a", "form_b", "n_a", "n_b", "first_a", "first_b", "similarity")
 
 
-def similar_names(records: DataFrame, threshold: float = 0.6, name: str = "input_name", city: str = "city",
+def similar_names(records: DataFrame, threshold: float = 0.6, name: str = "input_name", city: str | None = "city",
                   ord: str = "task_ord") -> DataFrame:
     """Pairs of token sets of one city: 0.95 when one contains the other, else their Jaccard index.
 
-    A pair of rows with one form in common appears as that form with itself.
+    A pair of rows with one form in common appears as that form with itself. `city=None` compares all rows;
+    `city_key` is then empty.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
@@ -89,7 +92,14 @@ def similar_names(records: DataFrame, threshold: float = 0.6, name: str = "input
 
     def parts(count: Column, only: Column | None = None) -> DataFrame:
         base = ordered if only is None else ordered.filter(only)
-        return base.select("city_key", *cols, F.inline(F.slice("words", F.lit(1), count)))
+        return base.select("city_key", *cols, F.posexplode(F.slice("words", F.lit(1), count)).alias("at", "_word")).select(
+            "*", "_word.df", "_word.part").drop("_word")
+
+    # sets of a length and those up to 1/t times as long are in one interval or two that follow each other
+    step = math.log(max(1 / t, 1.25))
+
+    def interval(size: Column) -> Column:
+        return F.floor(F.log(size.cast("double")) / step).cast("int")
 
     everything = parts(F.col("size"))
     shared = F.size(F.array_intersect("toks_a", "toks_b"))
@@ -104,9 +114,15 @@ def similar_names(records: DataFrame, threshold: float = 0.6, name: str = "input
     short_side = F.col("size") - F.ceil(F.col("size") * (2 * t / (1 + t)) - _SLACK) + 1
     long_side = F.col("size") - F.ceil(F.col("size") * t - _SLACK) + 1
     ahead = F.struct("size_a", "form_a") < F.struct("size_b", "form_b")
+    short_parts = parts(short_side.cast("int"), can_overlap).withColumn("interval", F.explode(F.sequence(
+        interval(F.col("size")), interval(F.floor(F.col("size") / t + _SLACK)))))
+    long_parts = parts(long_side.cast("int")).withColumn("interval", interval(F.col("size")))
+    # what both sets have from their first common word on
+    at_most = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
     overlap = (
-        _pairs(parts(short_side.cast("int"), can_overlap), parts(long_side.cast("int")), *cols)
+        _pairs(short_parts, long_parts, *cols, "at", also=("interval",))
         .filter(ahead & (F.col("size_a") >= F.col("size_b") * t - _SLACK))
+        .filter(at_most >= (F.col("size_a") + F.col("size_b")) * (t / (1 + t)) - _SLACK)
         # report a pair only at its first common word
         .filter(F.get(F.array_intersect("toks_a", "toks_b"), F.lit(0)) == F.col("part"))
         .withColumn("shared", shared).filter(F.col("shared") < F.col("size_a"))
@@ -118,11 +134,12 @@ def similar_names(records: DataFrame, threshold: float = 0.6, name: str = "input
     return found.select(*_OUT).unionByName(same.select(*_OUT)).filter(F.col("similarity") >= t)
 
 
-def fuzzy_name_pairs(records: DataFrame, threshold: float = 0.82, name: str = "input_name", city: str = "city",
+def fuzzy_name_pairs(records: DataFrame, threshold: float = 0.82, name: str = "input_name", city: str | None = "city",
                      ord: str = "task_ord") -> DataFrame:
     """Pairs of compact names of one city: equal, one inside the other, or close by edit distance.
 
-    `similarity` is 1 for equal and contained names, else 1 - distance / longer length.
+    `similarity` is 1 for equal and contained names, else 1 - distance / longer length. `city=None` compares all
+    rows; `city_key` is then empty. The rows made of a name grow with its length, not with a power of it.
     """
     if not 0.5 < threshold <= 1:
         raise ValueError("the threshold must be above 0.5 and at most 1")
@@ -158,11 +175,12 @@ def fuzzy_name_pairs(records: DataFrame, threshold: float = 0.82, name: str = "i
     def edits(size: Column) -> Column:
         return F.floor(size * (1 - threshold) + _SLACK).cast("int")
 
+    short = max(SHORT_NAME, math.ceil(4 / (2 * threshold - 1)))
     longest = F.floor(F.col("size") / threshold + 1).cast("int")
     allowances = F.array_distinct(F.transform(F.sequence(F.col("size"), longest), edits))
     allowances = F.filter(allowances, lambda k: k > 0)
     segments = (
-        filled.select("city_key", *cols, F.explode(allowances).alias("k"))
+        filled.filter(F.col("size") <= short).select("city_key", *cols, F.explode(allowances).alias("k"))
         .select("*", F.posexplode(F.sequence(F.lit(0), F.col("k"))).alias("i", "_seg"))
         .withColumn("start", _segment_start(F.col("size"), F.col("k"), F.col("i")))
         .withColumn("stop", _segment_start(F.col("size"), F.col("k"), F.col("i") + 1))
@@ -170,8 +188,8 @@ def fuzzy_name_pairs(records: DataFrame, threshold: float = 0.82, name: str = "i
             "|", "size", "k", "i", F.substr("form", F.col("start") + 1, F.col("stop") - F.col("start"))))
     )
     probes = (
-        filled.withColumn("k", edits(F.col("size"))).filter("k > 0")
-        .select("city_key", *cols, "k", F.explode(F.sequence(F.col("size") - F.col("k"), F.col("size"))).alias("len"))
+        filled.withColumn("k", edits(F.col("size"))).filter((F.col("k") > 0) & (F.col("size") - F.col("k") <= short))
+        .select("city_key", *cols, "k", F.explode(F.sequence(F.col("size") - F.col("k"), F.least("size", F.lit(short)))).alias("len"))
         .select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
         .withColumn("start", _segment_start(F.col("len"), F.col("k"), F.col("i")))
         .withColumn("stop", _segment_start(F.col("len"), F.col("k"), F.col("i") + 1))
@@ -184,6 +202,10 @@ def fuzzy_name_pairs(records: DataFrame, threshold: float = 0.82, name: str = "i
             "|", "len", "k", "i",
             F.substr("form", (F.col("at") + 1).cast("int"), F.col("stop") - F.col("start"))))
     )
+    held_by = ("city_key", *cols, "part")
+    long_segments, long_probes = _grams_in_cells(filled.filter(F.col("size") > short), cols, edits, threshold)
+    segments = segments.select(*held_by).unionByName(long_segments.select(*held_by))
+    probes = probes.select(*held_by).unionByName(long_probes.select(*held_by))
     weights = probes.groupBy("city_key", "part").agg(F.count("*").alias("df"))
     segments = lookup_join(segments, weights, ["city_key", "part"], weight="df").filter(F.col("df").isNotNull())
     probes = lookup_join(probes, weights, ["city_key", "part"], weight="df")
@@ -192,7 +214,8 @@ def fuzzy_name_pairs(records: DataFrame, threshold: float = 0.82, name: str = "i
         .filter(F.struct("size_a", "form_a") < F.struct("size_b", "form_b"))
         .filter(~F.contains("form_b", "form_a"))
         .select("city_key", *[f"{c}_{s}" for s in "ab" for c in cols]).distinct()
-        .withColumn("d", F.levenshtein("form_a", "form_b"))
+        .withColumn("most", edits(F.col("size_b"))).filter(F.col("size_b") - F.col("size_a") <= F.col("most"))
+        .withColumn("d", F.expr("levenshtein(form_a, form_b, most)")).filter("d >= 0")
         .withColumn("similarity", 1 - F.col("d") / F.col("size_b"))
         .filter(F.col("similarity") >= threshold - _SLACK)
     )
@@ -202,6 +225,54 @@ def fuzzy_name_pairs(records: DataFrame, threshold: float = 0.82, name: str = "i
     return found.select(*_OUT).unionByName(same.select(*_OUT))
 
 
+def _grams_in_cells(filled: DataFrame, cols: tuple[str, ...], edits, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Parts of the shorter and of the longer name of a pair, for names of any length.
+
+    Longer names are sorted by intervals of length, and each interval has one number of edits k and one gram length q. A shorter
+    name is cut into k+1 segments of at least q characters: one of them is whole in the longer name, at most k places
+    away. So the longer name gives all its grams with the cell of k+1 places they stand in, and the shorter one the
+    beginning of each segment with the two or three cells it may stand in.
+    """
+    bits = max(4, math.ceil(math.log2((1 - threshold) / (0.75 * (2 * threshold - 1)))) if threshold < 1 else 4)
+
+    def width(size: Column) -> Column:
+        return F.greatest(F.lit(1), F.floor(F.pow(F.lit(2.0), F.length(F.bin(size)) - 1 - bits)).cast("int"))
+
+    def interval(size: Column) -> Column:
+        return size - F.pmod(size, width(size))
+
+    low = F.col("low")
+
+    def measured(rows: DataFrame) -> DataFrame:
+        return (
+            rows.withColumn("high", low + width(low) - 1).withColumn("k", edits(F.col("high"))).filter("k > 0")
+            .withColumn("least", low - edits(low)).withColumn("q", F.floor(F.col("least") / (F.col("k") + 1)).cast("int")))
+
+    def part(cell: Column, gram: Column) -> Column:
+        return F.concat_ws("|", F.lit("L"), low, cell, gram)
+
+    def cell(place: Column) -> Column:
+        return F.floor(place / (F.col("k") + 1)).cast("int")
+
+    longest = F.floor(F.col("size") / threshold + 1).cast("int")
+    shorter = measured(filled.select("city_key", *cols, F.explode(F.array_distinct(
+        F.transform(F.sequence(F.col("size"), longest), interval))).alias("low"))).filter("size >= least AND size <= high")
+    back = F.floor((F.col("k") - F.greatest(F.lit(0), low - F.col("size"))) / 2)
+    ahead = F.floor((F.col("k") + F.col("high") - F.col("size")) / 2)
+
+    def places(i: Column) -> Column:
+        start = _segment_start(F.col("size"), F.col("k"), i)
+        cells = F.sequence(cell(F.greatest(F.lit(0), start - back)), cell(start + ahead))
+        return F.transform(cells, lambda c: part(c, F.substr("form", start + 1, F.col("q"))))
+
+    segments = shorter.withColumn("part", F.explode(F.array_distinct(F.flatten(
+        F.transform(F.sequence(F.lit(0), F.col("k")), places)))))
+    longer = measured(filled.withColumn("low", interval(F.col("size"))))
+    probes = longer.withColumn("part", F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(0), F.col("size") - F.col("q")), lambda at: part(cell(at), F.substr("form", at + 1, F.col("q")))))))
+    return segments, probes
+
+
 def _segment_start(size: Column, k: Column, i: Column) -> Column:
     """Start of segment i when a name of this size is cut into k+1 nearly equal segments."""
     return F.floor(size * i / (k + 1)).cast("int")

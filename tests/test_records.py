@@ -131,3 +131,62 @@ def test_delivery_labels(spark):
     out = records.delivery_view(df).first()
     assert (out.phone, out.owner, out.geo, out.confidence, out.status) == ("699", "Non identifié", "4.05, 9", 0.46, "Auto")
     assert len(records.delivery_view(df, labels=True).columns) == 15
+
+
+def _long_names(seed, count, longest):
+    """Names of some lengths around a few bases, each with edits up to a fifth of its length."""
+    r = random.Random(seed)
+    bases = ["".join(r.choices("abcdefgh", k=n)) for n in (18, 23, 24, 25, 26, 31, 33, 47, 64, longest)]
+    out = []
+    for _ in range(count):
+        s = list(r.choice(bases))
+        for _ in range(r.randint(0, len(s) // 5)):
+            at = r.randrange(len(s) + 1)
+            s[at:at + r.randint(0, 1)] = r.choice(["", "x", "b", "a"])
+        if r.random() < 0.2:
+            cut = r.randint(0, len(s) // 6)
+            s = s[cut:]
+        out.append("".join(s))
+    return out
+
+
+@pytest.mark.parametrize("seed, threshold", [(1, 0.82), (2, 0.7), (3, 0.55), (4, 0.9)])
+def test_long_fuzzy_names_over_all_cities(spark, seed, threshold):
+    made = _long_names(seed, 90, 90)
+    df = spark.createDataFrame([(k, n, f"city {k % 7}") for k, n in enumerate(made)], "task_ord bigint, input_name string, city string")
+    got = {tuple(sorted([x.form_a, x.form_b])): round(x.similarity, 9) for x in similarity.fuzzy_name_pairs(df, threshold, city=None).collect()}
+    want = {}
+    for a, b in itertools.combinations(sorted(set(made)), 2):
+        s = 1.0 if a in b or b in a else 1 - distance(a, b) / max(len(a), len(b))
+        if s >= threshold - 1e-9:
+            want[(a, b)] = round(s, 9)
+    want.update({(a, a): 1.0 for a in made if made.count(a) > 1})
+    assert got == want
+
+
+def test_rows_of_a_long_name_grow_with_its_length(spark):
+    def parts(size):
+        name = "".join(random.Random(size).choices("abcdefghijklmnop", k=size))
+        df = spark.createDataFrame([("", name, 1, 1, size)], "city_key string, form string, n long, first_ord long, size int")
+        edits = lambda c: F.floor(c * (1 - 0.82) + 1e-9).cast("int")
+        return sum(x.count() for x in similarity._grams_in_cells(df, ("form", "n", "first_ord", "size"), edits, 0.82))
+
+    assert parts(1_000) < 6_000 and parts(10_000) < 12 * parts(1_000)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.85])
+def test_similar_names_over_all_cities(spark, threshold):
+    r = random.Random(9)
+    made = [" ".join(r.choices([f"w{k}" for k in range(30)], k=r.choice((1, 2, 3, 4, 5, 9, 14)))) for _ in range(200)]
+    made += [" ".join(r.sample(n.split(), max(1, len(n.split()) - 1))) + r.choice(("", " zz")) for n in made[:80]]
+    df = spark.createDataFrame([(k, n, f"city {k}") for k, n in enumerate(made)], "task_ord bigint, input_name string, city string")
+    got = [(tuple(sorted([x.form_a, x.form_b])), round(x.similarity, 9)) for x in similarity.similar_names(df, threshold, city=None).collect()]
+    forms = [" ".join(sorted(set(n.split()))) for n in made]
+    want = {(f, f): 0.95 for f in forms if forms.count(f) > 1}
+    for a, b in itertools.combinations(sorted(set(forms)), 2):
+        x, y = set(a.split()), set(b.split())
+        s = 0.95 if x <= y or y <= x else len(x & y) / len(x | y)
+        if s >= threshold - 1e-9:
+            want[(a, b)] = round(s, 9)
+    assert len(got) == len(dict(got)) and dict(got) == want
+    assert similarity.similar_names(df, threshold).count() == 0
