@@ -5,7 +5,14 @@ base symbol from every state. Each merge (u, v) -> w then adds a gadget, in orde
 was followed by v, and v may no longer follow u. What a gadget did to older states carries over to states and arcs made
 later, because a new arc w enters where u entered and leaves where v left. So exactly one path spells each word, and it is
 its BPE encoding. The arcs' gadgets are compiled into tables; the entry (state, arc) is worked out from the gadgets when
-it is first used and then kept. Decoding emits the labels of the arcs.
+it is first used and then kept. The same holds for each beginning of a word: one path spells it, so one state is reached there.
+Encoding therefore reads a word once from left to right and never goes back: the labels that end at a place come from a trie with suffix
+links over all labels, and the one whose arc leaves the state at its beginning gives the state of the place. Decoding emits
+the labels of the arcs.
+
+White space, letters, digits and lower case are the tokenizer's own: where its library sorts a character otherwise than Python and the
+`regex` module do (found by asking it for all characters when the file is compiled), texts with that character are
+normalised and split by the library's rules. Only the planes in use are asked for (0 to 3 and 14; the others are unassigned or private).
 
 Input rows are kept one to one: a null or empty text gives no tokens, other columns pass through (one with the name of a
 result is replaced), the order of rows does not matter. Texts of any length take time in proportion to their length.
@@ -18,11 +25,13 @@ import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from entiform.llm.common import by_value, share, without
 
@@ -58,13 +67,25 @@ class MergeAutomaton:
         self.arc = model["vocab"]
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        pattern = split["pattern"]["Regex"]
         self.pattern = regex.compile(_REORDERED.get(pattern, pattern))
+        self.rules = json.dumps({
+            "version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": spec.get("normalizer"), "pre_tokenizer": split,
+            "post_processor": None, "decoder": None, "model": {"type": "BPE", "vocab": {}, "merges": []}})
+        self.library: Tokenizer | None = None
+        self.odd = self.odd_characters(pattern)
+        self.high = regex.compile(f"[{regex.escape(min(self.odd))}-\U0010ffff]") if self.odd else None
         self.letters = byte_letters()
-        self.reach: dict[str, int] = {}  # longest arc that begins with these letters
-        for t in self.arc:
-            self.reach[t[:3]] = max(len(t), self.reach.get(t[:3], 0))
         size = len(self.label)
+        self.width = list(map(len, self.label))
+        self.ending = {t.removesuffix(self.suffix): i for t, i in self.arc.items() if t.endswith(self.suffix)}
+        self.longest_ending = max(map(len, self.ending), default=0)
+        self.labels_at = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for t, i in self.arc.items():
+            if not (self.suffix and t.endswith(self.suffix)):
+                self.labels_at.add_word(t, i)
+        self.labels_at.make_automaton()
         self.made = [0] * size  # when the arc was added; 0: a base symbol
         self.first, self.last = list(range(size)), list(range(size))
         self.gadget: dict[tuple[int, int], int] = {}
@@ -107,38 +128,30 @@ class MergeAutomaton:
                 return True
 
     def walk(self, word: str) -> tuple[int, ...]:
-        """Token ids of one pre-split word: the automaton's only path that spells it.
-
-        The longest arc that leaves the state is tried first. A position from which nothing leads on is given up for good,
-        since only one path leads to it.
-        """
+        """Token ids of one pre-split word: the automaton's only path that spells it."""
         spelled = "".join(map(self.letters.__getitem__, word.encode()))
-        n, arc, reach, suffix, size, table = len(spelled), self.arc, self.reach, self.suffix, self.size, self.table
-        path, starts, ends, dead = [], [], [], set()
-        at, state, end = 0, -1, n
-        while at < n:
-            end = min(end, at + reach.get(spelled[at:at + 3], 3), n)
-            while end > at:
-                if end not in dead:
-                    t = arc.get(spelled[at:end] + suffix if end == n else spelled[at:end])
-                    if t is not None:
-                        if state < 0:
-                            break
-                        ok = table.get(state * size + t)
-                        if ok or ok is None and self.follows(state, t):
-                            break
-                end -= 1
-            if end > at:
-                path.append(t)
-                starts.append(at)
-                ends.append(end)
-                at, state, end = end, t, n
-            else:
-                dead.add(at)
-                path.pop()
-                at, end = starts.pop(), ends.pop() - 1
-                state = path[-1] if path else -1
-        return tuple(path)
+        n, width, size, table, ending = len(spelled), self.width, self.size, self.table, self.ending
+        states, starts = [-1] * n, [0] * n  # state behind so many letters, and where its arc begins
+        for end, t in self.labels_at.iter(spelled, 0, n - 1) if n > 1 else ():
+            end += 1
+            if states[end] < 0:
+                start = end - width[t]
+                if start:
+                    ok = table.get(states[start] * size + t)
+                    if not (self.follows(states[start], t) if ok is None else ok):
+                        continue
+                states[end], starts[end] = t, start
+        for start in range(max(0, n - self.longest_ending), n):
+            t = ending.get(spelled[start:])
+            if t is not None and (not start or self.follows(states[start], t)):
+                break
+        else:
+            raise ValueError(f"the vocabulary cannot spell {word!r}")
+        path = [t]
+        while start:
+            path.append(states[start])
+            start = starts[start]
+        return tuple(reversed(path))
 
     def spelled(self, word: str) -> tuple[int, ...]:
         got = self.memo.get(word)
@@ -154,6 +167,36 @@ class MergeAutomaton:
         """NFC, white space runs to one blank, lower case letter by letter."""
         return _SPACE.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
 
+    def __getstate__(self):
+        return self.__dict__ | {"library": None}
+
+    def own_rules(self) -> Tokenizer:
+        """The tokenizer's own normaliser and splitter."""
+        if self.library is None:
+            self.library = Tokenizer.from_str(self.rules)
+        return self.library
+
+    def odd_characters(self, pattern: str) -> frozenset[str]:
+        """Characters that the library normalises or sorts otherwise than `normal` and the `regex` module do."""
+        every = "".join(chr(c) for c in chain(range(0xD800), range(0xE000, 0x40000), range(0xE0000, 0xF0000)))
+        odd = set()
+        for kind in set(regex.findall(r"\\[pP]\{\w+\}|\\[sSdDwW]", pattern)):
+            others = "".join(x for x, _ in pre_tokenizers.Split(Regex(kind), "removed").pre_tokenize_str(every))
+            odd |= set(regex.sub(kind, "", every)) ^ set(others)
+        every = every.replace("\x01", "")
+        normalizer, parted = self.own_rules().normalizer, "\x01".join(every)
+        theirs = normalizer.normalize_str(parted) if normalizer else parted
+        odd.update(c for c, x, y in zip(every, theirs.split("\x01"), self.normal(parted).split("\x01"), strict=True) if x != y)
+        return frozenset(odd)
+
+    def words(self, text: str) -> list[str]:
+        """The normalised words of a text without special tokens."""
+        if self.high is None or self.odd.isdisjoint(self.high.findall(text)):
+            return self.pattern.findall(self.normal(text))
+        rules = self.own_rules()
+        text = rules.normalizer.normalize_str(text) if rules.normalizer else text
+        return [w for w, _ in rules.pre_tokenizer.pre_tokenize_str(text)]
+
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
@@ -162,7 +205,7 @@ class MergeAutomaton:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            found, memo = self.pattern.findall(self.normal(part)), self.memo
+            found, memo = self.words(part), self.memo
             try:
                 out.extend(chain.from_iterable([memo[w] for w in found]))
             except KeyError:
