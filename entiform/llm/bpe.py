@@ -54,6 +54,20 @@ def byte_letters() -> dict[int, str]:
     return out | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+class Memo(dict):
+    """Ids of the words met lately."""
+
+    def __init__(self, spelled):
+        super().__init__()
+        self.spelled = spelled
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        got = self[word] = self.spelled(word)
+        return got
+
+
 class MergeAutomaton:
     """Compiled from a tokenizers file of a byte-level BPE whose last symbol of a word carries a suffix."""
 
@@ -70,6 +84,7 @@ class MergeAutomaton:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         pattern = split["pattern"]["Regex"]
         self.pattern = regex.compile(_REORDERED.get(pattern, pattern))
+        self.blind = pattern in _REORDERED  # none of its words holds white space, so runs of it need no change
         self.rules = json.dumps({
             "version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": spec.get("normalizer"), "pre_tokenizer": split,
             "post_processor": None, "decoder": None, "model": {"type": "BPE", "vocab": {}, "merges": []}})
@@ -92,7 +107,7 @@ class MergeAutomaton:
         for rank, (u, v) in enumerate(map(self._pair, model["merges"]), 1):
             self.add_gadget(u, v, rank)
         self.table: dict[int, bool] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo = Memo(self.spelled)
         self.size = size
 
     @staticmethod
@@ -154,21 +169,24 @@ class MergeAutomaton:
         return tuple(reversed(path))
 
     def spelled(self, word: str) -> tuple[int, ...]:
-        got = self.memo.get(word)
-        if got is None:
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-            if len(self.table) >= 2 * MEMO_WORDS:
-                self.table.clear()
-            got = self.memo[word] = self.walk(word)
-        return got
+        if len(self.table) >= 2 * MEMO_WORDS:
+            self.table.clear()
+        return self.walk(word)
 
     def normal(self, text: str) -> str:
         """NFC, white space runs to one blank, lower case letter by letter."""
-        return _SPACE.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
+        return self.lowered(_SPACE.sub(" ", unicodedata.normalize("NFC", text)))
+
+    @staticmethod
+    def lowered(text: str) -> str:
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def __getstate__(self):
-        return self.__dict__ | {"library": None}
+        return self.__dict__ | {"library": None, "memo": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.memo = Memo(self.spelled)
 
     def own_rules(self) -> Tokenizer:
         """The tokenizer's own normaliser and splitter."""
@@ -191,8 +209,10 @@ class MergeAutomaton:
 
     def words(self, text: str) -> list[str]:
         """The normalised words of a text without special tokens."""
+        if text.isascii():
+            return self.pattern.findall(text.lower() if self.blind else self.normal(text))
         if self.high is None or self.odd.isdisjoint(self.high.findall(text)):
-            return self.pattern.findall(self.normal(text))
+            return self.pattern.findall(self.lowered(text) if self.blind else self.normal(text))
         rules = self.own_rules()
         text = rules.normalizer.normalize_str(text) if rules.normalizer else text
         return [w for w, _ in rules.pre_tokenizer.pre_tokenize_str(text)]
@@ -205,11 +225,7 @@ class MergeAutomaton:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            found, memo = self.words(part), self.memo
-            try:
-                out.extend(chain.from_iterable([memo[w] for w in found]))
-            except KeyError:
-                out.extend(chain.from_iterable(map(self.spelled, found)))
+            out.extend(chain.from_iterable(map(self.memo.__getitem__, self.words(part))))
         return out
 
     def decode(self, ids) -> str:
