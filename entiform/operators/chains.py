@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from entiform import fixed, schemas
 from entiform.functions import names
+from entiform.functions.storage import settle
 from entiform.functions.text import trim
 from entiform.operators.brands import match_brands
 from entiform.operators.lookups import lookup_join
@@ -26,9 +27,9 @@ def detect_chains(leads: DataFrame, ord: str = "ord", brands=fixed.KNOWN_BRANDS)
     """Sets `chain`: a known brand, else a brand key seen in two or more cities.
 
     Two cities exist exactly when the smallest and the largest differ, so no set of cities is built, and
-    only multi-city brands are joined back.
+    only multi-city brands are joined back. Leads with their keys are read by both sides, so they are stored once.
     """
-    keyed = with_brand_keys(leads, brands)
+    keyed = settle(with_brand_keys(leads, brands), "brand-keys")
     return with_chains(keyed, brand_spread(keyed, ord).filter("lo <> hi").select("_brand", "_label", "_rows"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from entiform.functions.storage import Scratch
+from entiform.functions.storage import Scratch, settle
 from entiform.operators import chains, ordering
 from entiform.sources import writers
 from entiform.sources.record_store import RecordStore
@@ -29,7 +29,7 @@ def workbook_contacts(spark, d):
 def progress_log(spark, d):
     """All leads as collected, then some of them again as enriched: the last state of each lead counts."""
     leads, path = leads_of._leads(spark, d), f"{Scratch(spark, 'progress').path}/log"
-    leads = leads.withColumn("id", F.concat(F.lit("k"), F.col("ord").cast("string")))
+    leads = settle(leads.withColumn("id", F.concat(F.lit("k"), F.col("ord").cast("string"))), "leads")
     writers.append_progress(leads.withColumn("source", F.lit("collected")), path, 0)
     writers.append_progress(leads.filter("ord % 3 = 0").withColumn("source", F.lit("enriched")), path, 1)
     return writers.load_progress(spark, path).select("ord", "id", "source", "company_name")
