@@ -25,8 +25,9 @@ OWNER_SCHEMA = "signal int, key string, owner_ord bigint, owner_id string"
 
 
 def stream_leads(places: DataFrame, country: str = fixed.DEFAULT_COUNTRY) -> DataFrame:
-    """Listings of a stream to normalised leads with `reject_reasons`; stateless."""
-    return with_reject_reasons(normalize_leads(parse_places(places, country), country))
+    """Listings of a stream to normalised leads with `reject_reasons`; stateless. A batch of few files is dealt out over all cores first."""
+    dealt = places.repartition(2 * places.sparkSession.sparkContext.defaultParallelism)
+    return with_reject_reasons(normalize_leads(parse_places(dealt, country), country))
 
 
 def _store(df: DataFrame, path: str, batch_id: int) -> None:
