@@ -17,7 +17,9 @@ from entiform.functions import names
 from entiform.operators.lookups import lookup_join
 
 CONTAINED = 0.95
-ROWS_PER_SALT = 20_000
+#: Rows of the spread side that meet one key in one task, and tasks of a join for each core: pairs grow with the square of a key's rows.
+ROWS_PER_SALT = 2_000
+TASKS_PER_CORE = 8
 #: Names up to this length are met by segments for each length, longer ones by grams in cells of positions.
 SHORT_NAME = 24
 _SLACK = 1e-9
@@ -53,7 +55,10 @@ def _side(rows: DataFrame, suffix: str, on: list[str], cols: tuple[str, ...]) ->
 
 def _pairs(a: DataFrame, b: DataFrame, *cols: str, also: tuple[str, ...] = ()) -> DataFrame:
     on = ["city_key", "part", *also, "salt"]
-    return _side(_salted(a, True), "a", on, cols).join(_side(_salted(b, False), "b", on, cols), on)
+    # a number of its own, since few bytes may be many pairs and would be gathered in few tasks
+    tasks = TASKS_PER_CORE * a.sparkSession.sparkContext.defaultParallelism
+    left, right = _side(_salted(a, True), "a", on, cols), _side(_salted(b, False), "b", on, cols)
+    return left.repartition(tasks, *on).join(right.repartition(tasks, *on), on)
 
 
 def _same_form(forms: DataFrame) -> DataFrame:
@@ -213,9 +218,11 @@ def fuzzy_name_pairs(records: DataFrame, threshold: float = 0.82, name: str = "i
         _pairs(segments, probes, *cols)
         .filter(F.struct("size_a", "form_a") < F.struct("size_b", "form_b"))
         .filter(~F.contains("form_b", "form_a"))
-        .select("city_key", *[f"{c}_{s}" for s in "ab" for c in cols]).distinct()
+        .select("city_key", *[f"{c}_{s}" for s in "ab" for c in cols])
         .withColumn("most", edits(F.col("size_b"))).filter(F.col("size_b") - F.col("size_a") <= F.col("most"))
         .withColumn("d", F.expr("levenshtein(form_a, form_b, most)")).filter("d >= 0")
+        # only close pairs are shuffled, not all that met
+        .distinct()
         .withColumn("similarity", 1 - F.col("d") / F.col("size_b"))
         .filter(F.col("similarity") >= threshold - _SLACK)
     )
