@@ -44,3 +44,16 @@ def test_words_and_brands_keep_their_edges(spark):
             assert r.a == r.b, r
     for r in rows.select("name", names.known_brand(c).alias("a"), brand.alias("b")).collect():
         assert r.a == r.b, r
+
+
+def test_legal_names_are_tried_at_capitals_only(spark):
+    ahead = f"(?=[{web._UPPER}])"
+    assert web._LEGAL.startswith(ahead)
+    plain = web._LEGAL.removeprefix(ahead)
+    given = ["(c) 2024 SITE 7 S.A.R.L., all", "xSITE A SARL", "Été Bleu SA", "the Sun  Inn GIE and Moon & Co S.A", "no form", "", None]
+    rows = spark.createDataFrame([(v,) for v in given], "t string")
+    flat = F.regexp_replace("t", f"[{text.BLANKS}]+", " ")
+    form = F.upper(F.replace(F.regexp_extract(flat, plain, 2), F.lit("."), F.lit("")))
+    wanted = F.when(form != "", text.trim(F.concat(text.trim(F.regexp_extract(flat, plain, 1)), F.lit(" "), form)))
+    for r in rows.select("t", web.legal_name(F.col("t")).alias("a"), wanted.alias("b")).collect():
+        assert r.a == r.b, r
