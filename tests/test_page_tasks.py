@@ -6,6 +6,7 @@ from entiform.functions import storage
 from entiform.operators import extract, ordering
 from entiform.operators.leads import normalize_leads
 from entiform.operators.lookups import lookup_join
+from registry.views import view
 
 
 def sites(spark, n):
@@ -39,6 +40,14 @@ def test_tasks_follow_rows_and_html(spark, monkeypatch):
     assert extract.site_facts(off).rdd.getNumPartitions() == 1
 
 
+def test_stored_pages_are_files_of_few_rows(spark, tmp_path, monkeypatch):
+    spark.range(600).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    monkeypatch.setattr(storage, "ROWS_PER_TASK", 10)
+    pages = view(spark, str(tmp_path), "site_pages_v")
+    per_file = pages.groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in per_file) == 2_400 and max(r["count"] for r in per_file) <= 20
+
+
 def test_visits_of_one_path_are_cut_in_spread_parts(spark):
     rows = [("a", 0, True, f"u{i % 7}", i) for i in range(400, 0, -1)] + [("a", 0, False, "t", 0)] + [("a", 1, True, None, None)] * 50 + [
         ("a", 2, False, "u", 1), ("a", 3, True, "u", 1), (None, 0, True, "u", 1), (None, 0, True, "u", 2), ("b", 0, False, "u", 1), ("b", 1, True, "u", 1), ("a", None, True, "u", 1)]
