@@ -19,7 +19,7 @@ def sites(spark, n):
 
 def test_tasks_follow_rows_and_html(spark, monkeypatch):
     pages = sites(spark, 300)
-    monkeypatch.setattr(storage, "ROWS_PER_TASK", 10)
+    monkeypatch.setattr(storage, "ROWS_MET", 10)
     facts = extract.site_facts(pages)
     assert facts.rdd.getNumPartitions() == 60 and extract.site_pages(pages).rdd.getNumPartitions() == 60
     found = {r.site: r.emails for r in facts.collect()}
@@ -31,7 +31,7 @@ def test_tasks_follow_rows_and_html(spark, monkeypatch):
     assert patch.rdd.getNumPartitions() == 60
     want = {i: [f"info@s{i % 400}.cm"] if i % 400 < 300 else [] for i in range(1, 600)}
     assert {r.ord: r.emails for r in patch.select("ord", "emails").collect()} == want
-    monkeypatch.setattr(storage, "ROWS_PER_TASK", 20_000)
+    monkeypatch.setattr(storage, "ROWS_MET", 60_000)
     monkeypatch.setattr(storage, "BYTES_PER_TASK", 100)
     size = pages.agg(F.sum(F.octet_length("html"))).first()[0]
     assert extract.site_facts(pages).rdd.getNumPartitions() == -(-size // 100) > 60
