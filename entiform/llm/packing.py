@@ -15,10 +15,13 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +31,20 @@ from entiform.llm.common import by_value, share
 #: Pieces that one part holds.
 PART_ROWS = 50_000
 PATIENCE = 2
-#: Runs from which a text goes to the tokenizers library: the faster one needs time and stack by their square.
+#: Bytes from which a word goes to the tokenizers library: the faster one needs time by their square.
 LONG_RUN = 2_000
+#: Bytes of text whose words are looked up together; memory of a task is some 20 times this.
+TOGETHER = 4_000_000
 #: Largest k of the rounding functions.
 ROUNDINGS = 12
 
 
+#: Kinds of characters, and the one set between texts, which no plain text holds.
+_BLANK, _WHITE, _LETTER, _NUMBER, _OTHER, _EDGE = range(6)
+_BETWEEN = "\u2028"
+_CUT = re.compile("(?<=[A-Za-z]) ")
+
+
 # ---- token ids -------------------------------------------------------------------------------------------------------------------------
 
 def _byte_of_char() -> dict[str, int]:
@@ -43,8 +54,21 @@ def _byte_of_char() -> dict[str, int]:
     return {**{chr(b): b for b in shown}, **{chr(256 + k): b for k, b in enumerate(hidden)}}
 
 
+def _kinds() -> np.ndarray:
+    """The kind of each character that both libraries surely sort alike (they know different Unicode versions), and of the separator."""
+    kinds = np.full(0x20AD, _OTHER, np.uint8)
+    for c in range(len(kinds)):
+        kinds[c] = {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(chr(c))[0], _OTHER)
+    kinds[[*range(9, 14), 0x85, 0xA0]], kinds[ord(" ")], kinds[ord(_BETWEEN)] = _WHITE, _BLANK, _EDGE
+    return kinds
+
+
 class ByteEncoder:
-    """Ids of a byte-level BPE file as the tokenizers library gives them; plain texts take a faster library with the same vocabulary."""
+    """Ids of a byte-level BPE file as the tokenizers library gives them.
+
+    Plain texts are split into words by the tokenizer's rule, all of them together; each distinct word is spelled once, by a faster library with
+    the same vocabulary. Other texts, and all where the file has other rules, go to the tokenizers library.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -60,31 +84,100 @@ class ByteEncoder:
         slow.no_padding()
         given = json.loads(self.source)
         model, split = given["model"], given["pre_tokenizer"]
-        added = {a["content"]: a["id"] for a in given["added_tokens"]}
+        self.added = {a["content"]: a["id"] for a in given["added_tokens"]}
         byte, vocab = _byte_of_char(), model["vocab"]
         merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
         alike = (given["normalizer"] is None and split["type"] == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"]
                  and model["type"] == "BPE" and merged == sorted(merged))
         fast = None
         if alike:
-            ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in added}
-            pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-            fast = tiktoken.Encoding("from-file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        # The libraries know different Unicode versions: only characters below this point are surely classed alike.
-        odd = "|".join(map(re.escape, added))
-        aside = re.compile((odd + "|" if odd else "") + rf"[^\x00-\u024f\u2010-\u2027\u20ac]|\S{{{LONG_RUN}}}|\s{{{LONG_RUN}}}")
-        self.libraries = slow, fast, aside
+            ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in self.added}
+            fast = tiktoken.Encoding("from-file", pat_str=f"[^{_BETWEEN}]+", mergeable_ranks=ranks, special_tokens={})
+            self.kinds, self.width = _kinds(), np.zeros(max(ranks.values()) + 1, np.int64)
+            for token, i in ranks.items():
+                self.width[i] = len(token)
+        self.libraries = slow, fast, re.compile(r"[^\x00-\u024f\u2010-\u2027\u20ac]")
 
     def __getstate__(self):
         return {"source": self.source, "libraries": None}
 
     def __call__(self, text: str) -> np.ndarray:
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
         if self.libraries is None:
             self._open()
-        slow, fast, aside = self.libraries
-        if fast is None or aside.search(text):
-            return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.asarray(fast.encode_to_numpy(text), np.uint32)
+        slow, fast, far = self.libraries
+        out, plain = [None] * len(texts), []
+        for k, text in enumerate(texts):
+            if fast is None or not text.isascii() and far.search(text) or any(map(text.__contains__, self.added)):
+                out[k] = np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+            elif len(text) > TOGETHER:
+                out[k] = np.concatenate([self._plain([part])[0] for part in _parts(text)])
+            else:
+                plain.append(k)
+        for k, ids in zip(plain, self._plain([texts[k] for k in plain])):
+            out[k] = ids
+        return out
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        joined = _BETWEEN + _BETWEEN.join(texts) + _BETWEEN * 2
+        units = np.frombuffer(joined.encode("utf-16-le"), "<u2")
+        kind = self.kinds[units]
+        at = np.flatnonzero(self._starts(units, kind))
+        place = np.append(at, len(units))
+        if not joined.isascii():
+            place[1:] = np.cumsum(np.uint8(1) + (units > 0x7F) + (units > 0x7FF), dtype=np.int32)[place[1:] - 1]
+        words = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(place), pa.py_buffer(joined.encode())]).dictionary_encode()
+        held = self._spelled(words.dictionary).take(words.indices)
+        ids, edges = held.flatten().to_numpy(), held.offsets.to_numpy()[:-1][kind[at] == _EDGE]
+        return [ids[edges[k]:edges[k + 1]] for k in range(len(texts))]
+
+    @staticmethod
+    def _starts(units: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Whether a word begins at each character, as `'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+` splits
+        each text: the last of some white space stands apart from the rest, and a blank goes with the word behind it."""
+        before, here, after = kind[:-2], kind[1:-1], kind[2:]
+        starts = np.ones(len(kind), bool)
+        starts[1:-1] = np.where(here <= _WHITE, (before > _WHITE) | (after > _WHITE) & (after < _EDGE), (here != before) & (before != _BLANK) | (here == _EDGE))
+        quote = np.flatnonzero(starts & (units == ord("'")))
+        then, next_ = units[quote + 1], units[quote + 2]
+        for ending in ("s", "t", "m", "d", "re", "ve", "ll"):
+            ends = quote[(then == ord(ending[0])) & (next_ == ord(ending[1]) if len(ending) > 1 else True)]
+            starts[ends + 1] = False
+            starts[ends + 1 + len(ending)] = True
+        return starts
+
+    def _spelled(self, words: pa.Array) -> pa.Array:
+        """Ids of each word; the separator has none."""
+        slow, fast, _ = self.libraries
+        size = pc.binary_length(words).to_numpy()
+        if size.max() >= LONG_RUN:
+            ids = [slow.encode(w, add_special_tokens=False).ids if len(w) >= LONG_RUN else fast.encode_ordinary(w) for w in words.to_pylist()]
+            return pa.array(ids, pa.list_(pa.uint32()))
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words), pa.scalar(_BETWEEN, words.type))[0].as_py()
+        ids = fast.encode_to_numpy(joined)
+        ends = np.cumsum(np.where(pc.equal(words, _BETWEEN).to_numpy(zero_copy_only=False), 0, size))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.searchsorted(np.cumsum(self.width[ids]), ends, "right")), pa.int32()), pa.array(ids))
+
+
+def _parts(text: str):
+    """A long text in parts that begin with a blank behind a letter: a word surely begins there."""
+    begin = 0
+    while len(text) - begin > TOGETHER and (cut := _CUT.search(text, begin + TOGETHER)):
+        yield text[begin:cut.start()]
+        begin = cut.start()
+    yield text[begin:]
+
+
+def _together(batches):
+    """Slices of about `TOGETHER` bytes of text, one text at least."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(size) // TOGETHER)) + 1
+        for begin, end in pairwise([0, *cuts.tolist(), batch.num_rows]):
+            yield batch.slice(begin, end - begin)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, closing: int = 2, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
@@ -94,28 +187,27 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, closing: int =
 
     def cut(batches):
         encoder = encode()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                rows, piece, start, length, crc, ids = [], [], [], [], [], []
-                for row, body in enumerate(some.column(1).to_pylist()):
-                    tokens = np.append(encoder(body or ""), np.uint32(closing)).astype("<u4")
-                    begin, end, k = 0, (len(tokens) - 1) % capacity + 1, 0
-                    while begin < len(tokens):
-                        part = tokens[begin:end]
-                        rows.append(row)
-                        piece.append(k)
-                        start.append(begin)
-                        length.append(len(part))
-                        crc.append(zlib.crc32(part.tobytes()))
-                        ids.append(part)
-                        begin, end, k = end, end + capacity, k + 1
-                out = [some.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                names = [key, "piece", "start", "length", "ids_crc32"]
-                if with_ids:
-                    out.append(pa.array([p.astype(np.int32) for p in ids], pa.list_(pa.int32())))
-                    names.append("token_ids")
-                yield pa.RecordBatch.from_arrays(out, names)
+        for some in _together(batches):
+            rows, piece, start, length, crc, ids = [], [], [], [], [], []
+            for row, body in enumerate(encoder.many([t or "" for t in some.column(1).to_pylist()])):
+                tokens = np.append(body, np.uint32(closing)).astype("<u4", copy=False)
+                begin, end, k = 0, (len(tokens) - 1) % capacity + 1, 0
+                while begin < len(tokens):
+                    part = tokens[begin:end]
+                    rows.append(row)
+                    piece.append(k)
+                    start.append(begin)
+                    length.append(len(part))
+                    crc.append(zlib.crc32(part))
+                    if with_ids:
+                        ids.append(part.astype(np.int32))
+                    begin, end, k = end, end + capacity, k + 1
+            out = [some.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            names = [key, "piece", "start", "length", "ids_crc32"]
+            if with_ids:
+                out.append(pa.array(ids, pa.list_(pa.int32())))
+                names.append("token_ids")
+            yield pa.RecordBatch.from_arrays(out, names)
 
     kind = given.schema[key].dataType.simpleString()
     return given.mapInArrow(cut, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + (", token_ids array<int>" if with_ids else ""))

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -146,3 +147,39 @@ def test_odd_rows_and_sequences(spark, library):
     assert all(joined[r["sequence_id"]][r["offset"]:r["offset"] + r["length"]] == r["token_ids"] for r in got) and all(len(x) <= 64 for x in joined.values())
     empty, rounds = K.pack(docs.limit(0), PATH, 64)
     assert empty.count() == 0 and rounds == []
+
+
+def test_texts_together_get_the_ids_of_the_library(library, monkeypatch):
+    rng = random.Random(11)
+    marks = ["'", "'s", "'re", "'ve", "'ll", "'LL", "x", "é", "1", "½", " ", "  ", "\n", "\t ", "\xa0", "\x1c", "!", "…", "-'d ", "\U0001f600", " ", "中", "<|endoftext|>", "word"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(12))) for _ in range(3000)] + ["", " ", "'", "'r", "a" * 5_000, "b " * 40 + " " * 3_000, ""]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = K.ByteEncoder(PATH)
+    assert [x.tolist() for x in encoder.many(texts)] == want
+    with monkeypatch.context() as m:  # long texts in parts
+        m.setattr(K, "TOGETHER", 5)
+        assert [x.tolist() for x in encoder.many(texts)] == want
+    plain = [k for k, t in enumerate(texts) if len(t) < 1_000]  # no word for the other library
+    assert [x.tolist() for x in encoder.many([texts[k] for k in plain])] == [want[k] for k in plain]
+    assert encoder.many([]) == []
+
+
+def test_a_word_is_spelled_once_for_all_texts(library, monkeypatch):
+    import tiktoken
+
+    asked, given = [], tiktoken.Encoding.encode_to_numpy
+    monkeypatch.setattr(tiktoken.Encoding, "encode_to_numpy", lambda self, text, **options: asked.append(len(text)) or given(self, text, **options))
+    texts = ["Thlyouble onntshansh, Ndesat's öninganing ershnted 1234\n" * 20] * 50
+    got = K.ByteEncoder(PATH).many(texts)
+    want = library.encode(texts[0], add_special_tokens=False).ids
+    assert all(x.tolist() == want for x in got)
+    assert sum(asked) < 2 * len(texts[0]) // 20
+
+
+def test_slices_hold_all_rows_and_few_bytes(monkeypatch):
+    monkeypatch.setattr(K, "TOGETHER", 100)
+    texts = [None, "", "é" * 30, "a" * 500, None, *["b" * 30] * 20]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    got = list(K._together([batch, batch.slice(0, 0)]))
+    assert [r for b in got for r in b.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(b.num_rows == 1 or sum(len((t or "").encode()) for t in b.column(1).to_pylist()) <= 130 for b in got if "a" * 500 not in b.column(1).to_pylist())
