@@ -1,8 +1,10 @@
 import math
+import os
 
 import numpy as np
 import pytest
 
+from entiform.functions.storage import work_dir
 from entiform.llm import embedding_dedup as E
 
 
@@ -65,3 +67,38 @@ def test_few_planted_pairs(spark):
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
     out = E.near_classes(df).where("n_links > 0").collect()
     assert sum(r["vec_id"] >= 20_000 and r["class_id"] == r["vec_id"] - 20_000 for r in out) >= 196
+
+
+def test_disk_follows_the_table_and_not_the_visits(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(6_000, 64)).astype("f4")
+    x[3_000:3_400] = x[:400] + rng.normal(scale=0.05, size=(400, 64)).astype("f4")
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    folder = work_dir(spark)
+
+    def stored():
+        return {os.path.join(at, n): os.path.getsize(os.path.join(at, n)) for at, _, names in os.walk(folder) for n in names}
+
+    def run():
+        before = set(stored())
+        got = sorted(E.near_classes(df).collect())
+        return got, {k: v for k, v in stored().items() if k not in before}
+
+    whole, _ = run()
+    monkeypatch.setattr(E, "ROUND_BYTES", 1 << 18, raising=False)
+    monkeypatch.setattr(E, "BLOCK", 512)
+    parted, files = run()
+    assert parted == whole and sum(r["n_links"] for r in whole) >= 790
+    assert len({os.path.dirname(f) for f in files if "links-" in f}) >= 3
+    assert sum(files.values()) < 2 * x.nbytes
+
+
+def test_hot_cell_is_cut_into_blocks():
+    parts = E.Parts.of([(8, 0, 5), (8, 1, 30), (8, 2, 4), (8, 5, 3), (8, 6, 2)], {8: 12}, {8: 4}, 10)
+    assert parts.first[8][[0, 1, 2, 5, 6]].tolist() == [0, 1, 4, 4, 4] and parts.blocks[8][[0, 1, 2, 3, 5]].tolist() == [1, 3, 1, 0, 1] and parts.count == 5
+    route, hashes = np.array([[1, 0], [2, 3], [5, 1]], np.uint16), np.array([4, 7, 9])
+    row, part, cell, home = parts.visits(8, route, hashes)
+    assert sorted(zip(row.tolist(), part.tolist(), cell.tolist(), home.tolist())) == sorted([
+        (0, 1, 1, False), (0, 2, 1, True), (0, 3, 1, False), (0, 0, 0, False), (1, 4, 2, True), (2, 4, 5, True), (2, 1, 1, False), (2, 2, 1, False), (2, 3, 1, False)])
+    some = parts.visits(8, route, hashes, np.array([False, False, True, False, True]))
+    assert sorted(zip(*(x.tolist() for x in some))) == [(0, 2, 1, True), (1, 4, 2, True), (2, 2, 1, False), (2, 4, 5, True)]
