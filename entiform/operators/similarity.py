@@ -4,16 +4,26 @@ Rows with the same name form (token set, or compact name) are one form with a co
 never yields its pairs: a pair of rows is a pair of forms plus the two row-to-form tables. Candidates come
 from equi-joins on rare parts of a name; frequent parts are split over several tasks by a salt that follows
 from their frequency. Lengths are part of the join keys, so rows whose lengths rule a pair out never meet.
+
+Where a part is so common that its names make very many pairs, their edit distances are worked out together, in Arrow batches.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
+import sys
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entiform.functions import names
+from entiform.functions import closeness, names
+from entiform.functions.storage import settle, spread
 from entiform.operators.lookups import lookup_join
 
 CONTAINED = 0.95
@@ -23,6 +33,12 @@ TASKS_PER_CORE = 8
 #: Names up to this length are met by segments for each length, longer ones by grams in cells of positions.
 SHORT_NAME = 24
 _SLACK = 1e-9
+#: Pairs of a part from which their distances are worked out together, shorter names that a task holds then, and longer ones that meet them at once.
+HEAVY_PAIRS = 20_000
+ROWS_HELD = 8_192
+_ROWS_ASKED = 4_096
+#: Parts of one name, about; each is a row.
+PARTS_OF_NAME = 50
 
 
 def name_forms(records: DataFrame, form: Column, city: str | None = "city", ord: str = "task_ord") -> DataFrame:
@@ -148,8 +164,8 @@ def fuzzy_name_pairs(records: DataFrame, threshold: float = 0.82, name: str = "i
     """
     if not 0.5 < threshold <= 1:
         raise ValueError("the threshold must be above 0.5 and at most 1")
-    forms = _counted(name_forms(records, names.plain_form(F.col(name)), city, ord)).withColumn(
-        "size", F.length("form"))
+    forms = spread(settle(_counted(name_forms(records, names.plain_form(F.col(name)), city, ord)).withColumn(
+        "size", F.length("form")), "name-forms"), each=PARTS_OF_NAME)
     cols = ("form", "n", "first_ord", "size")
     filled = forms.filter("size > 0")
 
@@ -209,29 +225,118 @@ def fuzzy_name_pairs(records: DataFrame, threshold: float = 0.82, name: str = "i
     )
     held_by = ("city_key", *cols, "part")
     long_segments, long_probes = _grams_in_cells(filled.filter(F.col("size") > short), cols, edits, threshold)
-    segments = segments.select(*held_by).unionByName(long_segments.select(*held_by))
-    probes = probes.select(*held_by).unionByName(long_probes.select(*held_by))
-    weights = probes.groupBy("city_key", "part").agg(F.count("*").alias("df"))
-    segments = lookup_join(segments, weights, ["city_key", "part"], weight="df").filter(F.col("df").isNotNull())
-    probes = lookup_join(probes, weights, ["city_key", "part"], weight="df")
-    close = (
-        _pairs(segments, probes, *cols)
+    segments = settle(segments.select(*held_by).unionByName(long_segments.select(*held_by)), "name-parts")
+    # a name may have one part at several places
+    probes = settle(probes.select(*held_by).distinct().unionByName(long_probes.select(*held_by)), "name-parts")
+    weights = probes.groupBy("city_key", "part").agg(F.count("*").alias("df")).join(
+        segments.groupBy("city_key", "part").agg(F.count("*").alias("held")), ["city_key", "part"])
+    met = [settle(lookup_join(rows, weights, ["city_key", "part"], weight="df").filter(F.col("df").isNotNull()), "weighed-parts") for rows in (segments, probes)]
+    heavy = ~F.col("part").startswith("L") & (F.col("df") * F.col("held") >= HEAVY_PAIRS) & F.lit(short <= closeness.LONGEST)
+    light = (
+        _pairs(*[rows.filter(~heavy) for rows in met], *cols)
         .filter(F.struct("size_a", "form_a") < F.struct("size_b", "form_b"))
         .filter(~F.contains("form_b", "form_a"))
-        .select("city_key", *[f"{c}_{s}" for s in "ab" for c in cols])
         .withColumn("most", edits(F.col("size_b"))).filter(F.col("size_b") - F.col("size_a") <= F.col("most"))
         .withColumn("d", F.expr("levenshtein(form_a, form_b, most)")).filter("d >= 0")
-        # only close pairs are shuffled, not all that met
-        .distinct()
-        .withColumn("similarity", 1 - F.col("d") / F.col("size_b"))
-        .filter(F.col("similarity") >= threshold - _SLACK)
     )
+    paired = ["city_key", *[f"{c}_{s}" for s in "ab" for c in cols], "d"]
+    # names with segments report a pair at its first common one; close pairs of longer names are shuffled, not all that met
+    parted = light.filter(F.col("size_a") <= short).filter(~_met_before()).select(*paired).unionByName(
+        light.filter(F.col("size_a") > short).select(*paired).distinct())
+    if not met[0].filter(heavy).isEmpty():
+        parted = parted.unionByName(_heavy_pairs(*[rows.filter(heavy) for rows in met], cols, threshold).select(*paired))
+    close = parted.withColumn("similarity", 1 - F.col("d") / F.col("size_b")).filter(F.col("similarity") >= threshold - _SLACK)
     found = contained.unionByName(close, allowMissingColumns=True).withColumnsRenamed(
         {"first_ord_a": "first_a", "first_ord_b": "first_b"})
     same = _same_form(forms).withColumn("similarity", F.lit(1.0))
     return found.select(*_OUT).unionByName(same.select(*_OUT))
 
 
+def _met_before() -> Column:
+    """Whether a pair with a common segment also shares one of the segments before it."""
+    k, i = (F.split("part", r"\|")[at].cast("int") for at in (1, 2))
+    gap = F.col("size_b") - F.col("size_a")
+
+    def shared(j: Column) -> Column:
+        start = _segment_start(F.col("size_a"), k, j)
+        length = _segment_start(F.col("size_a"), k, j + 1) - start
+
+        def at_shift(shift: Column) -> Column:
+            at = start + shift
+            return (at >= 0) & (at + length <= F.col("size_b")) & (
+                F.substr("form_b", (at + 1).cast("int"), length) == F.substr("form_a", start + 1, length))
+
+        return F.exists(F.sequence(-F.floor((k - gap) / 2), F.floor((k + gap) / 2)), at_shift)
+
+    return F.exists(F.sequence(F.lit(0), k), lambda j: (j < i) & shared(j))
+
+
+def _heavy_pairs(segments: DataFrame, probes: DataFrame, cols: tuple[str, ...], threshold: float) -> DataFrame:
+    """(city_key, form_a, form_b, ..., d): close pairs with a common segment, each at its first one; distances are worked out for many pairs at once.
+
+    The shorter names of a part are spread over salts, ROWS_HELD in one task at once; the longer ones come in streams.
+    """
+    salts = F.ceil(F.col("held") / F.lit(ROWS_HELD)).cast("bigint")
+    on = ["city_key", "part", "salt"]
+    rows = segments.withColumn("salt", F.pmod(F.xxhash64("form"), salts)).select(*on, F.lit(False).alias("asks"), *cols).unionByName(
+        probes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).select(*on, F.lit(True).alias("asks"), *cols))
+    tasks = TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism
+    out = segments.select("city_key", *[F.col(c).alias(f"{c}_{side}") for side in "ab" for c in cols]).schema.add("d", "integer")
+    at_once = _ROWS_ASKED
+
+    def compare(key: tuple, a: pa.RecordBatch, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        k, i = map(int, key[1].split("|")[1:3])
+        forms_a, forms_b = a.column("form").to_pylist(), b.column("form").to_pylist()
+        size, sizes = len(forms_a[0]), np.array([len(x) for x in forms_b])
+        allowed = np.floor(sizes * (1 - threshold) + _SLACK).astype(np.int64)
+        letters = [closeness.codes(x) for x in (forms_a, forms_b)]
+        after = np.array([bisect.bisect_right(forms_b, x) for x in forms_a])  # places of greater names
+        for one, two, d in closeness.close_pairs(forms_a, forms_b, allowed):
+            sizes_b = sizes[two]
+            good = (sizes_b - size <= allowed[two]) & ((sizes_b > size) | ((sizes_b == size) & (two >= after[one])))
+            one, two, d = one[good], two[good], d[good]
+            good = ~closeness.met_before(letters[0][one], letters[1][two], size, sizes[two], k, i)
+            good[good] = [forms_a[x] not in forms_b[y] for x, y in zip(one[good].tolist(), two[good].tolist())]
+            if good.any():
+                one, two, d = one[good], two[good], d[good]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key[0]] * len(one), pa.string()), *[side.column(c).take(pa.array(at)) for side, at in ((a, one), (b, two)) for c in cols], pa.array(d.astype(np.int32))],
+                    out.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held, asking = None, [], []
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            nonlocal held, asking
+            if held and asking:
+                held = [pa.concat_batches(held)]
+                yield from compare(name, held[0], pa.concat_batches(asking))
+            asking = []
+
+        for batch in batches:
+            keys = [batch.column(c) for c in (*on, "asks")]
+            starts = [0, *(np.flatnonzero(np.any([_changes(x) for x in keys], axis=0)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(starts, starts[1:]):
+                if low == high:
+                    continue
+                *key, asks = (x[low].as_py() for x in keys)
+                if tuple(key) != name:
+                    yield from answer()
+                    name, held = tuple(key), []
+                for at in range(low, high, at_once):
+                    (asking if asks else held).append(batch.slice(at, min(at_once, high - at)))
+                    if sum(x.num_rows for x in asking) >= at_once:
+                        yield from answer()
+        yield from answer()
+
+    return rows.repartition(tasks, *on).sortWithinPartitions(*on, "asks", "form").mapInArrow(run, out)
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before it."""
+    return pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+
+
 def _grams_in_cells(filled: DataFrame, cols: tuple[str, ...], edits, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Parts of the shorter and of the longer name of a pair, for names of any length.
 
@@ -283,3 +388,6 @@ def _grams_in_cells(filled: DataFrame, cols: tuple[str, ...], edits, threshold:
 def _segment_start(size: Column, k: Column, i: Column) -> Column:
     """Start of segment i when a name of this size is cut into k+1 nearly equal segments."""
     return F.floor(size * i / (k + 1)).cast("int")
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
